@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,32 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
     return s
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application.
+
+    Spark's own file server delivers the archive to every executor, also to those that join later, so
+    the package need not be installed there. The driver keeps the archive only to serve it.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    at = Path(tempfile.mkdtemp(prefix="codestrata-")) / "codestrata.zip"
+    at.write_bytes(buffer.getvalue())
+    spark.sparkContext.addPyFile(str(at))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table by name; schema comes from the Parquet footer."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,7 +71,7 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (an upper bound for scans and projections)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
