@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.llm.shared import Model
+
 #: Relative frequency under which a pair counts as unseen: at most 1 / RARE pairs are kept and broadcast.
 RARE = 2e-6
 #: Shrunken mutual information expected of a pair in good text, in bits; support at which half of it counts.
@@ -269,16 +271,6 @@ def collected_statistics(records: DataFrame, text: str = "content") -> bytes:
     return pickle.dumps((dict(zip(single["gram"], single["n"].map(int))), dict(zip(pairs["gram"], pairs["n"].map(int)))), protocol=5)
 
 
-_LOADED: dict[int, Detector] = {}
-
-
-def _detector(model) -> Detector:
-    if model.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[model.id] = Detector(Stats(*pickle.loads(model.value)))
-    return _LOADED[model.id]
-
-
 def garbled_records(records: DataFrame, repair: bool = False) -> DataFrame:
     """``(extractId)`` of records with a garbled passage; with ``repair`` also ``repairedContent``.
 
@@ -287,10 +279,10 @@ def garbled_records(records: DataFrame, repair: bool = False) -> DataFrame:
     then detection; only the grouped statistics are shuffled.
     """
     kept = records.select("extractId", "content").where((F.length("content") > 0) & F.col("extractId").isNotNull())
-    model = records.sparkSession.sparkContext.broadcast(collected_statistics(kept))
+    model = Model(records.sparkSession, collected_statistics(kept))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = _detector(model)
+        d = model.load(lambda x: Detector(Stats(*x)))
         for b in batches:
             ids, texts = [], []
             for i, t in zip(b["extractId"], b["content"]):

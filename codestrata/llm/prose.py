@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 
 from codestrata.llm.lexers import content_language, literals
 from codestrata.llm.ppm import Scorer, normalised, train
+from codestrata.llm.shared import Model
 
 LANGUAGES = ("en", "zh", "ja", "ko", "de", "fr", "es", "pt", "ru", "pl")
 #: Bounds of the training sample: documents a language, characters a class, files for the code tree.
@@ -312,17 +313,6 @@ def trained_model(documents: DataFrame, files: DataFrame) -> bytes:
     return pickle.dumps(train(relabelled(training_samples(documents, files))), protocol=5)
 
 
-_LOADED: dict[int, Judge] = {}
-
-
-def _judge(model) -> Judge:
-    key = model.id
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Judge(Scorer(pickle.loads(model.value)))
-    return _LOADED[key]
-
-
 def prose_spans(files: DataFrame, documents: DataFrame) -> DataFrame:
     """``(fileId, lang, passages, chars, share)`` per file and language found in it.
 
@@ -330,10 +320,10 @@ def prose_spans(files: DataFrame, documents: DataFrame) -> DataFrame:
     contents give no rows; undetermined passages count for no language; repeated rows repeat their results.
     The files are scanned once without a shuffle; the trees are broadcast (bounded, see above).
     """
-    model = files.sparkSession.sparkContext.broadcast(trained_model(documents, files))
+    model = Model(files.sparkSession, trained_model(documents, files))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = _judge(model)
+        judge = model.load(lambda trees: Judge(Scorer(trees)))
         for b in batches:
             rows = []
             for i, path, text in zip(b["id"], b["filePath"], b["content"]):

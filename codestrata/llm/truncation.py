@@ -44,7 +44,7 @@ _STATUS = re.compile(r"^[^\s:：][^:：.!?]{0,40}[:：]\s*\S[^.!?]{0,60}$")
 _SIGN = re.compile(r"^(?:--|—|–|~|/|@|\(signed\)|\(gez\.\)|gez\.|i\.\s?a\.|cc:|p\.?s\.?:)\s*\S.{0,40}$", re.I)
 _HEADING = re.compile(r"^(?:#{1,6}\s+\S|={3,}$|-{3,}$|\*{3,}$|\|.*\|$)")
 _ALONE = re.compile(r"^(?:n/?a|none|tbd|todo|wip|fyi|eom|eof|ok(?:ay)?|done|fixed|yes|no|lgtm|merged|closed|open|-|\.|x|\+1|end|ende|fin|wontfix|duplicate|invalid|test)$", re.I)
-_VERSION = re.compile(r"(?i)\b(?:version|release|rev|v)\s*\d+\.$")
+_VERSION = re.compile(r"(?i)\b(?:version|rev|v)\s*\d+\.$")
 _STATEMENT_END = re.compile(r"(?:;|\bend\b[;.]?|\})\s*$", re.I)
 _TOKENS = re.compile(r"```|~~~|`|\n\s*\n|<!--|-->|</?[A-Za-z][\w-]*(?:\s[^<>\n]*)?/?>|<[A-Za-z/!][^<>\n]*\Z|[()\[\]{}“”„«»「」『』（）]|(?<![\w])\"|\"")
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "」": "「", "』": "『", "）": "（"}
@@ -124,8 +124,8 @@ def cut_reason(text: str | None, at_limit: bool) -> str | None:
     if _DOTS.search(body):
         return "mark" if at_limit else None
     line = body[body.rfind("\n") + 1 :].strip()
-    if _VERSION.search(line):
-        return "sentence"
+    if at_limit and _VERSION.search(line):
+        return "sentence"  # cut inside a number such as 5.2
     if _TERMINATED.search(line) or body.endswith(("```", "~~~")):
         return "bracket" if at_limit and opened and opened[-1] in "([（「『“«" and not body.endswith(")") else None
     if at_limit:
