@@ -2,42 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from codestrata.plans.oracles import oracle_sql
+from codestrata.plans.queries import queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-from codestrata.operators.merkle import snapshot_diff
-from codestrata.session import scan
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot_diff(scan(spark, d, "symbol_snapshots", "projectId", "runNumber", "stableKey", "rowId", "name", "type", "startLine", "endLine", "signature"))
-
-
-P6_SQL = r"""
-WITH latest AS (
-  SELECT projectId, runNumber, stableKey,
-         max_by({'name': name, 'type': type, 's': startLine, 'e': endLine,
-                 'sig': regexp_replace(regexp_replace(trim(regexp_replace(signature, '[\s\x{00A0}\x{3000}\x{200B}\x{FEFF}]+', ' ', 'g')), ' ?([^\w ]) ?', '\1', 'g'), '', '')}, rowId) AS v
-  FROM symbol_snapshots WHERE projectId IS NOT NULL AND runNumber IS NOT NULL AND stableKey IS NOT NULL AND rowId IS NOT NULL
-  GROUP BY 1, 2, 3),
-runs AS (SELECT projectId, runNumber, lag(runNumber) OVER (PARTITION BY projectId ORDER BY runNumber) AS base
-         FROM (SELECT DISTINCT projectId, runNumber FROM latest)),
-now AS (SELECT l.projectId, l.runNumber, l.stableKey, l.v FROM latest l JOIN runs r USING (projectId, runNumber) WHERE r.base IS NOT NULL),
-base AS (SELECT l.projectId, r.runNumber, l.stableKey, l.v FROM runs r JOIN latest l ON l.projectId = r.projectId AND l.runNumber = r.base)
-SELECT projectId, runNumber, stableKey,
-       CASE WHEN base.v IS NULL THEN 'added' WHEN now.v IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM now FULL JOIN base USING (projectId, runNumber, stableKey)
-WHERE base.v IS NULL OR now.v IS NULL OR now.v.name IS DISTINCT FROM base.v.name OR now.v.type IS DISTINCT FROM base.v.type
-   OR now.v.s IS DISTINCT FROM base.v.s OR now.v.e IS DISTINCT FROM base.v.e OR now.v.sig IS DISTINCT FROM base.v.sig
-"""
-
-
-def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_SQL}
+__all__ = ["oracle_sql", "queries"]

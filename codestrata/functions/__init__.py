@@ -1 +1 @@
-"""Part of codestrata: functions."""
+"""Scalar functions as Column expressions (JVM-side unless a docstring says otherwise)."""

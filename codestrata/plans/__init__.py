@@ -1 +1 @@
-"""Part of codestrata: plans."""
+"""Whole query plans built from the operators, and the SQL that checks them."""

@@ -1 +1 @@
-"""Part of codestrata: sources."""
+"""Sources and sinks: archives, folders, encoded bytes, files tables and report documents."""

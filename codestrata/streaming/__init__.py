@@ -1 +1 @@
-"""Part of codestrata: streaming."""
+"""Stateful operators: batch forms and Structured Streaming forms of the same rules."""
