@@ -17,7 +17,7 @@ from codestrata.operators import lists as L
 from codestrata.operators import resolve as R
 from codestrata.operators import risks as K
 from codestrata.operators.merkle import snapshot_diff
-from codestrata.session import checkpointed, scan, table
+from codestrata.session import checkpointed, scan, spread, table
 from codestrata.streaming.limits import anchored_limit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,7 @@ _SNAPSHOT = ("name", "type", "startLine", "endLine", "signature")
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
-    return scan(s, d, "files", "projectId", "id", "filePath", "content")
+    return spread(scan(s, d, "files", "projectId", "id", "filePath", "content"), "id")
 
 
 def _risks(s: SparkSession, d: str) -> DataFrame:

@@ -106,3 +106,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """For passes that compute much per row: hash the rows over all cores if the scan yields far too few partitions.
+
+    A large table has more partitions than cores and is left as it is, without a shuffle; the case this
+    helps is one file with a single row group.
+    """
+    n = cores(df.sparkSession)
+    return df.repartition(n, key) if df.rdd.getNumPartitions() * 2 < n else df
