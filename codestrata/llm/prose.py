@@ -28,6 +28,8 @@ LANGUAGES = ("en", "zh", "ja", "ko", "de", "fr", "es", "pt", "ru", "pl")
 #: Bounds of the training sample: documents a language, characters a class, files for the code tree.
 DOCS_PER_LANGUAGE, CHARS_PER_CLASS, CODE_FILES = 400, 120_000, 200
 CHARS_PER_DOCUMENT = 1_200
+#: Characters of a sampled document and file that reach the driver for training (scoring reads whole texts).
+SAMPLE_TEXT, SAMPLE_FILE = 4_000, 8_000
 MIN_WORDS, MIN_CJK = 5, 8
 #: How much worse than the best seed tree the labelled one may be before a label is taken for wrong.
 SEED_MARGIN = 1.02
@@ -236,13 +238,17 @@ class Judge:
 
 def training_samples(documents: DataFrame, files: DataFrame) -> dict[str, list[str]]:
     """The bounded sample: labelled documents by a hash of their id, and code by a hash of the file id."""
+    # the sample is chosen on ids alone; only its own texts are then read and brought to the driver
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    labelled = documents.select("doc_id", "lang", F.substring("text", 1, 4000).alias("text")).where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
-    labelled = labelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_PER_LANGUAGE)
+    ids = documents.select("doc_id", "lang").where(F.col("lang").isin(*LANGUAGES) & F.col("doc_id").isNotNull())
+    chosen = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_PER_LANGUAGE).collect()
+    rank = {(r["doc_id"], r["lang"]): r["rank"] for r in chosen}
+    texts = documents.where(F.col("doc_id").isin(*sorted({k[0] for k in rank})) & F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", 1, SAMPLE_TEXT).alias("text"))
+    labelled = sorted((r for r in texts.collect() if (r["doc_id"], r["lang"]) in rank), key=lambda r: (r["lang"], rank[r["doc_id"], r["lang"]], r["text"]))
     samples: dict[str, list[str]] = {c: list(SEEDS[c]) for c in LANGUAGES}
     sizes = dict.fromkeys(LANGUAGES, 0)
     votes: dict[str, Counter] = {}
-    for r in sorted(labelled.collect(), key=lambda r: (r["lang"], r["rank"])):
+    for r in labelled:
         taken = 0
         for part in re.split(r"\n+|(?<=[.!?])\s+(?=[^\W\d_a-z])|(?<=[。！？])", _FENCE.sub("\n", r["text"])):
             part = part.strip()
@@ -268,7 +274,10 @@ def training_samples(documents: DataFrame, files: DataFrame) -> dict[str, list[s
         samples[c] = kept
     code: list[str] = [SQL_SEED, *_identifiers()]
     size = 0
-    for r in files.select("id", "filePath", "content").where(F.col("content").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(CODE_FILES).collect():
+    code_ids = [r["id"] for r in files.select("id").where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(CODE_FILES).collect()]
+    sampled = files.where(F.col("id").isin(*code_ids) & F.col("content").isNotNull()).select("id", "filePath", F.substring("content", 1, SAMPLE_FILE).alias("content"))
+    place = {x: n for n, x in enumerate(code_ids)}
+    for r in sorted(sampled.collect(), key=lambda r: (place[r["id"]], r["content"])):
         kind = content_language(r["filePath"], r["content"])
         kept, end = [], 0
         for k, a, b in literals(kind, r["content"]):

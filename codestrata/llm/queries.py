@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codestrata.llm import leakage, mojibake, packing, prose, provenance, secrets, syntax_check, truncation
-from codestrata.session import scan
+from codestrata.session import scan, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _files(s: SparkSession, d: str, *more: str) -> DataFrame:
-    return scan(s, d, "files", "id", "filePath", "content", *more)
+    return spread(scan(s, d, "files", "id", "filePath", "content", *more), "id")
+
+
+def _texts(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(scan(s, d, "documents", "doc_id", "text", *columns), "doc_id")
+
+
+def _records(s: SparkSession, d: str) -> DataFrame:
+    return spread(scan(s, d, "extracted_files", "extractId", "content"), "extractId")
 
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:
@@ -30,17 +38,17 @@ def queries() -> dict[str, Query]:
         "p3_faults": lambda s, d: syntax_check.checked_files(_files(s, d, "projectId")),
         "p3_rates": lambda s, d: syntax_check.acceptance_rates(_files(s, d, "projectId")),
         "p3_causes": lambda s, d: syntax_check.first_causes(_files(s, d, "projectId")),
-        "p4_found": lambda s, d: mojibake.garbled_records(scan(s, d, "extracted_files", "extractId", "content")),
-        "p4_repaired": lambda s, d: mojibake.garbled_records(scan(s, d, "extracted_files", "extractId", "content"), repair=True),
+        "p4_found": lambda s, d: mojibake.garbled_records(_records(s, d)),
+        "p4_repaired": lambda s, d: mojibake.garbled_records(_records(s, d), repair=True),
         "p5_found": lambda s, d: prose.prose_languages(_files(s, d), _labelled(s, d)),
         "p5_shares": lambda s, d: prose.prose_spans(_files(s, d), _labelled(s, d)),
-        "p7_packed": lambda s, d: packing.packed(scan(s, d, "documents", "doc_id", "text"), scan(s, d, "context_windows", "window_id", "capacity_tokens")),
-        "p7_utilisation": lambda s, d: packing.utilisation(scan(s, d, "documents", "doc_id", "text"), scan(s, d, "context_windows", "window_id", "capacity_tokens")),
-        "p8_found": lambda s, d: leakage.leaked_pairs(scan(s, d, "eval_items", "item_id", "text"), scan(s, d, "documents", "doc_id", "text")),
-        "p8_items": lambda s, d: leakage.leaked_items(scan(s, d, "eval_items", "item_id", "text"), scan(s, d, "documents", "doc_id", "text")),
-        "p9_found": lambda s, d: truncation.truncated_documents(scan(s, d, "documents", "doc_id", "source", "text")).select("doc_id"),
-        "p9_rates": lambda s, d: truncation.truncation_rates(scan(s, d, "documents", "doc_id", "source", "text")),
-        "p9_limits": lambda s, d: truncation.field_limits(scan(s, d, "documents", "doc_id", "source", "text")),
+        "p7_packed": lambda s, d: packing.packed(_texts(s, d), scan(s, d, "context_windows", "window_id", "capacity_tokens")),
+        "p7_utilisation": lambda s, d: packing.utilisation(_texts(s, d), scan(s, d, "context_windows", "window_id", "capacity_tokens")),
+        "p8_found": lambda s, d: leakage.leaked_pairs(scan(s, d, "eval_items", "item_id", "text"), _texts(s, d)),
+        "p8_items": lambda s, d: leakage.leaked_items(scan(s, d, "eval_items", "item_id", "text"), _texts(s, d)),
+        "p9_found": lambda s, d: truncation.truncated_documents(_texts(s, d, "source")).select("doc_id"),
+        "p9_rates": lambda s, d: truncation.truncation_rates(_texts(s, d, "source")),
+        "p9_limits": lambda s, d: truncation.field_limits(_texts(s, d, "source")),
     }
 
 
