@@ -154,7 +154,7 @@ def _inner(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
         if usable(m["v"]) and (re.search(r"\d|[a-z][A-Z]", m["v"])):
             yield a + m.start("v"), a + m.end("v")
     for m in _LOGIN.finditer(body) if "/" in body or ":" in body else ():
-        if usable(m["v"]) and re.search(r"\d", m["v"]) and re.search(r"[A-Za-z]", m["v"]) and not re.match(r"[\d:.,-]+\w?$", m["v"]):
+        if usable(m["v"]) and re.search(r"\d|[a-z][A-Z]", m["v"]) and re.search(r"[A-Za-z]", m["v"]) and not re.match(r"[\d:.,-]+\w?$", m["v"]):
             yield a + m.start("v"), a + m.end("v")
     for m in _BEARER.finditer(body):
         if usable(m["v"]) and (random_looking(m["v"]) or re.search(r"\d", m["v"])):
@@ -257,7 +257,8 @@ def _judge(text: str, chain: list[tuple[int, int]], before: int, names: list, fo
     if _PEM.search(value):
         found += _pem_blocks(text, *whole)
         return
-    inner = [x for a, b in chain for x in _inner(text, a, b)] if cues.within(*whole) or _SHAPE.search(value) else []
+    token = len(chain) > 1 and re.fullmatch(r"[\w.+/=~-]+", value)  # one value in pieces, whatever a piece looks like
+    inner = [] if token else [x for a, b in chain for x in _inner(text, a, b)] if cues.within(*whole) or _SHAPE.search(value) else []
     if inner:
         found += [[x] for x in inner]
         return

@@ -427,7 +427,7 @@ class SqlParser(Parser):
                 depth -= 1
                 if depth < 0:
                     self.fail("body")
-            elif k == "\0":
+            elif k == "\0" or k in _MARKS:
                 self.fail("body")
             elif depth == 0:
                 if k == ";":
@@ -1129,6 +1129,7 @@ class SqlParser(Parser):
         self.need(END)
 
 
+_MARKS = K.set("== << >>")
 LOCK_IN = K["lock"]
 _TRIGGERING = K.set("for on or ,") | frozenset(",") | {K["or"]} | frozenset("i")
 

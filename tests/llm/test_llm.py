@@ -279,3 +279,9 @@ def test_odd_inputs_do_not_crash(spark):
     e = empty.selectExpr("id AS extractId", "content")
     assert mojibake.garbled_records(e).count() == 0
     assert truncation.truncated_documents(empty.selectExpr("id AS doc_id", "filePath AS source", "content AS text")).count() == 0
+
+
+def test_marks_in_routine_heads_and_split_tokens():
+    assert sql.faults("CREATE PROCEDURE p(IN a INT)\n=======\nCREATE PROCEDURE p(IN b INT)\n>>>>>>> x\nBEGIN\n  SELECT 1;\nEND;")
+    text = "FToken := 'lgk_pr' +\n  'od_14Ds47OphRa9XthbAboU8gVteSThMmoh';"
+    assert [x[0][0] for x in secrets.find_secrets("a.pas", text)] == [text.index("lgk_pr")]
