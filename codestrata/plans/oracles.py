@@ -106,11 +106,39 @@ s AS (SELECT *, ltrim(regexp_extract(trim(fn.recv), '(\S+)$', 1), '*') AS owner
 r AS (SELECT fileId, file, line, CASE WHEN fn.name <> '' THEN fn.name ELSE st END AS name, CASE WHEN fn.name <> '' THEN CASE WHEN owner <> '' THEN owner || '.' || fn.name ELSE fn.name END END AS qualifiedName,
   CASE WHEN fn.name = '' THEN 'class' WHEN fn.recv <> '' THEN 'method' ELSE 'function' END AS type, CASE WHEN fn.name = '' THEN line ELSE {_END} END AS endLine FROM s WHERE fn.name <> '' OR st <> '')
 SELECT fileId, name, qualifiedName, type, line AS startLine, endLine::INT AS endLine, file || '::' || coalesce(qualifiedName, name) || '::' || line AS stableKey FROM r""",
+        "c21_pascal_symbols": rf"""
+WITH {_LINES}, pas AS (SELECT * FROM lines WHERE regexp_matches(lower(file), '\.(pas|dpr|inc|dpk)$')),
+cnt AS (SELECT *, len(regexp_extract_all(raw, '(?i)\bbegin\b')) AS o1, len(regexp_extract_all(raw, '(?i)\bend\b\s*;?')) AS c1, len(regexp_extract_all(raw, '(?i)\bclass\b')) AS o2 FROM pas),
+depth AS (SELECT *, sum(o1 - c1) OVER w AS d1, sum(o2 - c1) OVER w AS d2 FROM cnt WINDOW w AS (PARTITION BY fileId ORDER BY line)),
+s AS (SELECT *, regexp_extract(raw, '(?i)^\s*(?:(class)\s+)?(procedure|function|constructor|destructor)\s+([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*)\s*(\([^)]*\))?\s*(?::\s*([^;]+))?\s*(?:;\s*(.*))?$', ['cls', 'kind', 'full']) AS m,
+  regexp_extract(raw, '(?i)^\s*(?:type\s+)?([A-Za-z_][\w$]*)\s*=\s*class\b', 1) AS k FROM depth WHERE NOT regexp_matches(raw, '(?i)^\s*(interface|implementation|initialization|finalization)\b')),
+r AS (SELECT fileId, file, line, CASE WHEN m.full <> '' THEN string_split(m.full, '.')[-1] ELSE k END AS name, CASE WHEN m.full <> '' THEN m.full ELSE k END AS qualifiedName,
+  CASE WHEN m.full = '' THEN 'class' WHEN lower(m.kind) IN ('constructor', 'destructor') OR contains(m.full, '.') THEN 'method' ELSE lower(m.kind) END AS type,
+  CASE WHEN m.full <> '' THEN CASE WHEN s.o1 > 0 AND s.o1 - s.c1 <= 0 THEN s.line ELSE coalesce((SELECT min(e.line) FROM depth e WHERE e.fileId = s.fileId AND e.line > s.line AND e.d1 <= s.d1 - (s.o1 - s.c1)), s.line) END
+       ELSE CASE WHEN s.o2 - s.c1 <= 0 THEN s.line ELSE coalesce((SELECT min(e.line) FROM depth e WHERE e.fileId = s.fileId AND e.line > s.line AND e.d2 <= s.d2 - (s.o2 - s.c1)), s.line) END END AS endLine FROM s WHERE m.full <> '' OR k <> ''),
+u AS (SELECT fileId, file, first(regexp_extract(raw, '(?i)^\s*(?:unit|library|program)\s+([A-Za-z_][\w$]*)', 1) ORDER BY line) AS name FROM pas
+  WHERE regexp_matches(raw, '(?i)^\s*(?:unit|library|program)\s+[A-Za-z_]') AND NOT regexp_matches(text, '^(//|\{{|\(\*)') GROUP BY 1, 2),
+n AS (SELECT fileId, max(line) AS lines FROM pas GROUP BY 1),
+every AS (SELECT fileId, file, name, qualifiedName, type, line AS startLine, endLine::INT AS endLine FROM r UNION ALL SELECT u.fileId, file, name, name, 'class', 1, lines FROM u JOIN n USING (fileId))
+SELECT fileId, name, qualifiedName, type, startLine, endLine, file || '::' || qualifiedName || '::' || startLine AS stableKey FROM every""",
         "c8_sql_symbols": rf"""
 WITH {_LINES}, m AS (SELECT fileId, file, line, text, regexp_extract(raw, '(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([A-Za-z_][\w$]*|`[^`]+`)', 1) AS t, regexp_extract(raw, '(?i)CREATE\s+PROCEDURE\s+([A-Za-z_][\w$]*)', 1) AS p,
   regexp_extract(raw, '(?i)CREATE\s+FUNCTION\s+([A-Za-z_][\w$]*)', 1) AS fn, regexp_matches(text, '(?i)^(SELECT|INSERT|UPDATE|DELETE)\b') AS q FROM lines WHERE lower(file) LIKE '%.sql'),
 r AS (SELECT *, CASE WHEN t <> '' THEN trim(t, '`') WHEN p <> '' THEN p WHEN fn <> '' THEN fn ELSE 'query_' || line END AS name, CASE WHEN t <> '' THEN 'table' WHEN p <> '' THEN 'procedure' WHEN fn <> '' THEN 'function' ELSE 'query' END AS type FROM m WHERE t <> '' OR p <> '' OR fn <> '' OR q)
 SELECT fileId, name, NULL::VARCHAR AS qualifiedName, type, line AS startLine, line AS endLine, file || '::' || name || '::' || line AS stableKey FROM r""",
+        "c19_file_warnings": rf"""
+WITH f AS (SELECT projectId, id AS fileId, replace(filePath, '\', '/') AS file, content AS c, {_EXT.replace('{0}', 'filePath')} AS e FROM files WHERE content IS NOT NULL),
+g AS (SELECT *, e IN ('pas', 'dpr', 'inc', 'dpk', 'delphi') AS pas, e IN ('go', 'sql', 'pas', 'dpr', 'inc', 'dpk', 'delphi') AS script FROM f),
+w AS (SELECT projectId, fileId, file, unnest(list_filter([
+  CASE WHEN script AND regexp_matches(c, '(?is)["''`](SELECT|INSERT|UPDATE|DELETE).*?\n.*?["''`]') THEN 'SQL_STRING_MULTILINE|warning' END,
+  CASE WHEN script AND regexp_matches(c, '(?i)(SELECT|INSERT|UPDATE|DELETE)[^;\n]*("?\s*\+|&|\|\|)') THEN 'SQL_DYNAMIC_STRING|warning' END,
+  CASE WHEN e = 'sql' AND contains(c, chr(10)) AND regexp_matches(c, '(?i)(SELECT|INSERT|UPDATE|DELETE)\b') AND NOT contains(c, ';') THEN 'SQL_STATEMENT_MULTILINE|warning' END,
+  CASE WHEN pas AND NOT (regexp_matches(c, '(?i)begin\b') AND regexp_matches(c, '(?i)end\b')) THEN 'DELPHI_BLOCK_UNBALANCED|warning' END,
+  CASE WHEN pas AND NOT regexp_matches(c, '(?im)^\s*(?:unit|library|program)\s+[A-Za-z_]') THEN 'DELPHI_UNIT_NOT_FOUND|warning' END,
+  CASE WHEN e IN ('inc', 'dpk') THEN 'DELPHI_LIMITED_ANALYSIS|warning' END, CASE WHEN pas THEN 'HEURISTIC_ANALYSIS|note' END,
+  CASE WHEN e IN ('dproj', 'groupproj', 'bdsproj', 'cfg', 'dof', 'rc') THEN 'IMPORT_BUILD_METADATA|note' END,
+  CASE WHEN {_LANG.replace('{0}', 'e')} IS NULL THEN 'LANGUAGE_UNSUPPORTED|warning' END], lambda x: x IS NOT NULL)) AS w FROM g)
+SELECT projectId, fileId, file, split_part(w, '|', 1) AS code, split_part(w, '|', 2) AS level FROM w""",
         "c29_magic_values": rf"""
 WITH {_LINES}, src AS (SELECT * FROM lines WHERE NOT starts_with(text, '//') AND NOT starts_with(text, '--')),
 m AS (SELECT projectId, fileId, file, line, unnest(regexp_extract_all(raw, '["'']([^"'']{{4,}})["'']', 1)) AS value, 'string' AS kind FROM src

@@ -11,12 +11,14 @@ from pyspark.sql import Window as W
 from codestrata.functions import paths as P
 from codestrata.functions import text as T
 from codestrata.operators import build as B
+from codestrata.operators import derive as D
 from codestrata.operators import extract as X
 from codestrata.operators import graph as G
 from codestrata.operators import lists as L
 from codestrata.operators import resolve as R
 from codestrata.operators import risks as K
 from codestrata.operators.merkle import snapshot_diff
+from codestrata.sources import sinks as S
 from codestrata.session import checkpointed, scan, spread, table
 from codestrata.streaming.limits import anchored_limit
 
@@ -176,6 +178,22 @@ def r1_build_findings(s: SparkSession, d: str) -> DataFrame:
     return B.build_findings(checkpointed(B.build_records(_files(s, d))))
 
 
+def f14_rules(s: SparkSession, d: str) -> DataFrame:
+    f = _files(s, d)
+    return D.rules(X.field_references(f), K.magic_values(f), K.conversion_risks(f))
+
+
+def f16_metrics(s: SparkSession, d: str) -> DataFrame:
+    f = _files(s, d)
+    return D.metrics(f, X.symbols(f), X.field_references(f), scan(s, d, "risks", "projectId"), D.file_warnings(f))
+
+
+def f18_confidence(s: SparkSession, d: str) -> DataFrame:
+    f = _files(s, d)
+    warnings = L.import_warnings(scan(s, d, "projects", "id", "importWarningsJson"))
+    return D.confidence(f, D.file_warnings(f), warnings, R.event_handlers(X.form_events(f), X.symbols(f)), c27_data_bindings(s, d), scan(s, d, "risks", "projectId", "title"))
+
+
 def m7_rate_limit(s: SparkSession, d: str) -> DataFrame:
     """Requests of ``events`` per user and kind, at most three in an hour's window that starts with its first one."""
     e = scan(s, d, "events", "event_id", "ts", "user_id", "event_type")
@@ -223,6 +241,13 @@ def queries() -> dict[str, Query]:
         "f9_risk_groups": lambda s, d: K.risk_groups(_risks(s, d)),
         "f12_affected_files": lambda s, d: L.affected_files(_risks(s, d)),
         "f13_multiple_writes": lambda s, d: R.multiple_writes(X.field_references(_files(s, d))),
+        "c19_file_warnings": lambda s, d: D.file_warnings(_files(s, d)),
+        "f14_rules": f14_rules,
+        "f16_metrics": f16_metrics,
+        "f18_confidence": f18_confidence,
+        "b10_data_document": lambda s, d: D.data_dependency_document(X.field_references(_files(s, d))),
+        "b10_rules_yaml": lambda s, d: D.rules_yaml(f14_rules(s, d)),
+        "b10_risks_document": lambda s, d: S.risks_document(_risks(s, d)),
         "f15_risk_scores": lambda s, d: K.risk_scores(_risks(s, d)),
         "f21_file_stats": lambda s, d: L.file_stats(scan(s, d, "files", "projectId", "filePath", "lineCount")),
         "f28_language_stats": lambda s, d: L.file_stats(scan(s, d, "files", "projectId", "filePath", "lineCount"), "language"),

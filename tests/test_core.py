@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths as P
 from codestrata.functions import text as T
-from codestrata.operators import build, extract, graph, lists, resolve, risks
+from codestrata.operators import build, derive, extract, graph, lists, resolve, risks
 from codestrata.operators.merkle import snapshot_diff
 from codestrata.sources import archives, sinks
 from codestrata.streaming import jobs
@@ -254,3 +254,19 @@ def test_jobs(spark):
     changes = spark.createDataFrame([("draft", "importing"), ("draft", "completed"), ("failed", "failed")], "before string, after string")
     assert [(r.before, r.after) for r in jobs.invalid_transitions(changes).collect()] == [("draft", "completed")]
     assert one(spark, jobs.retry_delay(F.col("x")), 20, "int") == 30_000
+
+
+# derived ----------------------------------------------------------------------------------------
+def test_warnings_rules_confidence(spark):
+    f = files(spark, ("U.pas", "unit U;\nbegin\n Q.SQL.Add('SELECT a ' + B);\nend."), ("a.inc", "x"), ("a.xyz", "x"), ("b.go", None), ("m.dproj", "<a/>"))
+    got = {(r.file, r.code) for r in derive.file_warnings(f).collect()}
+    assert ("U.pas", "SQL_DYNAMIC_STRING") in got and ("U.pas", "DELPHI_UNIT_NOT_FOUND") not in got
+    assert {("a.inc", "DELPHI_UNIT_NOT_FOUND"), ("a.inc", "DELPHI_LIMITED_ANALYSIS"), ("a.xyz", "LANGUAGE_UNSUPPORTED"), ("m.dproj", "IMPORT_BUILD_METADATA")} <= got
+    refs = spark.createDataFrame([(1, "T", "a_b_c", "write", "x", 1), (1, "dbo.T", "A_B_C", "write", "y", 2), (1, "T", "d", "write", "z", 1)], "projectId long, tableName string, field string, access string, file string, line int")
+    found = spark.createDataFrame([(1, "a/b.go", 3, "Date literal")] * 2, "projectId long, file string, line int, title string")
+    r = {(x.ruleType, x.name): x.occurrences for x in derive.rules(refs, found, found.limit(0)).collect()}
+    assert r == {("validation", "validate_t_a_b__single_owner"): 2, ("magic_value", "externalize_a_b_go_date_literal"): 2}
+    none = spark.createDataFrame([], "projectId long, status string, confidence string, accessHint string, title string, code string")
+    c = derive.confidence(f, derive.file_warnings(f), none, none, none, none).first()
+    assert 0 <= c["score"] <= 100 and c["level"] in ("low", "medium", "high")
+    assert "a_b_c" in derive.data_dependency_document(refs).first()["document"]
