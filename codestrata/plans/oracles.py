@@ -65,6 +65,13 @@ warnings AS (SELECT projectId, ord, w->>'$.code' AS code, w->>'$.message' AS mes
 """
 
 
+_NEWEST = """
+n AS (SELECT projectId, max(runNumber) AS runNumber FROM symbol_snapshots GROUP BY 1),
+newest AS (SELECT projectId, runNumber, stableKey, v.* FROM (SELECT s.projectId, s.runNumber, s.stableKey,
+  max_by({'name': name, 'qualifiedName': qualifiedName, 'type': type, 'file': file, 'startLine': startLine}, rowId) AS v FROM symbol_snapshots s JOIN n USING (projectId, runNumber) GROUP BY 1, 2, 3))
+"""
+
+
 def _block_ends(lines: str, opener: str, closer: str) -> str:
     """End lines of blocks: the start line itself, or the first later line at which the depth is back."""
     return rf"""
@@ -169,6 +176,15 @@ WITH f AS (SELECT projectId, lower(trim(replace(filePath, '\', '/'))) AS k, max(
 SELECT r.id AS riskId, r.projectId, f.fileId, r.severity FROM risks r LEFT JOIN f ON f.projectId = r.projectId AND f.k = lower(trim(replace(r.sourceFile, '\', '/')))""",
         "e22_analysis_status": f"""
 WITH c AS ({_CURRENT}) SELECT p.id, coalesce(c.status, CASE p.status WHEN 'failed' THEN 'failed' WHEN 'analyzing' THEN 'running' ELSE 'pending' END) AS analysisStatus FROM projects p LEFT JOIN c ON c.projectId = p.id""",
+        "e9_latest_symbols": f"WITH {_NEWEST} SELECT * FROM newest",
+        "e9_symbol_page": f"""WITH {_NEWEST} SELECT * FROM newest WHERE type = 'procedure' AND (contains(lower(name), 'load') OR contains(lower(qualifiedName), 'load') OR contains(lower(file), 'load'))
+ORDER BY projectId, coalesce(file, '') COLLATE C, coalesce(startLine, 0), stableKey COLLATE C LIMIT 50 OFFSET 50""",
+        "f26_metric_deltas": """
+WITH c AS (SELECT projectId, runNumber, type, count(DISTINCT stableKey) AS n FROM symbol_snapshots GROUP BY 1, 2, 3),
+r AS (SELECT *, lag(runNumber) OVER (PARTITION BY projectId ORDER BY runNumber) AS base FROM (SELECT DISTINCT projectId, runNumber FROM symbol_snapshots)),
+x AS (SELECT r.projectId, r.runNumber, c.type, c.n AS a, 0 AS b FROM r JOIN c ON c.projectId = r.projectId AND c.runNumber = r.runNumber WHERE r.base IS NOT NULL
+  UNION ALL SELECT r.projectId, r.runNumber, c.type, 0, c.n FROM r JOIN c ON c.projectId = r.projectId AND c.runNumber = r.base)
+SELECT projectId, runNumber, type, sum(a)::BIGINT AS symbols, sum(a - b)::BIGINT AS delta FROM x GROUP BY 1, 2, 3""",
         "f4_project_totals": f"""
 WITH f AS (SELECT projectId, count(*) n, sum(lineCount) l FROM files GROUP BY 1), r AS (SELECT projectId, count(*) n, count(*) FILTER (WHERE severity = 'critical') c FROM risks GROUP BY 1),
 a AS (SELECT projectId, count(*) n, count(*) FILTER (WHERE {_USABLE}) u FROM analysis_runs GROUP BY 1)

@@ -17,6 +17,7 @@ from codestrata.operators import graph as G
 from codestrata.operators import lists as L
 from codestrata.operators import resolve as R
 from codestrata.operators import risks as K
+from codestrata.operators import views as V
 from codestrata.operators.merkle import snapshot_diff
 from codestrata.sources import sinks as S
 from codestrata.session import checkpointed, scan, spread, table
@@ -194,6 +195,28 @@ def f18_confidence(s: SparkSession, d: str) -> DataFrame:
     return D.confidence(f, D.file_warnings(f), warnings, R.event_handlers(X.form_events(f), X.symbols(f)), c27_data_bindings(s, d), scan(s, d, "risks", "projectId", "title"))
 
 
+def _snapshots(s: SparkSession, d: str) -> DataFrame:
+    return scan(s, d, "symbol_snapshots", "projectId", "runNumber", "stableKey", "rowId", "name", "qualifiedName", "type", "file", "startLine")
+
+
+def e9_symbol_page(s: SparkSession, d: str) -> DataFrame:
+    """Page 2 of 50 procedures whose name or file holds 'load', over the newest runs (a paged list)."""
+    found = V.symbol_list(V.latest_symbols(_snapshots(s, d)), "procedure", "Load")
+    return L.page(found, [F.col("projectId"), F.coalesce("file", F.lit("")), F.coalesce("startLine", F.lit(0)), F.col("stableKey")], 2, 50)
+
+
+def e10_dependencies(s: SparkSession, d: str) -> DataFrame:
+    symbols = checkpointed(_symbols(s, d))
+    f = _files(s, d)
+    edges = R.unique_call_edges(X.call_sites(f), symbols).unionByName(R.import_edges(X.imports(f), symbols))
+    return V.dependency_list(edges, symbols)
+
+
+def f22_file_counters(s: SparkSession, d: str) -> DataFrame:
+    symbols = checkpointed(_symbols(s, d))
+    return V.file_counters(scan(s, d, "files", "projectId", "filePath", "lineCount"), symbols, R.unique_call_edges(X.call_sites(_files(s, d)), symbols), scan(s, d, "risks", "projectId", "sourceFile"))
+
+
 def m7_rate_limit(s: SparkSession, d: str) -> DataFrame:
     """Requests of ``events`` per user and kind, at most three in an hour's window that starts with its first one."""
     e = scan(s, d, "events", "event_id", "ts", "user_id", "event_type")
@@ -241,6 +264,16 @@ def queries() -> dict[str, Query]:
         "f9_risk_groups": lambda s, d: K.risk_groups(_risks(s, d)),
         "f12_affected_files": lambda s, d: L.affected_files(_risks(s, d)),
         "f13_multiple_writes": lambda s, d: R.multiple_writes(X.field_references(_files(s, d))),
+        "d13_entry_points": lambda s, d: V.entry_points(_symbols(s, d)).select("projectId", "file", "name", "type", "startLine"),
+        "e9_symbol_page": e9_symbol_page,
+        "e9_latest_symbols": lambda s, d: V.latest_symbols(_snapshots(s, d)),
+        "e10_dependencies": e10_dependencies,
+        "f11_rule_groups": lambda s, d: V.rule_groups(f14_rules(s, d)),
+        "f22_file_counters": f22_file_counters,
+        "f24_trace_summary": lambda s, d: V.trace_summary(l8_flow_traces(s, d)),
+        "f25_top_tables": lambda s, d: V.top_tables(R.sql_evidence(X.sql_statements(_files(s, d)))),
+        "f26_metric_deltas": lambda s, d: V.run_metric_deltas(scan(s, d, "symbol_snapshots", "projectId", "runNumber", "stableKey", "type")),
+        "f29_field_dimension": lambda s, d: V.field_dimension(X.field_references(_files(s, d)), X.table_columns(_files(s, d))),
         "c19_file_warnings": lambda s, d: D.file_warnings(_files(s, d)),
         "f14_rules": f14_rules,
         "f16_metrics": f16_metrics,
