@@ -270,3 +270,22 @@ def test_warnings_rules_confidence(spark):
     c = derive.confidence(f, derive.file_warnings(f), none, none, none, none).first()
     assert 0 <= c["score"] <= 100 and c["level"] in ("low", "medium", "high")
     assert "a_b_c" in derive.data_dependency_document(refs).first()["document"]
+
+
+# views ------------------------------------------------------------------------------------------
+def test_views(spark):
+    from codestrata.operators import views
+
+    s = spark.createDataFrame([(1, 1, "a", 1, "x", "f"), (1, 2, "a", 2, "y", "f"), (1, 2, "a", 3, "z", "f"), (1, 2, "b", 4, "w", "g"), (2, 5, "q", 9, None, None)], "projectId long, runNumber int, stableKey string, rowId long, name string, type string")
+    assert {(r.projectId, r.stableKey, r.name) for r in views.latest_symbols(s).collect()} == {(1, "a", "z"), (1, "b", "w"), (2, "q", None)}
+    assert {(r.runNumber, r.type, r.symbols, r.delta) for r in views.run_metric_deltas(s).collect()} == {(2, "f", 1, 0), (2, "g", 1, 1)}
+    refs = spark.createDataFrame([(1, "t", "A", "r.sql", 9)], "projectId long, tableName string, field string, file string, line int")
+    cols = spark.createDataFrame([(1, "dbo.T", "a", "d.sql", 1, "INT"), (1, "T", "a", "e.sql", 1, "BIGINT")], "projectId long, tableName string, field string, file string, line int, fieldType string")
+    assert [(r.fieldKey, r.tableName, r.field, r.fieldType) for r in views.field_dimension(refs, cols).collect()] == [("a", "dbo.T", "a", "BIGINT")]
+    rules = spark.createDataFrame([(1, "validation", "validate_t_a_b_single_owner", 2, "f"), (1, "validation", "validate_t_a_c_single_owner", 3, "g"), (1, "format", "x", 1, "f")], "projectId long, ruleType string, name string, occurrences long, file string")
+    assert {(r.family, r.rules, r.occurrences) for r in views.rule_groups(rules).collect()} == {("t_a.*", 2, 5), ("format", 1, 1)}
+    e = edges(spark, ("k1", "k2")).unionByName(spark.createDataFrame([(1, "k1", "k1", None, "SysUtils", "references", 1)], "projectId long, fromKey string, fromName string, toKey string, toName string, type string, line int")).withColumn("file", F.lit("f"))
+    sym = spark.createDataFrame([(1, "k1", "A", None, "method")], "projectId long, stableKey string, name string, qualifiedName string, type string")
+    assert [(r.sourceName, r.targetName, r.targetKind) for r in views.dependency_list(e, sym).collect()] == [("A", "k2", "internal")]
+    points = spark.createDataFrame([(1, "f", 0, "other"), (1, "f", 1, "Main"), (2, "g", 0, "x"), (2, "g", 1, "y")], "projectId long, file string, ord int, name string")
+    assert {(r.projectId, r.name) for r in views.entry_points(points, 1).collect()} == {(1, "Main"), (2, "x")}
