@@ -219,6 +219,11 @@ SELECT projectId, sum(CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 20
         "j9_fingerprints": r"""
 WITH m AS (SELECT projectId, replace(filePath, '\', '/') AS path, max_by(sha256(content), id) AS hash FROM files WHERE content IS NOT NULL GROUP BY 1, 2)
 SELECT projectId, count(*) AS files, sha256(string_agg(path || ':' || hash, chr(10) ORDER BY encode(path))) AS fingerprint FROM m GROUP BY 1""",
+        "m7_rate_limit": """
+WITH RECURSIVE w AS (SELECT user_id, event_type, min(ts) AS s FROM events WHERE ts IS NOT NULL GROUP BY 1, 2
+  UNION ALL SELECT n.user_id, n.event_type, n.s FROM (SELECT w.user_id, w.event_type, min(e.ts) AS s FROM w JOIN events e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.event_type IS NOT DISTINCT FROM w.event_type AND e.ts >= w.s + INTERVAL 1 HOUR GROUP BY 1, 2, w.s) n),
+x AS (SELECT e.event_id, e.ts, e.user_id, e.event_type, max(w.s) AS s FROM events e JOIN w ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.event_type IS NOT DISTINCT FROM w.event_type AND w.s <= e.ts GROUP BY 1, 2, 3, 4)
+SELECT event_id, ts, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type, s ORDER BY ts, event_id) <= 3 AS allowed, epoch_us(s) AS windowStart FROM x""",
         "k1_last_diff": f"WITH {_TWO} SELECT * FROM k1",
         "k3_diff_buckets": f"WITH {_TWO} SELECT projectId, change, count(*) AS total, least(count(*), 200) AS displayed, count(*) > 200 AS truncated FROM k1 GROUP BY 1, 2",
         "k5_runs": f"""
