@@ -42,33 +42,35 @@ def anchored_limit(requests: DataFrame, keys: Sequence[str], time: str, order: s
     return sorted_rows.mapInPandas(run, f"{fields}, allowed boolean, windowStart long").select(*names, "allowed", "windowStart")
 
 
-class AnchoredLimit(StatefulProcessor):
-    """The same rule over a stream: keyed state of window start and count, cleared by a timer at the window's end."""
-
-    def __init__(self, most: int, seconds: int):
-        self.most, self.ms = most, seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("window", StructType([StructField("start", LongType()), StructField("count", IntegerType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        start, count = self.state.get() if self.state.exists() else (None, 0)
-        for b in rows:
-            out = []
-            for ms in sorted(b["ms"]):
-                if start is None or ms >= start + self.ms:
-                    start, count = int(ms), 0
-                count += 1
-                out.append((*key, int(ms), count <= self.most))
-            yield pd.DataFrame(out, columns=["key", "ms", "allowed"])
-        if start is not None:
-            self.state.update((start, count))
+def _processor(most: int, seconds: int) -> StatefulProcessor:
+    """The processor as a local class: it travels by value, so that stream workers need not import this package."""
+
+    class AnchoredLimit(StatefulProcessor):
+        """The same rule over a stream: keyed state of window start and count."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("window", StructType([StructField("start", LongType()), StructField("count", IntegerType())]))
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            start, count = self.state.get() if self.state.exists() else (None, 0)
+            for b in rows:
+                out = []
+                for ms in sorted(b["ms"]):
+                    if start is None or ms >= start + seconds * 1000:
+                        start, count = int(ms), 0
+                    count += 1
+                    out.append((*key, int(ms), count <= most))
+                yield pd.DataFrame(out, columns=["key", "ms", "allowed"])
+            if start is not None:
+                self.state.update((start, count))
+
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return AnchoredLimit()
 
 
 def streaming_limit(requests: DataFrame, most: int, seconds: int) -> DataFrame:
     """``(key STRING, ms LONG)`` stream to ``(key, ms, allowed)``."""
-    return requests.groupBy("key").transformWithStateInPandas(AnchoredLimit(most, seconds), "key string, ms long, allowed boolean", "Append", "None")
+    return requests.groupBy("key").transformWithStateInPandas(_processor(most, seconds), "key string, ms long, allowed boolean", "Append", "None")

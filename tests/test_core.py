@@ -289,3 +289,17 @@ def test_views(spark):
     assert [(r.sourceName, r.targetName, r.targetKind) for r in views.dependency_list(e, sym).collect()] == [("A", "k2", "internal")]
     points = spark.createDataFrame([(1, "f", 0, "other"), (1, "f", 1, "Main"), (2, "g", 0, "x"), (2, "g", 1, "y")], "projectId long, file string, ord int, name string")
     assert {(r.projectId, r.name) for r in views.entry_points(points, 1).collect()} == {(1, "Main"), (2, "x")}
+
+
+def test_streaming_limit(spark, tmp_path):
+    import json
+
+    from codestrata.streaming.limits import streaming_limit
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"key": "a", "ms": m}) for m in (0, 10, 20, 30, 70000)))
+    stream = spark.readStream.schema("key string, ms long").json(str(tmp_path))
+    q = streaming_limit(stream, 2, 60).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.table("limited").collect())
+    assert got == [("a", 0, True), ("a", 10, True), ("a", 20, False), ("a", 30, False), ("a", 70000, True)]
