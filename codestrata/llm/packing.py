@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path

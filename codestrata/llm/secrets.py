@@ -40,7 +40,6 @@ ABOUT_WORDS = {
 }
 _NAME = r"(?:[A-Za-z]*(?:password|passwort|passwd|passphrase|kennwort|secret|senha|apikey|api[_-]?key|access[_-]?key|secret[_-]?key|sign[_-]?key|private[_-]?key|license[_-]?key|auth[_-]?token|token|pwd)|[A-Za-z_]*(?:pass|pw|auth|_key|-key))"
 _PAIR = re.compile(rf"(?i)(?<![\w.$])(?P<n>[\w.-]*{_NAME})\b[\"']?[ \t]*(?:=|:(?![:=/])|:=|=>)[ \t]*[\"']?(?P<v>[^\s\"';,<>()]+)")
-_KEYED = re.compile(r"(?i)(?<![\w.$])(?P<n>[\w. -]*?[\w-]+)[ \t]*=[ \t]*(?P<v>[^\r\n;]+)")
 _URL = re.compile(r"(?i)\b[a-z][a-z0-9+.-]*://(?P<u>[^\s/:@\"'<>]*):(?P<v>[^\s/@\"'<>]+)@[^\s/\"']")
 _DSN = re.compile(r"(?<![\w/])(?P<u>[A-Za-z_][\w.-]*):(?P<v>[^\s:@\"'<>/()]+)@(?:tcp|udp|unix)?[\w(][\w.(-]*")
 _LOGIN = re.compile(r"(?i)\b(?:log[io]n|user|account|credentials?|zugang|benutzer|utilisateur|usuario|usuário|anmeldung)\b[^\n]{0,60}?[\w.-]+[ \t]*(?:/|:|\||,[ \t]*(?:pw|password|pass)?)[ \t]*(?P<v>[^\s/\"'<>]{6,})[ \t]*(?:\*/|\*\)|\}|-->)?[ \t\r]*$", re.M)

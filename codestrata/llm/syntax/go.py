@@ -102,12 +102,10 @@ class GoParser(Parser):
             key = self.ks[start:end]
             got = _MEMO.get(key)
             if got is None:
-                before = len(self.faults)
                 sub = GoParser(key)
                 sub.level = 0
                 sub.declarations()
                 got = tuple(sub.faults)
-                del before
                 _MEMO.put(key, got)
             self.faults += [(start + a, m) for a, m in got]
             self.p = end

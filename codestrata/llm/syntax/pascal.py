@@ -33,8 +33,8 @@ _ID = frozenset("i") | K.set(_PLACED)
 _MEMBER = _ID | K.set(_RESERVED)
 _VISIBLE = K.set("private protected public published automated")
 _PLAIN_DIRECTIVE = K.set("virtual override overload reintroduce dynamic cdecl stdcall register pascal safecall export far near assembler deprecated platform experimental abstract static inline varargs final unsafe resident local library winapi delayed sealed")
+_SPECIFIER, _BARE_SPECIFIER, _HINT = K.set("read write stored index default implements dispid"), K.set("nodefault readonly writeonly"), K.set("deprecated platform experimental library")
 _ROUTINE = K.set("procedure function constructor destructor")
-_RELATION = K.set("= <> < > <= >= in is as")
 _BINARY = {**{K[o]: 1 for o in "= <> < > <= >= in is".split()}, **{K[o]: 2 for o in "+ - or xor".split()}, **{K[o]: 3 for o in "* / div mod and shl shr as".split()}}
 ASSIGN, DOTDOT = K[":="], K[".."]
 _OPENERS = re.compile(f"[{BEGIN}{CASE}{TRY}{END}]")
@@ -627,13 +627,13 @@ class PascalParser(Parser):
             self.type_name()
         while ks[self.p] != ";":
             k = ks[self.p]
-            if k in K.set("read write stored index default implements dispid"):
+            if k in _SPECIFIER:
                 self.p += 1
                 if k != DEFAULT or ks[self.p] != ";":
                     self.expression()
                     while k == IMPLEMENTS and self.accept(","):
                         self.type_name()
-            elif k in K.set("nodefault readonly writeonly"):
+            elif k in _BARE_SPECIFIER:
                 self.p += 1
             else:
                 self.fail("property specifier")
@@ -643,7 +643,7 @@ class PascalParser(Parser):
         self.after_hints()
 
     def after_hints(self) -> None:
-        while self.ks[self.p] in K.set("deprecated platform experimental library") and self.ks[self.p + 1] in ";s":
+        while self.ks[self.p] in _HINT and self.ks[self.p + 1] in ";s":
             self.p += 1
             self.accept("s")
             self.need(";")
