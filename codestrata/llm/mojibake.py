@@ -1,7 +1,9 @@
 """Problem 4: passages garbled by wrong decoding, found and, where nothing was lost, restored.
 
 1. Pair statistics: how often each character and each adjacent pair with a non-ASCII character occurs in
-   the whole corpus. Pairs below ``RARE`` of all pairs are left out, which bounds the table by ``1 / RARE``.
+   the whole corpus, without stretches that have the form of a wrong decoding (``formed``): however common
+   a garbling is, it never counts as good text. Pairs below ``RARE`` of all pairs are left out, which bounds
+   the table by ``1 / RARE``.
 2. Every adjacent pair of a line gets its pointwise mutual information, shrunk by its support; maximum-scoring
    segments of what is missing to ``EXPECTED`` isolate improbable runs.
 3. Only inside those runs inverse mappings are tried: encode with the encoding the bytes were read as, decode
@@ -50,6 +52,74 @@ _TWICE = re.compile(r"[Ã-ü][\x80-¿ŒœŠšŸŽžƒˆ˜–-—‘-‚“-„
 _QUOTED = re.compile(r"(['\"`])([^'\"`\n]{1,8})\1")
 
 
+def _undefined_as_c1(raw: bytes, encoding: str) -> str:
+    """``raw`` decoded by a single-byte encoding; undefined bytes come through as C1 controls."""
+    return "".join(_C1.get(b, "") if (c := bytes([b]).decode(encoding, "ignore")) == "" else c for b in raw)
+
+
+def _sequences(encoding: str) -> re.Pattern:
+    """Well-formed UTF-8 of two to four bytes, each byte read as ``encoding``."""
+    of = lambda a, b: "[" + re.escape(_undefined_as_c1(bytes(range(a, b)), encoding)) + "]"
+    trail = of(0x80, 0xC0)
+    return re.compile(f"{of(0xC2, 0xE0)}{trail}|{of(0xE0, 0xF0)}{trail}{{2}}|{of(0xF0, 0xF5)}{trail}{{3}}")
+
+
+_SINGLE = tuple(e for e in READ_AS if e not in _MULTI)
+_SEQUENCES = {e: _sequences(e) for e in _SINGLE}
+#: Characters that a sequence of UTF-8 may stand for: the scripts and marks of ordinary text.
+_ORDINARY = re.compile("[\x80-\u017f\u0391-\u03ce\u0400-\u045f\u0490\u0491\u2010-\u2044\u20ac\u2116\u2122\u2190-\u2193\u2212\u2500-\u257f\u3000-\u30ff\u3400-\u9fff\uac00-\ud7a3\ufe30-\ufe4f\uff00-\uffef\U0001f300-\U0001faff]+")
+_STRETCH = re.compile(r"[^\x00-\x7f]{3,}")
+#: Letters and marks of one byte in Western encodings; words of four or more in a row are bytes of another one.
+_WESTERN = re.compile("[\x80-ÿŒœŠšŸŽžƒˆ˜–-—‘-‚“-„†-‡•…‰‹›€™]{4,}")
+_MIXED = re.compile("[A-Za-z][\u0400-\u045f\u0391-\u03ce]|[\u0400-\u045f\u0391-\u03ce][A-Za-z]")
+
+
+#: A Russian word in which the case of every letter is turned round: KOI8 against Windows.
+_TURNED = re.compile(r"(?<![^\W\d_])[а-яё][А-ЯЁ]{2,}(?![^\W\d_])")
+_KANA = re.compile("[\u3040-\u30ff]")
+
+
+def formed(text: str) -> list[tuple[int, int]]:
+    """Spans that have the form of a wrong decoding, whatever the corpus holds.
+
+    UTF-8 read as an encoding of one byte (the sequence is well-formed) or of several (three characters or more
+    are well-formed together), long rows of different Western letters and marks, letters of two scripts side by side,
+    Russian with its case turned round, ideographs that are kana in the bytes of Japanese.
+    """
+    if _TURNED.search(text):
+        return [(0, len(text))]
+    spans = []
+    for encoding, pattern in _SEQUENCES.items():
+        for m in pattern.finditer(text):
+            after = decoded(m[0], encoding, "utf-8")
+            if after and _ORDINARY.fullmatch(after):
+                spans.append(m.span())
+    spans += [m.span() for m in _WESTERN.finditer(text) if len(set(m[0])) > 2]
+    spans += [m.span() for m in _MIXED.finditer(text)]
+    for m in _STRETCH.finditer(text):
+        for encoding in _MULTI - {"utf-8"}:
+            try:
+                raw = m[0].encode(encoding)
+            except UnicodeEncodeError:
+                continue
+            try:
+                after = raw.decode("utf-8")
+            except UnicodeDecodeError as e:
+                if e.reason != "unexpected end of data" or e.start < 4:
+                    continue  # the last bytes may have gone into the ASCII behind
+                after = raw[: e.start].decode("utf-8")
+            if _ORDINARY.fullmatch(after):
+                spans.append(m.span())
+                break
+        if _KANA.search(m[0]) is None:
+            for encoding in ("gb18030", "big5", "cp949"):
+                after = decoded(m[0], encoding, "cp932")
+                if after and len(_KANA.findall(after)) > 0.3 * len(after):
+                    spans.append(m.span())
+                    break
+    return spans
+
+
 class Stats:
     """The corpus statistics in the form the scoring needs."""
 
@@ -239,6 +309,21 @@ class Detector:
         return whole if good and not self.garbled(whole) else None
 
 
+def counted(c: Counter, text: str) -> None:
+    """Adds the characters and pairs of a text to the statistics, without stretches that are ``formed``."""
+    c.update(text)
+    if text.isascii():
+        return
+    for m in _RUN.finditer(text):
+        s = m[0]
+        bad: set[int] = set()
+        for a, b in formed(s):
+            bad.update(range(a, b))
+        if bad:
+            c.subtract(s[i] for i in bad if s[i] > "\x7f")
+        c.update(x + y for i, (x, y) in enumerate(zip(s, s[1:])) if (x > "\x7f" or y > "\x7f") and i not in bad and i + 1 not in bad)
+
+
 def pair_statistics(records: DataFrame, text: str = "content") -> DataFrame:
     """``(gram, n)`` for single characters and for pairs with a non-ASCII character, over all rows.
 
@@ -249,11 +334,8 @@ def pair_statistics(records: DataFrame, text: str = "content") -> DataFrame:
         for b in batches:
             c: Counter = Counter()
             for t in b[text]:
-                c.update(t)
-                if not t.isascii():
-                    for m in _RUN.finditer(t):
-                        s = m[0]
-                        c.update(x + y for x, y in zip(s, s[1:]) if x > "\x7f" or y > "\x7f")
+                counted(c, t)
+            c = +c
             yield pd.DataFrame({"gram": list(c), "n": list(c.values())})
 
     counts = records.where(F.length(text) > 0).select(text).mapInPandas(run, "gram string, n long")
