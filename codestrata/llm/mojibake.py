@@ -49,6 +49,8 @@ _LOST = re.compile(r"�|[\x80-\x84\x86-\x9f]")
 _QUESTION = re.compile(r"(?<![\w?=&/.:])[^\W\d_]*(?:[^\W\d_]\?+[^\W\d_])[^\W\d_]*(?![\w(=&/:.])")
 _PRIVATE = re.compile("[\ue000-\uf8ff]")
 _TWICE = re.compile(r"[Ã-ü][\x80-¿ŒœŠšŸŽžƒˆ˜–-—‘-‚“-„†-‡•…‰‹›€™]")
+#: A question mark in place of a lost letter, in a line that was garbled.
+_ASKED = re.compile(r"\?(?!\w+=)(?:[^\W\d_]|[^\x00-\x7f])")
 _QUOTED = re.compile(r"(['\"`])([^'\"`\n]{1,8})\1")
 
 
@@ -281,32 +283,101 @@ class Detector:
         return False
 
     def repaired(self, text: str) -> str | None:
-        """The original text if one mapping turns all of it back without loss; else line by line; else None."""
+        """The original text if one mapping turns all of it back without loss; else line by line; else None.
+
+        Line by line, a mapping believed anywhere in the record is applied to every run and sequence it decodes.
+        """
         if _LOST.search(text) and not re.search(r"[\x80-\x9f]", text):
             return None
+        lines = text.split("\n")
         maps: Counter = Counter()
-        for line in text.split("\n"):
+        for line in lines:
             if not line.isascii():
-                for r in self.runs(line):
-                    m = self.mapping(r)
-                    if m:
-                        maps[m[:2]] += 1
+                found = [m for r in self.runs(line) if (m := self.mapping(r))]
+                if not found and self.garbled(line) and (wide := self.wide_mapping(line)):
+                    found = [wide]
+                for m in found:
+                    maps[m[:2]] += 1
         for (read_as, were_in), _ in maps.most_common(3):
             whole = decoded(text, read_as, were_in)
             for _ in range(2):  # decoded twice
                 if whole is not None and self.garbled(whole):
                     whole = decoded(whole, read_as, were_in)
-            if whole is not None and not self.garbled(whole):
+            if whole is not None and not self.garbled(whole) and not self.left_over(whole, maps):
                 return whole
-        out, good = [], bool(maps)
+        if not maps:
+            return None
+        after = [line if line.isascii() else self.repaired_line(line, maps) for line in lines]
+        if any(a != b and _ASKED.search(b) for a, b in zip(lines, after)):
+            return None
+        whole = "\n".join(after)
+        return None if self.garbled(whole) or self.left_over(whole, maps) else whole
+
+    def wide_mapping(self, line: str) -> tuple[str, str, str] | None:
+        """What ``widened`` believes of a line."""
+        odd = [i for i, c in enumerate(line) if c > "\x7f"]
+        whole = line[odd[0] : odd[-1] + 2]
+        return next((m for x in (whole, whole[:-1]) if (m := self.mapping(x))), None)
+
+    def repaired_line(self, line: str, maps: Counter) -> str:
+        """The line with every run put right, quoted sequences aside; as often as a run was decoded wrongly."""
+        for _ in range(3):
+            before, kept = line, _quoted_spans(line)
+
+            def put_right(m: re.Match) -> str:
+                inside = any(a < m.end() and m.start() < b for a, b in kept)
+                return m[0] if inside else self.repaired_run(m[0], maps)
+
+            line = _RUN.sub(put_right, line)
+            if line == before:
+                break
+        return line
+
+    def repaired_run(self, run: str, maps: Counter) -> str:
+        if m := self.mapping(run):
+            return m[2]
+        for (read_as, were_in), _ in maps.most_common():
+            if were_in == "utf-8" and read_as in _SEQUENCES:
+                run = _SEQUENCES[read_as].sub(lambda m: _ordinary(m[0], read_as) or m[0], run)
+                continue
+            after = decoded(run, read_as, were_in)
+            # these succeed by chance as well: the corpus must hold the result for no less likely
+            if after and after != run and not _LOST.search(after) and self.stats.bits(f" {after} ") < self.stats.bits(f" {run} "):
+                return after
+        return run
+
+    def left_over(self, text: str, maps: Counter) -> bool:
+        """Whether the text still holds what a believed mapping decodes or the first half of it, quoted sequences aside."""
+        leads = {c for read_as, were_in in maps if were_in == "utf-8" and read_as in _SEQUENCES for c in _undefined_as_c1(b"\xc2\xc3\xc4\xc5", read_as)}
         for line in text.split("\n"):
-            for r in self.runs(line) if not line.isascii() else ():
-                m = self.mapping(r)
-                if m:
-                    line = line.replace(r, m[2])
-            out.append(line)
-        whole = "\n".join(out)
-        return whole if good and not self.garbled(whole) else None
+            if line.isascii():
+                continue
+            if self.repaired_line(line, maps) != line:
+                return True
+            kept = _quoted_spans(line)
+            for i, c in enumerate(line):
+                if c in leads and not any(a <= i < b for a, b in kept) and _halved(line, i):
+                    return True
+        return False
+
+
+def _quoted_spans(line: str) -> list[tuple[int, int]]:
+    """Where sequences are quoted on purpose: a literal that is nothing but the sequence."""
+    return [m.span() for m in _QUOTED.finditer(line) if not m[2].isascii() and not re.search(r"[A-Za-z]", m[2])]
+
+
+def _halved(line: str, i: int) -> bool:
+    """Whether the first byte of a sequence has lost its second one: a capital behind a small letter, or a mark in or at a word."""
+    c, before, behind = line[i], line[i - 1 : i], line[i + 1 : i + 2]
+    if c.isupper():
+        return before.islower() or c in "ÃĂ" and not before.isalpha() and not behind.isalpha()
+    return not c.isalpha() and (before.isalpha() or behind.isalpha())
+
+
+def _ordinary(sequence: str, read_as: str) -> str | None:
+    """What a sequence of UTF-8 read as ``read_as`` stands for, if that is ordinary text."""
+    after = decoded(sequence, read_as, "utf-8")
+    return after if after and _ORDINARY.fullmatch(after) else None
 
 
 def counted(c: Counter, text: str) -> None:

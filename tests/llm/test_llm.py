@@ -167,6 +167,25 @@ def test_common_garbling_is_found(spark, forms):
     assert {r.extractId for r in mojibake.garbled_records(df).collect()} == {i for i, _ in bad}
 
 
+def test_repair_is_whole_or_null(spark):
+    rows = [(i, f"-- {CLEAN[i % 5]} {i}\n-- Esta función actualiza la dirección de envío {i}\n-- La procédure a été vérifiée à la clôture, traité {i}") for i in range(400)]
+    read = lambda t, was, read_as: t.encode(was).decode(read_as)
+    fine = "-- Esta función actualiza la dirección de envío"
+    half = "-- La procédure a été vérifiée à la clôture, traité"
+    quoted = 'fix := "Ã©" // a table'
+    # garbled whole, garbled in parts beside clean text or a quoted sequence, or with lost bytes
+    records = {
+        1000: (f"{read(half, 'utf-8', 'cp1252')}\n{fine}\n// {read('été', 'utf-8', 'cp1252')} créé", f"{half}\n{fine}\n// été créé"),
+        1001: (f"{read(fine, 'cp850', 'cp1252')}\n{half} €", f"{fine}\n{half} €"),
+        1002: (f"{quoted}\n{read(half, 'utf-8', 'cp1252')}\n{fine}", f"{quoted}\n{half}\n{fine}"),
+        1003: (f"{read(half, 'utf-8', 'cp1252')}\n{fine}\n-- {read('envío', 'utf-8', 'cp1252')}".replace("\xad", ""), None),
+        1004: (f"{read(half, 'utf-8', 'cp1252')}\n{fine}".replace("\xa0", " "), None),
+    }
+    df = spark.createDataFrame(rows + [(i, x[0]) for i, x in records.items()], "extractId long, content string")
+    got = {r.extractId: r.repairedContent for r in mojibake.garbled_records(df, repair=True).collect()}
+    assert got == {i: x[1] for i, x in records.items()}
+
+
 def test_segments_against_brute_force():
     r = random.Random(1)
     for _ in range(60):
