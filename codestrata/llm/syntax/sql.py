@@ -1,7 +1,7 @@
 """SQL scripts of the common dialects.
 
-Queries, data changes, table and view definitions and procedural blocks are parsed in full; of other
-statements with a known verb the order of words is free, but brackets must balance and every word
+Queries, data changes, table and view definitions, parameters, declarations, RETURN, PRINT, CALL, EXEC and
+procedural blocks are parsed in full; of other statements with a known verb the order of words is free, but brackets must balance and every word
 after which something must follow has to be followed by it.
 """
 
@@ -22,7 +22,7 @@ _OPEN_WORDS = (
     " cursor do try catch leave iterate signal exit continue replace ignore merge matched truncate grant revoke deny use go commit rollback start transaction savepoint save lock unlock tables explain analyze"
     " show describe comment rename delimiter over partition escape ilike rlike regexp similar to collate at interval cast convert extract temporary temp or_replace language cascade ascending asc desc"
     " minus window filter within returning output pivot unpivot apply lateral nulls global local identified option package body perform get diagnostics handler copy vacuum optimize pragma attach detach"
-    " kill prepare deallocate backup restore dbcc bulk reset install load handler_ flush checkpoint waitfor shutdown set_ add column modify change values_ inout out"
+    " kill prepare deallocate backup restore dbcc bulk reset install load handler_ flush checkpoint waitfor shutdown set_ add column modify change values_ inout out precision varying unsigned signed zerofill without national large constant nocopy readonly variadic"
 )
 K = Kinds(f"{_RESERVED} {_OPEN_WORDS}", "<=> := <> != !< !> <= >= || && :: ->> -> => ** << >> == ~* !~ += -= *= /= %= |= &= ^= .. + - * / % = < > ( ) [ ] { } , . : ? @ & | ^ ~ ! # $", True)
 _TOKEN = re.compile(
@@ -36,6 +36,8 @@ _TOKEN = re.compile(
 (LEFT, RIGHT, FULL, OUTER, NATURAL, ALL, LIMIT, OFFSET, FETCH, TOP, WITH, RECURSIVE, VIEW, PROCEDURE, FUNCTION, TRIGGER, INDEX, PRIMARY, FOREIGN, KEY, UNIQUE, CHECK, CONSTRAINT, REFERENCES, DEFAULT, BEGIN, IF, ELSEIF, ELSIF, WHILE, LOOP, REPEAT, UNTIL, FOR, RETURN, RETURNS, DECLARE, EXEC, EXECUTE, DO, TRY, CATCH, REPLACE, MERGE, GO, OVER, PARTITION, ESCAPE, INTERVAL, MINUS, RETURNING, OUTPUT, LATERAL, ROWS, ROW, ONLY, COLLATE, CAST, LANGUAGE, WINDOW, FILTER, TO, AT, IGNORE, OPTION, ASC, DESC, TRANSACTION, CURSOR, IDENTIFIED, HANDLER, DELIMITER, PACKAGE, BODY, COMMENT, APPLY, NULLS) = (
     K[w] for w in "left right full outer natural all limit offset fetch top with recursive view procedure function trigger index primary foreign key unique check constraint references default begin if elseif elsif while loop repeat until for return returns declare exec execute do try catch replace merge go over partition escape interval minus returning output lateral rows row only collate cast language window filter to at ignore option asc desc transaction cursor identified handler delimiter package body comment apply nulls".split()
 )
+_MODES = K.set("in out inout variadic nocopy")
+_TYPE_WORDS = K.set("precision varying unsigned signed zerofill cursor")
 _ID = frozenset("iq") | K.set(_OPEN_WORDS)
 _NAMEABLE = _ID | K.set("left right values set table")
 _VERBS = K.set("select insert update delete create drop alter with merge exec execute declare if while begin print return set truncate grant revoke deny use raiserror throw open close fetch call")
@@ -287,7 +289,149 @@ class SqlParser(Parser):
             return
         if ks[self.p] not in _NAMEABLE:
             self.fail("name")
-        self.balanced()
+        self.declaration()
+        while self.accept(","):
+            self.declaration()
+        while ks[self.p] == ";" and ks[self.p + 1] == "i" and (ks[self.p + 2] in ("i", K["constant"]) or ks[self.p + 2] == CURSOR):
+            self.p += 1  # the other declarations of an anonymous block
+            self.declaration()
+
+    def declaration(self) -> None:
+        """Names, a type and a value; a cursor and its query; of conditions and named types the order is free."""
+        ks = self.ks
+        if ks[self.p] == CURSOR and ks[self.p + 1] in _NAMEABLE:
+            self.p += 2
+            if ks[self.p] == "(":
+                self.parameters()
+            if self.accept(RETURN):
+                self.type()
+            if ks[self.p] == ";":
+                return
+            self.need(IS)
+            self.query()
+            return
+        if ks[self.p] not in _NAMEABLE:
+            self.fail("name")
+        if ks[self.p] == K["pragma"] or ks[self.p] in (PROCEDURE, FUNCTION) or ks[self.p] == "i" and ks[self.p + 2] == IS:
+            self.balanced()
+            return
+        self.p += 1
+        while ks[self.p] == "," and ks[self.p + 1] in _NAMEABLE:
+            self.p += 2
+        end = self.p
+        while ks[end] in _ID and ks[end] != CURSOR:
+            end += 1
+        if ks[end] == CURSOR:
+            self.p = end + 1
+            while ks[self.p] in _ID and ks[self.p] != FOR:
+                self.p += 1
+            if ks[self.p] == "(":
+                self.parameters()
+            if self.accept(FOR) or self.accept(IS):
+                if ks[self.p] in (SELECT, WITH, "(", VALUES):
+                    self.query()
+                else:
+                    self.name()
+            return
+        if ks[self.p] == "i" and ks[self.p + 1] == FOR:
+            self.balanced()
+            return
+        self.accept(AS)
+        self.accept(K["constant"])
+        if ks[self.p] == TABLE and ks[self.p + 1] == "(":
+            self.p += 1
+            self.columns()
+            return
+        self.type()
+        self.value()
+
+    def value(self) -> None:
+        """What may follow the type of a variable or parameter."""
+        if self.accept(NOT):
+            self.need(NULL)
+        else:
+            self.accept(NULL)
+        if self.accept(K[":="]) or self.accept("=") or self.accept(DEFAULT):
+            self.expression()
+
+    def type(self) -> None:
+        ks = self.ks
+        first = ks[self.p]
+        if first not in _NAMEABLE or first in (AS, DEFAULT):
+            self.fail("type")
+        self.p += 1
+        if first == K["national"] and ks[self.p] in _ID:
+            self.p += 1
+        while ks[self.p] == ".":
+            self.p += 1
+            if ks[self.p] not in _NAMEABLE:
+                self.fail("name")
+            self.p += 1
+        while True:
+            k = ks[self.p]
+            if k == "(":
+                self.group()
+            elif k in _TYPE_WORDS:
+                self.p += 1
+            elif k == K["large"] or k == "%":
+                self.p += 1
+                if ks[self.p] not in _ID:
+                    self.fail("type")
+                self.p += 1
+            elif k in (WITH, K["without"]) and ks[self.p + 1] == "i" and ks[self.p + 2] == "i":
+                self.p += 3
+            elif k == WITH and ks[self.p + 1] == K["local"]:
+                self.p += 4
+            elif k == "i" and ks[self.p + 1] == SET:
+                self.p += 3
+            elif k == COLLATE:
+                self.p += 1
+                self.name()
+            elif k == "[":
+                self.p += 1
+                self.accept("n")
+                self.need("]")
+            elif first == INTERVAL and (k == "i" or k == TO):
+                self.p += 1
+            else:
+                return
+
+    def parameters(self) -> int:
+        """Parameters in brackets; the place of the first that is one word only, or -1."""
+        self.need("(")
+        bare = -1
+        if self.accept(")"):
+            return bare
+        while True:
+            at = self.parameter()
+            bare = at if bare < 0 else bare
+            if not self.accept(","):
+                break
+        self.need(")")
+        return bare
+
+    def parameter(self) -> int:
+        """Modes, a name, a type and a value; some dialects leave out the name. The place if it is one word only, or -1."""
+        ks = self.ks
+        while ks[self.p] in _MODES and ks[self.p + 1] not in (",", ")"):
+            self.p += 1
+        start = self.p
+        if ks[start] not in _NAMEABLE:
+            self.fail("parameter")
+        if ks[start + 1] in (",", ")", "=", DEFAULT, K[":="], AS) and not (ks[start + 1] == AS and ks[start + 2] in _NAMEABLE and ks[start + 3] in ",()="):
+            self.p += 1
+            self.value()
+            return start
+        if ks[start + 1] in _NAMEABLE or ks[start + 1] in (AS, IN):
+            self.p += 1
+            self.accept(AS)
+            while ks[self.p] in _MODES:
+                self.p += 1
+        self.type()
+        self.value()
+        while ks[self.p] in K.set("out output readonly"):
+            self.p += 1
+        return -1
 
     def set_(self) -> None:
         ks = self.ks
@@ -318,10 +462,53 @@ class SqlParser(Parser):
 
     def free(self) -> None:
         """A statement of free form."""
-        start = self.p
+        ks, start = self.ks, self.p
+        k = ks[start]
         self.p += 1
-        if self.ks[start] in (EXEC, EXECUTE) and self.ks[self.p] in ";\0":
+        if k in (EXEC, EXECUTE) and ks[self.p] in ";\0":
             self.fail("name")
+        if k == RETURN or k == K["print"]:
+            if k == RETURN and (ks[self.p] in (";", "\0", END, ELSE, GO) or ks[self.p] in _VERBS and ks[self.p] not in (SELECT, WITH)):
+                return
+            if ks[self.p] in (SELECT, WITH):
+                self.query()
+                return
+            if not (ks[self.p] == "i" and ks[self.p + 1] in (SELECT, WITH, EXECUTE)):  # RETURN QUERY
+                self.expression()
+                return
+        elif k == K["call"]:
+            self.name()
+            if ks[self.p] == "(":
+                self.call()
+            return
+        elif k in (EXEC, EXECUTE) and ks[self.p] in _ID and ks[self.p] not in (PROCEDURE, FUNCTION, AS):
+            if ks[self.p + 1] == "=":
+                self.p += 2
+            self.name()
+            if ks[self.p] == "(":
+                self.call()
+            elif ks[self.p] in _ARGUMENT:
+                while True:
+                    if not self.accept(DEFAULT):
+                        self.expression()
+                    if not self.accept(OUTPUT):
+                        self.accept(K["out"])
+                    if not self.accept(","):
+                        break
+            if ks[self.p] in (INTO, USING, WITH, AT, RETURNING):
+                self.balanced()
+            return
+        elif k == ALTER and ks[self.p] == TABLE:
+            self.p += 1
+            self.if_exists()
+            self.accept(ONLY)
+            self.name()
+            if ks[self.p] == K["add"] and ks[self.p + 1] not in (PARTITION, "("):
+                self.p += 1
+                self.accept(K["column"])
+                if ks[self.p] == IF:
+                    self.if_exists()
+                self.column()
         self.balanced(start)
 
     def balanced(self, start: int = -1) -> None:
@@ -373,7 +560,7 @@ class SqlParser(Parser):
             self.if_exists()
             self.name()
             if ks[self.p] == "(":
-                self.group()
+                self.group()  # names, in some dialects with comments
             if self.accept(WITH):
                 self.p += 1
                 while self.accept(","):
@@ -416,9 +603,19 @@ class SqlParser(Parser):
             self.need(EXISTS)
 
     def routine(self, kind: str) -> None:
-        """Head in free form up to the body: a block, AS statements, one statement, or a quoted body."""
+        """Parameters, options in free form, then the body: a block, AS statements, one statement, or a quoted body."""
         ks = self.ks
-        depth = 0
+        depth, bare = 0, -1
+        if kind in (PROCEDURE, FUNCTION):
+            if ks[self.p] == "(":
+                bare = self.parameters()
+            elif kind == PROCEDURE and ks[self.p] == "i":
+                bare = self.parameter()
+                while self.accept(","):
+                    at = self.parameter()
+                    bare = at if bare < 0 else bare
+                if ks[self.p] == "i":
+                    self.fail(", or body")
         while True:
             k = ks[self.p]
             if k == "(":
@@ -434,8 +631,24 @@ class SqlParser(Parser):
                     if kind == FUNCTION:  # external or SQL-body functions end here
                         return
                     self.fail("body")
+                if k == RETURN and kind == FUNCTION:  # the type of the result, where IS and declarations follow
+                    end = self.p + 1
+                    while ks[end] in _NAMEABLE or ks[end] in ".%n" or ks[end] == "(" and ks[end + 1] == "n" or ks[end] == ")" and ks[end - 1] == "n":
+                        end += 1
+                    if end > self.p + 1 and ks[end] in (IS, AS) and ks[end + 1] not in (NULL, NOT, "s"):
+                        self.p = end
+                        continue
                 if k == BEGIN or k == RETURN or k == IF:
                     break
+                if k == RETURNS:
+                    self.p += 1
+                    if ks[self.p] == "i" and ks[self.p + 1] == TABLE:
+                        self.p += 1
+                    if ks[self.p] == TABLE and ks[self.p + 1] == "(":
+                        self.p += 1
+                    if ks[self.p] == "(" or ks[self.p - 1] == TABLE:
+                        self.columns()
+                    continue
                 if k == AS or k == IS:
                     self.p += 1
                     if ks[self.p] == "s":
@@ -453,10 +666,12 @@ class SqlParser(Parser):
             self.fail(")")
         if kind == TRIGGER and self.p and ks[self.p - 1] in ";":
             self.fail("body")
-        while ks[self.p] not in (BEGIN, ";", "\0") and ks[self.p] in _ID and ks[self.p] not in _FREE and ks[self.p] not in (IF, WHILE, DECLARE, LOOP, FOR, RETURN, WITH, REPLACE, MERGE):
+        if bare >= 0 and ks[self.p] != RETURN and not (ks[self.p] == BEGIN and ks[self.p + 1] == "i"):  # types alone go with quoted bodies
+            self.p = bare + 1
+            self.fail("type")
+        while ks[self.p] not in (BEGIN, ";", "\0") and ks[self.p] in _ID and (ks[self.p] not in _FREE or ks[self.p] == K["pragma"]) and ks[self.p] not in (IF, WHILE, DECLARE, LOOP, FOR, RETURN, WITH, REPLACE, MERGE):
             # declarations of a stored body: name type [:= value];
-            while ks[self.p] not in ";\0":
-                self.p += 1
+            self.declaration()
             self.need(";")
         if ks[self.p] in ";\0":
             self.fail("body")
@@ -483,11 +698,8 @@ class SqlParser(Parser):
         if ks[self.p] == SELECT or ks[self.p] == LIKE:
             self.balanced_inside()
         else:
-            while True:
-                self.column()
-                if not self.accept(","):
-                    break
-            self.need(")")
+            self.p -= 1
+            self.columns()
         if self.accept(AS):
             self.query()
             return
@@ -502,12 +714,21 @@ class SqlParser(Parser):
             depth += (k == "(") - (k == ")")
             self.p += 1
 
+    def columns(self) -> None:
+        self.need("(")
+        while True:
+            self.column()
+            if not self.accept(","):
+                break
+        self.need(")")
+
     def column(self) -> None:
         """A column or a constraint: a name, then a type and options."""
         ks = self.ks
         k = ks[self.p]
         if k in (CONSTRAINT, PRIMARY, FOREIGN, UNIQUE, CHECK, KEY, INDEX, FULL, LIKE, EXCEPT) or k == "i" and ks[self.p + 1] == KEY:
-            self.p += 1
+            if k != CHECK:
+                self.p += 1
             if ks[self.p] in ",)\0;":
                 self.fail("constraint")
         else:
@@ -529,6 +750,8 @@ class SqlParser(Parser):
                     self.fail("value")
                 if k == DEFAULT:
                     self.expression(5)
+                elif k == CHECK and ks[self.p] == "(":
+                    self.condition()
             elif k in _NAMEABLE or k in "sn" or k in (NOT, NULL, ON, AS, DELETE, UPDATE, BY, "=", "-", "+", ".", IN, IS, "["):
                 self.p += 1
                 if k == "[":
@@ -678,10 +901,54 @@ class SqlParser(Parser):
             while True:
                 self.name()
                 self.need(AS)
-                self.group()
+                self.window()
                 if not self.accept(","):
                     break
 
+    def condition(self) -> None:
+        self.need("(")
+        self.expression()
+        self.need(")")
+
+    def window(self) -> None:
+        """What stands in brackets behind OVER: a name, partition, order and frame."""
+        ks = self.ks
+        self.need("(")
+        if ks[self.p] in "iq" and ks[self.p + 1] in (PARTITION, ORDER, ")"):
+            self.p += 1
+        if self.accept(PARTITION):
+            self.need(BY)
+            while True:
+                self.expression()
+                if not self.accept(","):
+                    break
+        if self.accept(ORDER):
+            self.need(BY)
+            self.order_list()
+        if ks[self.p] in (ROWS, "i"):  # the frame: words and bounds
+            self.p += 1
+            if ks[self.p] == ")":
+                self.fail("frame")
+            between = self.accept(BETWEEN)
+            self.bound()
+            if between:
+                self.need(AND)
+                self.bound()
+            while ks[self.p] in _ID and ks[self.p] != "q" or ks[self.p] == GROUP:  # EXCLUDE
+                self.p += 1
+        self.need(")")
+
+    def bound(self) -> None:
+        """UNBOUNDED PRECEDING, CURRENT ROW, or a value and a direction."""
+        ks = self.ks
+        if ks[self.p] == "i" and ks[self.p + 1] in ("i", ROW):
+            self.p += 2
+        else:
+            self.expression(5)
+            if ks[self.p] != "i":
+                self.fail("bound")
+            self.p += 1
+
     def item(self) -> None:
         ks = self.ks
         if ks[self.p] == "*":
@@ -1015,7 +1282,16 @@ class SqlParser(Parser):
             self.need("(")
             self.query()
             self.need(")")
-        elif k == CAST and ks[self.p + 1] == "(" or k == K["convert"] and ks[self.p + 1] == "(" or k == K["extract"] and ks[self.p + 1] == "(":
+        elif k == CAST and ks[self.p + 1] == "(":
+            self.p += 2
+            self.expression()
+            self.need(AS)
+            self.type()
+            if ks[self.p] != ")":  # FORMAT, ARRAY and the like
+                self.balanced_inside()
+            else:
+                self.p += 1
+        elif k == K["convert"] and ks[self.p + 1] == "(" or k == K["extract"] and ks[self.p + 1] == "(":
             self.p += 1
             self.group()
         elif k == INTERVAL and ks[self.p + 1] in "sn(i" and ks[self.p + 1] != ")":
@@ -1103,14 +1379,21 @@ class SqlParser(Parser):
         self.depth -= 1
         if ks[self.p] == FILTER and ks[self.p + 1] == "(":
             self.p += 1
-            self.group()
+            self.need("(")
+            self.need(WHERE)
+            self.expression()
+            self.need(")")
         if ks[self.p] == K["within"] and ks[self.p + 1] == GROUP:
             self.p += 2
-            self.group()
+            self.need("(")
+            self.need(ORDER)
+            self.need(BY)
+            self.order_list()
+            self.need(")")
         if ks[self.p] == OVER:
             self.p += 1
             if ks[self.p] == "(":
-                self.group()
+                self.window()
             else:
                 self.name()
 
@@ -1129,6 +1412,8 @@ class SqlParser(Parser):
         self.need(END)
 
 
+#: What an argument of EXEC without brackets begins with.
+_ARGUMENT = frozenset("snq-+?") | {"i", NULL, DEFAULT}
 _MARKS = K.set("== << >>")
 LOCK_IN = K["lock"]
 _TRIGGERING = K.set("for on or ,") | frozenset(",") | {K["or"]} | frozenset("i")

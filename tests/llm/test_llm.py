@@ -114,6 +114,37 @@ def test_invalid(parser, text, line):
     assert found and text.count("\n", 0, found[0][0]) + 1 >= line - 1
 
 
+SQL_FAULTS = [
+    "CREATE PROCEDURE p(IN a INT b INT)\nBEGIN\n  SELECT 1;\nEND;", "CREATE PROCEDURE p(IN a, IN b INT)\nBEGIN\n  SELECT 1;\nEND;", "CREATE PROCEDURE p(a INT,)\nBEGIN\n  SELECT 1;\nEND;", "CREATE PROCEDURE p @a INT @b INT AS\nSELECT 1;",
+    "CREATE OR REPLACE FUNCTION f(a IN NUMBER) RETURN NUMBER IS\n  v INTEGER := (5 + ;\nBEGIN\n  RETURN v;\nEND;", "CREATE PROCEDURE p IS\n  v INTEGER w INTEGER;\nBEGIN\n  NULL_P(v);\nEND;", "CREATE FUNCTION f(a INT) RETURNS INT\nBEGIN\n  RETURN (a + ) * b;\nEND;",
+    "DECLARE @a INT = (1 + ;", "DECLARE @a INT @b INT;", "EXEC p @a = , @b = 2;", "EXEC p 1 2;", "CALL p(1, (2 + ));", "PRINT 'a' + ;", "CREATE TABLE t (a INT, CHECK (a > ));", "CREATE TABLE t (a INT CHECK (a > 0 AND));", "ALTER TABLE t ADD CONSTRAINT c CHECK (a > );", "ALTER TABLE t ADD a INT CHECK (> 1);",
+    "SELECT SUM(a) OVER (PARTITION ORDER BY b) FROM t;", "SELECT SUM(a) OVER (PARTITION BY a ORDER b) FROM t;", "SELECT COUNT(*) FILTER (a > 1) FROM t;", "SELECT SUM(a) OVER (ORDER BY b ROWS BETWEEN 1 PRECEDING) FROM t;", "SELECT CAST(a AS) FROM t;", "SELECT CAST(a + AS INT) FROM t;",
+]
+SQL_VALID = [
+    "CREATE PROCEDURE dbo.p @a INT = 5, @b VARCHAR(10) OUTPUT, @c DECIMAL(10, 2) = NULL, @t dbo.Tab READONLY AS\nBEGIN\n  RETURN 0;\nEND;", "CREATE PROCEDURE p (@a INT = 1, @b AS NVARCHAR(MAX) OUT) WITH RECOMPILE AS\nSET NOCOUNT ON;\nSELECT @a;",
+    "CREATE PROCEDURE p(IN a INT UNSIGNED, OUT b VARCHAR(10) CHARACTER SET utf8, INOUT c ENUM('x', 'y'))\nBEGIN\n  DECLARE d, e INT DEFAULT 0;\n  DECLARE done INT DEFAULT FALSE;\n  DECLARE cur CURSOR FOR SELECT i FROM t;\n  DECLARE nf CONDITION FOR SQLSTATE '02000';\n  DECLARE CONTINUE HANDLER FOR NOT FOUND SET done = TRUE;\n  OPEN cur;\n  FETCH cur INTO d;\n  CLOSE cur;\nEND;",
+    "CREATE OR REPLACE FUNCTION f(p_id IN NUMBER, p_x IN OUT NOCOPY VARCHAR2, p_y t.c%TYPE DEFAULT 3) RETURN NUMBER IS\n  v t.c%TYPE;\n  c CONSTANT NUMBER(3) := 5;\n  w INTEGER NOT NULL := 1 + 2;\n  e EXCEPTION;\n  PRAGMA EXCEPTION_INIT(e, -1);\n  TYPE tt IS TABLE OF NUMBER INDEX BY PLS_INTEGER;\n  CURSOR k (n NUMBER) IS SELECT a FROM t WHERE b = n;\nBEGIN\n  RETURN v + w;\nEND;",
+    "CREATE FUNCTION f(int, text) RETURNS int AS 'x' LANGUAGE c;", "CREATE FUNCTION f(a integer DEFAULT 1, VARIADIC b text[]) RETURNS TABLE (x double precision, y timestamp with time zone) LANGUAGE sql AS $$ SELECT 1 $$;", "CREATE FUNCTION f() RETURNS trigger AS $$ BEGIN RETURN NEW; END $$ LANGUAGE plpgsql;", "CREATE FUNCTION f(a int, OUT b character varying(10)) AS $$x$$ LANGUAGE sql;",
+    "CREATE FUNCTION f(@a INT) RETURNS @t TABLE (a INT PRIMARY KEY, b INT) AS\nBEGIN\n  INSERT INTO @t VALUES (1, 2);\n  RETURN;\nEND;", "CREATE FUNCTION f(@a INT) RETURNS TABLE AS RETURN (SELECT 1 AS x);", "CREATE FUNCTION f(a INT) RETURNS INT DETERMINISTIC RETURN a + 1;",
+    "DECLARE @a INT = 1, @b NVARCHAR(MAX) = N'x';\nDECLARE @t TABLE (a INT, b INT);\nDECLARE c CURSOR LOCAL FAST_FORWARD FOR SELECT 1;\nDECLARE @x XML;", "DECLARE\n  v INTEGER := 1;\n  w VARCHAR2(5);\nBEGIN\n  v := 2;\nEND;",
+    "EXEC p @a = 1, @b = @c OUTPUT, @d = DEFAULT;\nEXEC @r = dbo.p 1, 'x';\nEXEC sp_rename 'a', 'b';\nEXEC ('SELECT 1');\nEXECUTE IMMEDIATE 'x' INTO v USING a;\nEXEC p\nEXEC q 1;", "CALL p(1, 'x', @a);\nCALL q;", "PRINT 'a' + CAST(@b AS VARCHAR(10));",
+    "CREATE TABLE t (a INT CHECK (a > 0), b INT CONSTRAINT k CHECK (b IN (1, 2)), c INT, CHECK (a < b AND c BETWEEN 1 AND 2), CONSTRAINT z CHECK (c IS NOT NULL), d INT GENERATED ALWAYS AS (a + b) STORED);", "ALTER TABLE t ADD CONSTRAINT c CHECK (a > 1);\nALTER TABLE t ADD COLUMN x INT NOT NULL DEFAULT 0;\nALTER TABLE t ADD a INT, b INT;\nALTER TABLE t ADD PRIMARY KEY (a);\nALTER TABLE t ADD (a INT);\nALTER TABLE t ADD CONSTRAINT f FOREIGN KEY (a) REFERENCES u (b) ON DELETE CASCADE;\nALTER TABLE t ADD COLUMN IF NOT EXISTS x INT;\nALTER TABLE t ADD INDEX i (a);\nALTER TABLE t WITH CHECK ADD CONSTRAINT c CHECK (a > 1);",
+    "SELECT SUM(a) OVER (PARTITION BY b, c ORDER BY d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), RANK() OVER w, LAG(a, 1) OVER (w ORDER BY b), AVG(a) OVER (ORDER BY b ROWS 3 PRECEDING), SUM(a) OVER (ORDER BY b RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND 2 FOLLOWING EXCLUDE TIES), COUNT(*) OVER () FROM t WINDOW w AS (PARTITION BY x);",
+    "SELECT COUNT(*) FILTER (WHERE a > 1), PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY a DESC), CAST(a AS DECIMAL(10, 2)), CAST(b AS double precision), CAST(c AS timestamp without time zone), CAST(d AS UNSIGNED), CAST(e AS int[]), CAST(f AS CHAR CHARACTER SET utf8), CONVERT(VARCHAR(10), g, 120), EXTRACT(YEAR FROM h) FROM t;",
+    "BEGIN\n  RETURN;\nEND;", "CREATE TRIGGER r BEFORE INSERT ON t FOR EACH ROW\nBEGIN\n  SET NEW.a = 1;\nEND;",
+]
+
+
+@pytest.mark.parametrize("text", SQL_FAULTS)
+def test_sql_faults_in_heads_declarations_and_brackets(text):
+    assert sql.faults(text)
+
+
+@pytest.mark.parametrize("text", SQL_VALID)
+def test_sql_heads_declarations_and_brackets(text):
+    assert sql.faults(text) == []
+
+
 def test_recovery_stores_all_faults():
     text = "package a\nfunc f() { if }\nfunc ok() { g() }\nfunc h() { return 1 2 }\n"
     lines = {text.count("\n", 0, a) + 1 for a, _ in go.faults(text)}
