@@ -81,8 +81,31 @@ def reachable(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     return found
 
 
-def flow_traces(handlers: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Steps from a form event to its handler, the statements and tables it owns and the calls it makes.
+def statement_fields(evidence: DataFrame, references: DataFrame) -> DataFrame:
+    """Evidence with ``fields``: the ``table.field`` of every reference on the statement's line, in order."""
+    keys = ["projectId", "file", "line"]
+    r = references.groupBy(*keys).agg(F.array_sort(F.collect_list(F.concat_ws(".", "tableName", "field"))).alias("fields"))
+    return evidence.join(r, keys, "left")
+
+
+def binding_traces(bindings: DataFrame) -> DataFrame:
+    """A trace for every data binding: component, source and data set, table if resolved, field if named."""
+    known = lambda c, other: F.coalesce(F.col(c), F.lit(other))
+    step = lambda kind, label: F.struct(F.lit(kind).alias("type"), label.alias("label"))
+    field = F.when(F.col("dataField").isNotNull(), F.concat_ws(".", "resolvedTable", "dataField"))
+    steps = F.array(
+        step("ui_component", F.concat_ws(".", "componentClass", "component")),
+        step("data_binding", F.concat(F.lit("DataSource "), known("dataSource", "unresolved"), F.lit(" -> DataSet "), known("dataSet", "unresolved"))),
+        step("table", F.col("resolvedTable")), step("field", field),
+    )
+    trace = F.concat_ws(":", known("formName", "unknown"), known("component", "unknown"), F.lit("binding"), known("dataField", "unknown"), known("dataSet", "unknown"))
+    out = bindings.select("projectId", trace.alias("trace"), F.posexplode(F.filter(steps, lambda x: x["label"].isNotNull())).alias("step", "s"), "file", "line")
+    return out.select("projectId", "trace", "step", "s.type", "s.label", "file", "line")
+
+
+def flow_traces(handlers: DataFrame, edges: DataFrame, evidence: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+    """Steps from a form event to its handler, the statements, tables and fields it owns and the calls it makes,
+    and with ``bindings`` the steps of every data binding. Fields are those of ``statement_fields``.
 
     Depth-first in order of line and name, to depth 8 and 200 steps (the last one says so); every symbol is
     expanded once a trace; calls back into the active path are reported. Work is grouped by form, the
@@ -97,15 +120,19 @@ def flow_traces(handlers: DataFrame, edges: DataFrame, evidence: DataFrame) -> D
     keys = starts.where(F.col("fromKey").isNotNull()).select("projectId", "file", "fromKey").distinct()
     touched = keys.select("projectId", "file", F.col("fromKey").alias("key")).unionByName(keys.join(reach, ["projectId", "fromKey"]).select("projectId", "file", F.col("toKey").alias("key"))).distinct()
     calls = edges.where(F.col("type") == "calls").select("projectId", F.col("fromKey").alias("key"), F.lit("call").alias("type"), F.col("toName").alias("label"), F.col("toKey").alias("target"), "line")
-    sql = evidence.where(F.col("ownerKey").isNotNull()).select("projectId", F.col("ownerKey").alias("key"), F.lit("sql").alias("type"), F.concat_ws(" ", F.upper("operation"), F.when(F.col("tables") == "", "unknown table").otherwise(F.col("tables"))).alias("label"), F.col("tables").alias("target"), "line")
+    no_fields = F.lit(None).cast("array<string>").alias("fields")
+    calls = calls.select("*", no_fields)
+    owned = evidence.where(F.col("ownerKey").isNotNull())
+    fields = F.col("fields") if "fields" in evidence.columns else no_fields
+    sql = owned.select("projectId", F.col("ownerKey").alias("key"), F.lit("sql").alias("type"), F.concat_ws(" ", F.upper("operation"), F.when(F.col("tables") == "", "unknown table").otherwise(F.col("tables"))).alias("label"), F.col("tables").alias("target"), "line", fields)
     parts = touched.join(calls.unionByName(sql), ["projectId", "key"])
-    parts = parts.select("projectId", "file", "key", "type", "label", "target", "line", F.lit(None).cast("string").alias("trace"))
-    heads = starts.select("projectId", "file", F.col("fromKey").alias("key"), F.lit("start").alias("type"), F.col("handler").alias("label"), F.col("component").alias("target"), "line", "trace")
+    parts = parts.select("projectId", "file", "key", "type", "label", "target", "line", F.lit(None).cast("string").alias("trace"), "fields")
+    heads = starts.select("projectId", "file", F.col("fromKey").alias("key"), F.lit("start").alias("type"), F.col("handler").alias("label"), F.col("component").alias("target"), "line", "trace", no_fields)
 
     def run(_key, rows: pd.DataFrame) -> pd.DataFrame:
         graph: dict[str, list[tuple]] = defaultdict(list)
         for r in rows[rows["type"] != "start"].itertuples():
-            graph[r.key].append((r.type != "sql", r.line, r.label, r.target))
+            graph[r.key].append((r.type != "sql", r.line, r.label, r.target, r.fields if r.fields is not None else ()))
         for v in graph.values():
             v.sort(key=lambda x: (x[0], x[1], x[2] or ""))
         out = []
@@ -121,7 +148,8 @@ def flow_traces(handlers: DataFrame, edges: DataFrame, evidence: DataFrame) -> D
             out += [(r.projectId, r.trace, i, a, b, r.file, c) for i, (a, b, c) in enumerate(steps)]
         return pd.DataFrame(out, columns=["projectId", "trace", "step", "type", "label", "file", "line"]).astype({"line": "Int32", "step": "int32"})
 
-    return heads.unionByName(parts).groupBy("projectId", "file").applyInPandas(run, TRACE)
+    traces = heads.unionByName(parts).groupBy("projectId", "file").applyInPandas(run, TRACE)
+    return traces if bindings is None else traces.unionByName(binding_traces(bindings))
 
 
 def _walk(graph: dict[str, list[tuple]], start: str) -> Iterator[tuple[str, str, int | None]]:
@@ -138,7 +166,7 @@ def _walk(graph: dict[str, list[tuple]], start: str) -> Iterator[tuple[str, str,
             return
         done.add(key)
         path.append(key)
-        for is_call, line, label, target in graph.get(key, ()):
+        for is_call, line, label, target, fields in graph.get(key, ()):
             left -= 1
             if left <= 0:
                 return
@@ -147,6 +175,8 @@ def _walk(graph: dict[str, list[tuple]], start: str) -> Iterator[tuple[str, str,
                 for t in (target or "").split(","):
                     if t:
                         yield "table", t, line
+                for f in fields:
+                    yield "field", f, line
                 continue
             yield "call", label, line
             if target in path:

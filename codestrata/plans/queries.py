@@ -172,7 +172,7 @@ def l8_flow_traces(s: SparkSession, d: str) -> DataFrame:
     handlers = R.event_handlers(X.form_events(_files(s, d)), symbols)
     edges = R.unique_call_edges(X.call_sites(_files(s, d)), symbols)
     evidence = R.with_owner(R.sql_evidence(X.sql_statements(_files(s, d))), symbols)
-    return G.flow_traces(handlers, edges, evidence)
+    return G.flow_traces(handlers, edges, G.statement_fields(evidence, X.field_references(_files(s, d))), c27_data_bindings(s, d))
 
 
 def r1_build_findings(s: SparkSession, d: str) -> DataFrame:

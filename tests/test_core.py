@@ -178,6 +178,24 @@ def test_reachable_and_traces(spark):
     assert ("sql", "SELECT t1,t2") in steps and ("table", "t2") in steps and any("CALL_CYCLE" in x for _, x in steps)
 
 
+def test_traces_of_bindings_and_fields(spark):
+    h = spark.createDataFrame([(1, "F.dfm", "F", "btn", "OnClick", "a", "a", 3, "resolved")], "projectId long, file string, formName string, component string, event string, handler string, methodKey string, line int, status string")
+    ev = spark.createDataFrame([(1, "u.pas", "a", "select", "t", 9), (1, "u.pas", "b", "update", "t", 20)], "projectId long, file string, ownerKey string, operation string, tables string, line int")
+    refs = spark.createDataFrame([(1, "u.pas", 9, "t", "y"), (1, "u.pas", 9, "t", "x"), (1, "v.pas", 9, "t", "z"), (2, "u.pas", 9, "t", "z")], "projectId long, file string, line int, tableName string, field string")
+    b = spark.createDataFrame([(1, "F.dfm", 5, "F", "ed", "TDBEdit", "src", "qry", "t", "x"), (1, "F.dfm", 6, "F", "lbl", "TDBText", None, None, None, "n"), (2, "G.dfm", 7, "G", "g", "TDBGrid", "src", None, None, None)], "projectId long, file string, line int, formName string, component string, componentClass string, dataSource string, dataSet string, resolvedTable string, dataField string")
+    rows = graph.flow_traces(h, edges(spark, ("a", "b")), graph.statement_fields(ev, refs), b).orderBy("projectId", "trace", "step").collect()
+    steps = {}
+    for r in rows:
+        steps.setdefault(r.trace, []).append((r.type, r.label))
+        assert r.step == len(steps[r.trace]) - 1
+    assert steps == {
+        "F:btn:OnClick:a": [("ui_component", "btn"), ("event", "OnClick"), ("handler", "a"), ("sql", "SELECT t"), ("table", "t"), ("field", "t.x"), ("field", "t.y"), ("call", "b"), ("sql", "UPDATE t"), ("table", "t")],
+        "F:ed:binding:x:qry": [("ui_component", "TDBEdit.ed"), ("data_binding", "DataSource src -> DataSet qry"), ("table", "t"), ("field", "t.x")],
+        "F:lbl:binding:n:unknown": [("ui_component", "TDBText.lbl"), ("data_binding", "DataSource unresolved -> DataSet unresolved"), ("field", "n")],
+        "G:g:binding:unknown:unknown": [("ui_component", "TDBGrid.g"), ("data_binding", "DataSource src -> DataSet unresolved")],
+    }
+
+
 def test_impact_is_one_hop(spark):
     s = spark.createDataFrame([(1, "A", "U.A", "u.pas", "a"), (1, "B", None, "v.pas", "b"), (1, "C", None, "w.pas", "c")], "projectId long, name string, qualifiedName string, file string, stableKey string")
     refs = spark.createDataFrame([(1, "a", "T", "F")], "projectId long, ownerKey string, tableName string, field string")
