@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+import sys
 
 #: Sub-parses remembered per worker and language; the oldest half goes when it is full.
 MEMO_ENTRIES = 200_000
-#: Nesting beyond which a parse is given up with an error instead of exhausting the stack.
-MAX_DEPTH = 180
-
-
-class SyntaxFault(NamedTuple):
-    line: int
-    message: str
+#: Python calls a token may nest: an expression in brackets takes the most.
+CALLS_PER_TOKEN = 60
 
 
 class Fault(Exception):
@@ -56,10 +51,13 @@ class Parser:
     """Cursor over a kind string ended by NUL; subclasses hold the grammar."""
 
     kinds: Kinds
-    __slots__ = ("ks", "p", "depth", "faults")
+    __slots__ = ("ks", "p", "faults")
 
     def __init__(self, ks: str):
-        self.ks, self.p, self.depth = ks + "\0", 0, 0
+        self.ks, self.p = ks + "\0", 0
+        # calls between Python functions live on the heap: nesting is bounded by the text, never by a limit
+        if sys.getrecursionlimit() < (calls := CALLS_PER_TOKEN * len(self.ks) + 10_000):
+            sys.setrecursionlimit(calls)
         self.faults: list[tuple[int, str]] = []
 
     def fail(self, wanted: str) -> None:
@@ -77,11 +75,6 @@ class Parser:
             return True
         return False
 
-    def deeper(self) -> None:
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            raise Fault(self.p, "nesting too deep")
-
 
 class LineCache:
     """Kind strings of whole texts, put together from remembered pieces.

@@ -51,7 +51,6 @@ class FormParser(Parser):
 
     def recover(self, f: Fault) -> None:
         """Panic mode: go on at the next object head."""
-        self.depth = 0
         self.p = max(self.p, f.at)
         while self.ks[self.p] != "\0":
             self.p += 1
@@ -63,7 +62,6 @@ class FormParser(Parser):
                             self.object()
                 except Fault as again:
                     self.faults.append((again.at, again.message))
-                    self.depth = 0
                     self.p = max(self.p, again.at)
 
     def object(self) -> None:
@@ -77,7 +75,6 @@ class FormParser(Parser):
         if self.accept("["):
             self.need("n")
             self.need("]")
-        self.deeper()
         while True:
             k = ks[self.p]
             if k in _WORD and (ks[self.p + 1] == "=" or ks[self.p + 1] == "."):
@@ -89,7 +86,6 @@ class FormParser(Parser):
                 break
             else:
                 self.fail("property, object or end")
-        self.depth -= 1
 
     def word(self) -> None:
         if self.ks[self.p] not in _WORD:
@@ -134,13 +130,10 @@ class FormParser(Parser):
                 self.need("]")
         elif k == "(":
             self.p += 1
-            self.deeper()
             while not self.accept(")"):
                 self.value()
-            self.depth -= 1
         elif k == "<":
             self.p += 1
-            self.deeper()
             while not self.accept(">"):
                 self.need(ITEM)
                 if self.accept("["):
@@ -150,7 +143,6 @@ class FormParser(Parser):
                     if ks[self.p] not in _WORD:
                         self.fail("property or end")
                     self.property()
-            self.depth -= 1
         else:
             self.fail("value")
 

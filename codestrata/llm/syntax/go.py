@@ -139,7 +139,7 @@ class GoParser(Parser):
     def recover(self, f: Fault) -> None:
         """Panic mode: skip to a declaration word behind a semicolon."""
         self.faults.append((f.at, f.message))
-        self.depth = self.level = 0
+        self.level = 0
         self.p = max(self.p, f.at)
         if self.ks[self.p] != "\0":
             self.p += 1
@@ -229,7 +229,6 @@ class GoParser(Parser):
     def type_(self) -> None:
         ks = self.ks
         k = ks[self.p]
-        self.deeper()
         if k == "i":
             self.p += 1
             if self.accept("."):
@@ -283,7 +282,6 @@ class GoParser(Parser):
             self.need(")")
         else:
             self.fail("type")
-        self.depth -= 1
 
     def struct(self) -> None:
         self.need("{")
@@ -356,9 +354,7 @@ class GoParser(Parser):
     def block(self) -> None:
         self.need("{")
         outer, self.level = self.level, 0
-        self.deeper()
         self.statements()
-        self.depth -= 1
         self.level = outer
         self.need("}")
 
@@ -472,9 +468,7 @@ class GoParser(Parser):
         self.level = outer
         if self.accept(ELSE):
             if self.ks[self.p] == IF:
-                self.deeper()
                 self.if_()
-                self.depth -= 1
             else:
                 self.block()
 
@@ -500,9 +494,7 @@ class GoParser(Parser):
             else:
                 self.need(DEFAULT)
             self.need(":")
-            self.deeper()
             self.statements()
-            self.depth -= 1
 
     def comm(self) -> None:
         outer, self.level = self.level, -1
@@ -528,14 +520,12 @@ class GoParser(Parser):
 
     def expression(self, least: int = 1) -> None:
         """Precedence climbing."""
-        self.deeper()
         self.unary()
         prec = _BINARY.get(self.ks[self.p], 0)
         while prec >= least:
             self.p += 1
             self.expression(prec + 1)
             prec = _BINARY.get(self.ks[self.p], 0)
-        self.depth -= 1
 
     def unary(self) -> None:
         ks = self.ks
@@ -628,14 +618,12 @@ class GoParser(Parser):
     def literal(self) -> None:
         self.need("{")
         outer, self.level = self.level, 0
-        self.deeper()
         while not self.accept("}"):
             self.element()
             if self.accept(":"):
                 self.element()
             if self.ks[self.p] != "}":
                 self.need(",")
-        self.depth -= 1
         self.level = outer
 
     def element(self) -> None:

@@ -87,46 +87,69 @@ def raw_tokens(text: str) -> tuple[str, list[int], tuple[int, str] | None]:
 _ASM_END = re.compile(r"(?i)\bend\b")
 
 
-def resolve(ks: str, at: list[int] | None) -> tuple[str, list[int], bool]:
-    """Of conditional branches the first is kept; the last result tells whether all were closed."""
+def hidden(ks: str, other: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]], bool]:
+    """Spans that a choice of conditional branches leaves out, spans of ELSE branches, and whether all were closed.
+
+    Of every conditional the first branch is chosen, or with ``other`` the last one.
+    """
+    out: list[tuple[int, int]] = []
+    behind: list[tuple[int, int]] = []
+    stack: list[list[int]] = []
+
+    def close(places: list[int], end: int) -> None:
+        if len(places) > 1:
+            behind.append((places[1], end))
+            out.append((places[0], places[-1]) if other else (places[1], end))
+
+    for m in _MARKS.finditer(ks):
+        if m[0] == _IF:
+            stack.append([m.start()])
+        elif stack and m[0] == _ELSE:
+            stack[-1].append(m.start())
+        elif stack:
+            close(stack.pop(), m.start())
+    closed = not stack
+    while stack:
+        close(stack.pop(), len(ks))
+    return sorted(out), behind, closed
+
+
+def resolve(ks: str, at: list[int] | None, other: bool = False) -> tuple[str, list[int], bool]:
+    """The kinds with one branch of every conditional; the last result tells whether all were closed."""
     if _IF not in ks and _ELSE not in ks and _ENDIF not in ks:
         return ks, at or [], True
-    skip: list[bool] = []
+    gaps, _, closed = hidden(ks, other)
+    gaps = sorted(gaps + [m.span() for m in _MARKS.finditer(ks)])
     kept: list[str] = []
     places: list[int] = []
-    start, hidden = 0, False
-    for m in _MARKS.finditer(ks):
-        if not hidden:
-            kept.append(ks[start : m.start()])
+    start = 0
+    for a, b in [*gaps, (len(ks), len(ks))]:
+        if a > start:
+            kept.append(ks[start:a])
             if at:
-                places += at[start : m.start()]
-        k, start = m[0], m.end()
-        if k == _IF:
-            skip.append(False)
-        elif skip:
-            if k == _ELSE:
-                skip[-1] = True
-            else:
-                skip.pop()
-        hidden = any(skip)
-    if not hidden:
-        kept.append(ks[start:])
-        if at:
-            places += at[start:]
-    return "".join(kept), places, not skip
+                places += at[start:a]
+        start = max(start, b)
+    return "".join(kept), places, closed
 
 
 _MARKS = re.compile("[\x01\x02\x03]")
 
 
-def tokens(text: str) -> tuple[str, list[int], tuple[int, str] | None]:
-    ks, at, lexical = raw_tokens(text)
-    ks, at, closed = resolve(ks, at)
-    return ks, at, lexical or (None if closed else (len(text), "conditional without end"))
+def else_faults(ks: str, at: list[int]) -> list[tuple[int, str]]:
+    """Faults inside ELSE branches, found by a second parse that takes the last branch of every conditional."""
+    _, behind, _ = hidden(ks, True)
+    spans = [(at[a], at[b] if b < len(at) else float("inf")) for a, b in behind]
+    other, places, _ = resolve(ks, at, True)
+    p = PascalParser(other)
+    p.file()
+    found = [(places[a], m) for a, m in p.faults if a < len(places)]
+    return [(x, m) for x, m in found if any(a <= x < b for a, b in spans)]
 
 
 _LINES = LineCache(raw_tokens, ("(*",), ("}", "*)"))
 _MEMO = Memo()
+#: Blocks of more tokens are parsed without being looked up.
+MEMO_TOKENS = 1000
 
 
 class PascalParser(Parser):
@@ -219,7 +242,6 @@ class PascalParser(Parser):
         stop = _ROUTINE | K.set("type const var implementation initialization finalization")
         while True:
             self.faults.append((f.at, f.message))
-            self.depth = 0
             self.p = max(self.p, f.at)
             while self.ks[self.p] != "\0" and not (self.ks[self.p] in stop and self.ks[self.p - 1] == ";"):
                 self.p += 1
@@ -355,7 +377,6 @@ class PascalParser(Parser):
             except Fault:
                 pass
             self.p = mark + 1
-            self.deeper()
             while not self.accept(")"):
                 if ks[self.p] in _ID and ks[self.p + 1] == ":":
                     self.p += 2
@@ -364,7 +385,6 @@ class PascalParser(Parser):
                     self.need(",")
                     if ks[self.p] == ")":
                         self.fail("value")
-            self.depth -= 1
             if key and self.p == end + 1:
                 _MEMO.put(key, True)
         else:
@@ -424,7 +444,6 @@ class PascalParser(Parser):
 
     def type_(self) -> None:
         ks = self.ks
-        self.deeper()
         self.accept(PACKED)
         k = ks[self.p]
         if k == "^":
@@ -494,7 +513,6 @@ class PascalParser(Parser):
                 self.range()
         else:
             self.range()
-        self.depth -= 1
 
     def range(self) -> None:
         if self.ks[self.p] in (STRING,):
@@ -547,7 +565,6 @@ class PascalParser(Parser):
 
     def members(self, record: bool) -> None:
         ks = self.ks
-        self.deeper()
         while True:
             k = ks[self.p]
             if k == END:
@@ -584,7 +601,6 @@ class PascalParser(Parser):
                     self.need(";")
             else:
                 self.fail("member or end")
-        self.depth -= 1
 
     def section_members(self, one) -> None:
         while self.ks[self.p] in _ID and self.ks[self.p] not in _VISIBLE and self.ks[self.p] != STRICT:
@@ -603,7 +619,6 @@ class PascalParser(Parser):
                 self.range()
             self.need(":")
             self.need("(")
-            self.deeper()
             while not self.accept(")"):
                 if self.ks[self.p] == CASE:
                     self.variant()
@@ -613,7 +628,6 @@ class PascalParser(Parser):
                 self.type_()
                 if self.ks[self.p] != ")":
                     self.need(";")
-            self.depth -= 1
             if self.ks[self.p] not in (END, ")"):
                 self.need(";")
 
@@ -730,9 +744,7 @@ class PascalParser(Parser):
     def routine(self, bodies: bool) -> None:
         if self.heading() or not bodies:
             return
-        self.deeper()
         self.declarations(True)
-        self.depth -= 1
         self.compound()
         self.need(";")
 
@@ -743,7 +755,7 @@ class PascalParser(Parser):
         if ks[self.p] != BEGIN:
             self.fail("begin")
         depth, end = 0, -1
-        for m in _OPENERS.finditer(ks, self.p):
+        for m in _OPENERS.finditer(ks, self.p, self.p + MEMO_TOKENS):
             depth += -1 if m[0] == END else 1
             if depth == 0:
                 end = m.end()
@@ -752,13 +764,10 @@ class PascalParser(Parser):
         if key is not None and _MEMO.get(key):
             self.p = end
             return
-        start = self.p
         self.p += 1
-        self.deeper()
         self.statements()
-        self.depth -= 1
         self.need(END)
-        if key is not None and self.p == end and end - start < 2000:
+        if key is not None and self.p == end:
             _MEMO.put(key, True)
 
     def statements(self) -> None:
@@ -783,13 +792,9 @@ class PascalParser(Parser):
             self.p += 1
             self.expression()
             self.need(THEN)
-            self.deeper()
             self.statement()
-            self.depth -= 1
             if self.accept(ELSE):
-                self.deeper()
                 self.statement()
-                self.depth -= 1
         elif k == FOR:
             self.p += 1
             if self.accept(VAR):
@@ -815,9 +820,7 @@ class PascalParser(Parser):
             self.inner()
         elif k == REPEAT:
             self.p += 1
-            self.deeper()
             self.statements()
-            self.depth -= 1
             self.need(UNTIL)
             self.expression()
         elif k == CASE:
@@ -856,9 +859,7 @@ class PascalParser(Parser):
         # otherwise the empty statement
 
     def inner(self) -> None:
-        self.deeper()
         self.statement()
-        self.depth -= 1
 
     def simple(self) -> None:
         ks = self.ks
@@ -876,7 +877,6 @@ class PascalParser(Parser):
         self.p += 1
         self.expression()
         self.need(OF)
-        self.deeper()
         while ks[self.p] not in (END, ELSE):
             self.range()
             while self.accept(","):
@@ -887,13 +887,11 @@ class PascalParser(Parser):
                 self.need(";")
         if self.accept(ELSE):
             self.statements()
-        self.depth -= 1
         self.need(END)
 
     def try_(self) -> None:
         ks = self.ks
         self.p += 1
-        self.deeper()
         self.statements()
         if self.accept(FINALLY):
             self.statements()
@@ -912,13 +910,11 @@ class PascalParser(Parser):
                     self.statements()
             else:
                 self.statements()
-        self.depth -= 1
         self.need(END)
 
     # expressions --------------------------------------------------------------------------------
     def expression(self, least: int = 1) -> None:
         """Precedence climbing."""
-        self.deeper()
         self.unary()
         prec = _BINARY.get(self.ks[self.p], 0)
         while prec >= least:
@@ -928,7 +924,6 @@ class PascalParser(Parser):
                 self.accept(NOT)
             self.expression(prec + 1)
             prec = _BINARY.get(self.ks[self.p], 0)
-        self.depth -= 1
 
     def simple_expression(self) -> None:
         self.expression(2)
@@ -1052,16 +1047,21 @@ class PascalParser(Parser):
 def faults(text: str) -> list[tuple[int, str]]:
     """``(offset, message)`` of every fault, in order of the text."""
     quick = _LINES.kinds(text)
-    if quick is not None:
+    if quick is not None and _ELSE not in quick:
         quick, _, closed = resolve(quick, None)
         p = PascalParser(quick)
         p.file()
         if closed and not p.faults:
             return []
-    ks, at, lexical = tokens(text)
+    raw, raw_at, lexical = raw_tokens(text)
+    ks, at, closed = resolve(raw, raw_at)
+    if not closed:
+        lexical = lexical or (len(text), "conditional without end")
     p = PascalParser(ks)
     p.file()
     out = [(at[a] if a < len(at) else len(text), m) for a, m in p.faults]
+    if _ELSE in raw:
+        out = sorted({*out, *else_faults(raw, raw_at)})
     if lexical:
         if not p.faults and p.ks[p.p - 1 : p.p] == "." and p.p <= len(at) and p.p > 1:
             return []  # behind the final "end." anything may stand

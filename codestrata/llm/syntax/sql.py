@@ -22,7 +22,7 @@ _OPEN_WORDS = (
     " cursor do try catch leave iterate signal exit continue replace ignore merge matched truncate grant revoke deny use go commit rollback start transaction savepoint save lock unlock tables explain analyze"
     " show describe comment rename delimiter over partition escape ilike rlike regexp similar to collate at interval cast convert extract temporary temp or_replace language cascade ascending asc desc"
     " minus window filter within returning output pivot unpivot apply lateral nulls global local identified option package body perform get diagnostics handler copy vacuum optimize pragma attach detach"
-    " kill prepare deallocate backup restore dbcc bulk reset install load handler_ flush checkpoint waitfor shutdown set_ add column modify change values_ inout out precision varying unsigned signed zerofill without national large constant nocopy readonly variadic"
+    " kill prepare deallocate backup restore dbcc bulk reset install load handler_ flush checkpoint waitfor shutdown set_ add column modify change values_ inout out precision varying unsigned signed zerofill without national large constant nocopy readonly variadic qualify grouping sets"
 )
 K = Kinds(f"{_RESERVED} {_OPEN_WORDS}", "<=> := <> != !< !> <= >= || && :: ->> -> => ** << >> == ~* !~ += -= *= /= %= |= &= ^= .. + - * / % = < > ( ) [ ] { } , . : ? @ & | ^ ~ ! # $", True)
 _TOKEN = re.compile(
@@ -36,6 +36,7 @@ _TOKEN = re.compile(
 (LEFT, RIGHT, FULL, OUTER, NATURAL, ALL, LIMIT, OFFSET, FETCH, TOP, WITH, RECURSIVE, VIEW, PROCEDURE, FUNCTION, TRIGGER, INDEX, PRIMARY, FOREIGN, KEY, UNIQUE, CHECK, CONSTRAINT, REFERENCES, DEFAULT, BEGIN, IF, ELSEIF, ELSIF, WHILE, LOOP, REPEAT, UNTIL, FOR, RETURN, RETURNS, DECLARE, EXEC, EXECUTE, DO, TRY, CATCH, REPLACE, MERGE, GO, OVER, PARTITION, ESCAPE, INTERVAL, MINUS, RETURNING, OUTPUT, LATERAL, ROWS, ROW, ONLY, COLLATE, CAST, LANGUAGE, WINDOW, FILTER, TO, AT, IGNORE, OPTION, ASC, DESC, TRANSACTION, CURSOR, IDENTIFIED, HANDLER, DELIMITER, PACKAGE, BODY, COMMENT, APPLY, NULLS) = (
     K[w] for w in "left right full outer natural all limit offset fetch top with recursive view procedure function trigger index primary foreign key unique check constraint references default begin if elseif elsif while loop repeat until for return returns declare exec execute do try catch replace merge go over partition escape interval minus returning output lateral rows row only collate cast language window filter to at ignore option asc desc transaction cursor identified handler delimiter package body comment apply nulls".split()
 )
+QUALIFY, GROUPING, SETS, PIVOT, UNPIVOT = (K[w] for w in "qualify grouping sets pivot unpivot".split())
 _MODES = K.set("in out inout variadic nocopy")
 _TYPE_WORDS = K.set("precision varying unsigned signed zerofill cursor")
 _ID = frozenset("iq") | K.set(_OPEN_WORDS)
@@ -47,7 +48,7 @@ _FREE = K.set(
 )
 _COMPARE = K.set("= <> != < > <= >= <=> == !< !> ~ ~* !~")
 _BINARY = {K["or"]: 1, K["and"]: 2, K["&&"]: 2, **{k: 4 for k in _COMPARE}, **{K[o]: 5 for o in "| & ^ << >> -> ->>".split()}, **{K[o]: 6 for o in "+ - ||".split()}, **{K[o]: 7 for o in "* / % **".split()}}
-_NO_ALIAS = K.set("limit offset fetch with window for go begin if while declare exec execute print return truncate use merge minus do loop then returning output option natural left right full call open close raiserror throw commit rollback elseif elsif until grant revoke explain apply")
+_NO_ALIAS = K.set("pivot unpivot lateral qualify limit offset fetch with window for go begin if while declare exec execute print return truncate use merge minus do loop then returning output option natural left right full call open close raiserror throw commit rollback elseif elsif until grant revoke explain apply")
 _NEEDS_MORE = frozenset(",(.=+-*/%<>|") | K.set("select from where by join on and or not in like between when then set into values as using update := <> != <= >= || :: create alter drop table grant to insert delete case if")
 _MEMO = Memo()
 
@@ -56,7 +57,13 @@ def tokens(text: str) -> tuple[str, list[int], tuple[int, str] | None]:
     out: list[str] = []
     at: list[int] = []
     pos, n, words, marks, match = 0, len(text), K.word, K.mark, _TOKEN.match
+    ender, begun = "", 0  # what a client command has put in place of the semicolon; where the statement began
     while pos < n:
+        if ender and text.startswith(ender, pos):
+            out.append(";")
+            at.append(pos)
+            pos += len(ender)
+            continue
         m = match(text, pos)
         if m is None:
             return "".join(out), at, (pos, "text that is no token")
@@ -64,14 +71,35 @@ def tokens(text: str) -> tuple[str, list[int], tuple[int, str] | None]:
         if g is not None:
             if g == "w":
                 w = m[0].lower()
-                k = words.get(w, "i")
-                if len(w) <= 2 and w in ("n", "e", "b", "x", "u", "_u") and m.end() < n and text[m.end()] == "'":
-                    pos = m.end()
+                if len(w) <= 2 and m.end() < n and text[m.end()] == "'":
+                    if w in ("n", "e", "b", "x", "u", "_u"):
+                        pos = m.end()
+                        continue
+                    if w in ("q", "nq") and m.end() + 1 < n:  # q'[…]': any mark may bracket the text
+                        opening = text[m.end() + 1]
+                        e = text.find(_CLOSING.get(opening, opening) + "'", m.end() + 2)
+                        if e < 0:
+                            return "".join(out), at, (pos, "string without end")
+                        out.append("s")
+                        at.append(pos)
+                        pos = e + 2
+                        continue
+                if ender and ender in w:  # END$$
+                    w = w[: w.index(ender)]
+                    out.append(words.get(w, "i"))
+                    at.append(pos)
+                    pos += len(w)
                     continue
+                k = words.get(w, "i")
                 if k == DELIMITER:  # a client command: the rest of the line
                     e = text.find("\n", m.end())
-                    pos = n if e < 0 else e
+                    e = n if e < 0 else e
+                    ender = text[m.end() : e].strip().lower()
+                    ender = "" if ender == ";" else ender
+                    pos = e
                     continue
+                if not out or out[-1] == ";":
+                    begun = pos
             elif g == "o":
                 k = marks[m[0]]
                 if m[0] == "$" and text.startswith("$$", pos):
@@ -90,12 +118,27 @@ def tokens(text: str) -> tuple[str, list[int], tuple[int, str] | None]:
                     continue
             else:
                 k = {"s": "s", "q": "q", "n": "n", "e": ";"}[g]
+                if g == "e" and _COPY.fullmatch(text, begun, pos):  # rows of data up to a line of \\.
+                    e = _COPY_END.search(text, pos)
+                    if e is None:
+                        return "".join(out), at, (pos, "data without end")
+                    out.append(k)
+                    at.append(pos)
+                    pos = e.end()
+                    continue
             out.append(k)
             at.append(pos)
         pos = m.end()
     return "".join(out), at, None
 
 
+_CLOSING = {"[": "]", "{": "}", "(": ")", "<": ">"}
+_COPY = re.compile(r"(?is)copy\b.*\bfrom\s+stdin\b.*")
+_COPY_END = re.compile(r"(?m)^\\\.[ \t]*\r?$")
+#: Texts whose lines cannot be tokenised one by one.
+_WHOLE = re.compile(r"(?i)\bdelimiter\b|\bstdin\b|\bn?q'")
+
+
 class SqlParser(Parser):
     kinds = K
     __slots__ = ()
@@ -112,7 +155,6 @@ class SqlParser(Parser):
             except Fault as f:
                 # panic mode: the next statement begins behind the next semicolon
                 self.faults.append((f.at, f.message))
-                self.depth = 0
                 self.p = max(self.p, f.at)
                 while ks[self.p] not in ";\0":
                     self.p += 1
@@ -128,7 +170,6 @@ class SqlParser(Parser):
     def statement(self) -> None:
         ks = self.ks
         k = ks[self.p]
-        self.deeper()
         if k in (SELECT, INSERT, UPDATE, DELETE, WITH, REPLACE, "(", VALUES, MERGE):
             end = ks.find(";", self.p)
             key = ks[self.p : end] if end > 0 else None
@@ -178,6 +219,8 @@ class SqlParser(Parser):
             self.set_()
         elif k in _FREE:
             self.free()
+        elif k == NULL:
+            self.p += 1
         elif k == "i" and ks[self.p + 1] == ":" and ks[self.p + 2] in (LOOP, WHILE, REPEAT, BEGIN):
             self.p += 2
             self.statement()
@@ -186,7 +229,6 @@ class SqlParser(Parser):
             self.expression()
         else:
             self.fail("statement")
-        self.depth -= 1
 
     def data(self, k: str) -> None:
         if k == WITH:
@@ -527,7 +569,7 @@ class SqlParser(Parser):
                 break
             elif k in "<>" and ks[self.p + 1] in "<>=" and ks[self.p + 1] == k or k == "=" and ks[self.p + 1] == K["=="]:
                 self.fail("expression")
-            elif depth == 0 and self.p > first + 1 and start >= 0 and k in _VERBS and ks[first] not in K.set("grant revoke deny explain alter show lock comment do prepare bulk drop") and ks[self.p - 1] not in (K["for"], ON):
+            elif depth == 0 and self.p > first + 1 and start >= 0 and k in _VERBS and ks[first] not in K.set("grant revoke deny explain alter show lock comment do prepare bulk drop copy") and ks[self.p - 1] not in (K["for"], ON):
                 break
             elif depth == 0 and k == END:
                 break
@@ -775,16 +817,13 @@ class SqlParser(Parser):
             if self.ks[self.p] == "i":
                 self.p += 1
             self.need("(")
-            self.deeper()
             self.data(self.ks[self.p])
-            self.depth -= 1
             self.need(")")
             if not self.accept(","):
                 return
 
     def query(self) -> None:
         ks = self.ks
-        self.deeper()
         while True:
             if ks[self.p] == "(":
                 self.p += 1
@@ -805,7 +844,6 @@ class SqlParser(Parser):
                 continue
             break
         self.tail()
-        self.depth -= 1
 
     def tail(self) -> None:
         ks = self.ks
@@ -889,14 +927,15 @@ class SqlParser(Parser):
             self.expression()
         if self.accept(GROUP):
             self.need(BY)
-            while True:
-                self.expression()
-                if not self.accept(","):
-                    break
+            if not self.accept(ALL):
+                self.grouping()
             if ks[self.p] == WITH and ks[self.p + 1] == "i":
                 self.p += 2
         if self.accept(HAVING):
             self.expression()
+        if ks[self.p] == QUALIFY:
+            self.p += 1
+            self.expression()
         if self.accept(WINDOW):
             while True:
                 self.name()
@@ -904,6 +943,24 @@ class SqlParser(Parser):
                 self.window()
                 if not self.accept(","):
                     break
+        if ks[self.p] == QUALIFY:
+            self.p += 1
+            self.expression()
+
+    def grouping(self) -> None:
+        """Expressions, empty sets, and GROUPING SETS of the same."""
+        while True:
+            if self.ks.startswith("()", self.p):
+                self.p += 2
+            elif self.ks[self.p] == GROUPING and self.ks[self.p + 1] == SETS:
+                self.p += 2
+                self.need("(")
+                self.grouping()
+                self.need(")")
+            else:
+                self.expression()
+            if not self.accept(","):
+                return
 
     def condition(self) -> None:
         self.need("(")
@@ -998,7 +1055,6 @@ class SqlParser(Parser):
         self.accept(ONLY)
         if ks[self.p] == "(":
             self.p += 1
-            self.deeper()
             if ks[self.p] in (SELECT, VALUES, WITH, "("):
                 mark = self.p
                 try:
@@ -1010,7 +1066,6 @@ class SqlParser(Parser):
                     self.sources()
             else:
                 self.sources()
-            self.depth -= 1
             self.need(")")
         else:
             self.name()
@@ -1022,6 +1077,52 @@ class SqlParser(Parser):
         if ks[self.p] == WITH and ks[self.p + 1] == "(":
             self.p += 1
             self.group()
+        while True:
+            if ks[self.p] in (PIVOT, UNPIVOT):
+                self.pivot()
+            elif ks[self.p] == LATERAL and ks[self.p + 1] == VIEW:
+                self.p += 2
+                self.accept(OUTER)
+                self.name()
+                if ks[self.p] != "(":
+                    self.fail("(")
+                self.call()
+                if ks[self.p] != AS:
+                    self.alias(False)
+                if self.accept(AS):
+                    self.name()
+                    while self.accept(","):
+                        self.name()
+            else:
+                return
+
+    def pivot(self) -> None:
+        """[UN]PIVOT (values FOR columns IN (list)) [alias]."""
+        ks = self.ks
+        self.p += 1
+        while ks[self.p] == "i" or ks[self.p] == NULLS:  # INCLUDE NULLS, XML
+            self.p += 1
+        self.need("(")
+        while True:
+            self.expression()
+            self.alias(True)
+            if not self.accept(","):
+                break
+        self.need(FOR)
+        self.unary()
+        self.need(IN)
+        self.need("(")
+        if ks[self.p] in (SELECT, WITH):
+            self.query()
+        else:
+            while True:
+                self.expression()
+                self.alias(True)
+                if not self.accept(","):
+                    break
+        self.need(")")
+        self.need(")")
+        self.alias(False)
 
     def name(self) -> None:
         ks = self.ks
@@ -1187,7 +1288,6 @@ class SqlParser(Parser):
     def expression(self, least: int = 1) -> None:
         """Precedence climbing; predicates stand at the level of comparisons."""
         ks = self.ks
-        self.deeper()
         if ks[self.p] == NOT:
             self.p += 1
             self.expression(3)
@@ -1251,7 +1351,6 @@ class SqlParser(Parser):
                 self.fail("predicate")
             else:
                 break
-        self.depth -= 1
 
     def unary(self) -> None:
         ks = self.ks
@@ -1350,8 +1449,10 @@ class SqlParser(Parser):
 
     def call(self) -> None:
         ks = self.ks
+        if ks.startswith("(+)", self.p):  # an outer join in the old way
+            self.p += 3
+            return
         self.p += 1
-        self.deeper()
         if ks[self.p] in (DISTINCT, ALL):
             self.p += 1
         if ks[self.p] in (SELECT, WITH):
@@ -1376,7 +1477,6 @@ class SqlParser(Parser):
                 if not self.accept(","):
                     break
         self.need(")")
-        self.depth -= 1
         if ks[self.p] == FILTER and ks[self.p + 1] == "(":
             self.p += 1
             self.need("(")
@@ -1424,7 +1524,7 @@ _LINES = LineCache(tokens, ("/*",), ("'", "*/"))
 
 def faults(text: str) -> list[tuple[int, str]]:
     """``(offset, message)`` of every fault, in order of the text."""
-    quick = _LINES.kinds(text)
+    quick = None if _WHOLE.search(text) else _LINES.kinds(text)
     if quick is not None:
         p = SqlParser(quick)
         p.file()

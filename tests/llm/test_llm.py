@@ -145,6 +145,49 @@ def test_sql_heads_declarations_and_brackets(text):
     assert sql.faults(text) == []
 
 
+DIALECTS = [
+    "DELIMITER //\nCREATE PROCEDURE p()\nBEGIN\n  SELECT 1;\n  UPDATE t SET a = 1;\nEND//\nDELIMITER ;\nSELECT 1;","DELIMITER $$\nCREATE PROCEDURE p()\nBEGIN\n  SELECT 1;\nEND$$\nDELIMITER ;\n","DELIMITER $$\nCREATE FUNCTION f(a INT) RETURNS INT DETERMINISTIC\nBEGIN\n  RETURN a;\nEND $$\nDELIMITER ;",
+    "BEGIN\n  NULL;\nEND;","BEGIN\n IF a = 1 THEN NULL; ELSE NULL; END IF;\nEND;","SELECT * FROM (SELECT a, b, c FROM t) s PIVOT (SUM(c) FOR b IN ([x], [y])) p;","SELECT * FROM t UNPIVOT (v FOR n IN (a, b)) AS u WHERE v > 1;","SELECT * FROM t PIVOT (SUM(a) AS s, MAX(b) AS m FOR c IN ('x' AS x, 'y' AS y)) ORDER BY 1;",
+    "SELECT a, e FROM t LATERAL VIEW explode(xs) v AS e WHERE e > 1;","SELECT a FROM t LATERAL VIEW OUTER posexplode(xs) v AS i, e LATERAL VIEW explode(ys) w AS f;","SELECT a FROM t QUALIFY ROW_NUMBER() OVER (PARTITION BY a ORDER BY b) = 1;","SELECT a, b, SUM(c) FROM t GROUP BY GROUPING SETS ((a, b), (a), ());","SELECT a FROM t GROUP BY ROLLUP (a, b), CUBE (c);","SELECT a FROM t GROUP BY GROUPING SETS (ROLLUP (a), ());",
+    "COPY t (a, b) FROM stdin;\n1\tx'y\n2\t(((\n\\.\nSELECT 1;","COPY t FROM STDIN WITH (FORMAT csv);\n1,2\n\\.\n","SELECT q'[it's]' FROM dual;","SELECT q'!a'b!', nq'{x'}' FROM dual;","SELECT a.x FROM a, b WHERE a.i = b.i(+) AND a.k(+) = 3;",
+    "SELECT a\nFROM t\nGROUP BY a\nHAVING COUNT(*) > 1;", "SELECT pivot, sets FROM t;","SELECT GROUPING(a), COUNT(*) FROM t GROUP BY ROLLUP(a);","SELECT TOP 5 * FROM t CROSS JOIN LATERAL (SELECT 1) x;"]
+DIALECT_FAULTS = ["DELIMITER //\nCREATE PROCEDURE p()\nBEGIN\n  SELECT ;\nEND//","SELECT * FROM t PIVOT (SUM(c) b IN ([x])) p;","SELECT a FROM t GROUP BY GROUPING SETS ((a), ;","SELECT a FROM t QUALIFY ;","COPY t FROM stdin;\n1\t2\n","SELECT q'[abc FROM dual;","SELECT a FROM t LATERAL VIEW explode v AS e;","NULL + 1;"]
+
+
+@pytest.mark.parametrize("text", DIALECTS)
+def test_sql_of_other_dialects(text):
+    assert sql.faults(text) == []
+
+
+@pytest.mark.parametrize("text", DIALECT_FAULTS)
+def test_sql_faults_of_other_dialects(text):
+    assert sql.faults(text)
+
+
+NESTED = {
+    "go else if": (go, lambda n: "package a\nfunc f() {\n\tif a {\n\t} " + "else if b {\n\t\tx()\n\t} " * n + "\n}\n"),
+    "go brackets": (go, lambda n: "package a\nvar x = " + "(" * n + "1" + ")" * n + "\n"),
+    "go blocks": (go, lambda n: "package a\nfunc f() " + "{ if a " * n + "{}" + "}" * n + "\n"),
+    "pascal else if": (pascal, lambda n: "unit U;\ninterface\nimplementation\nprocedure P;\nbegin\n  if A then B\n" + "  else if C then D\n" * n + ";\nend;\nend."),
+    "pascal blocks": (pascal, lambda n: "program P;\n" + "begin " * n + "end; " * (n - 1) + "end."),
+    "sql brackets": (sql, lambda n: "SELECT " + "(" * n + "1" + ")" * n + ";"),
+    "sql queries": (sql, lambda n: "SELECT * FROM " + "(SELECT * FROM " * n + "t" + ") x" * n + ";"),
+    "form": (form, lambda n: "object A: TA\n" * n + "end\n" * n),
+}
+
+
+@pytest.mark.parametrize("name", NESTED)
+def test_nesting_of_any_depth(name):
+    parser, text = NESTED[name]
+    assert parser.faults(text(4000)) == []
+    assert parser.faults(text(4000)[:-8])
+
+
+def test_faults_in_else_branches():
+    unit = "unit U;\ninterface\nimplementation\n{$IFDEF X}\nprocedure A; begin end;\n{$ELSE}\nprocedure A; begin %s end;\n{$ENDIF}\nend."
+    assert [unit.count("\n", 0, a) or 0 for a, _ in pascal.faults(unit % "if")] and pascal.faults(unit % "x;") == []
+
+
 def test_recovery_stores_all_faults():
     text = "package a\nfunc f() { if }\nfunc ok() { g() }\nfunc h() { return 1 2 }\n"
     lines = {text.count("\n", 0, a) + 1 for a, _ in go.faults(text)}
