@@ -19,14 +19,23 @@ _RULES = {
     "rc": r"(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z)|(?m:^[ \t]*;[^\n]*))|(?P<s>\"(?:[^\"\n]|\"\")*\"?)",
     "ini": r"(?m:^[ \t]*(?P<c>[;#][^\n]*|//[^\n]*))|(?m:^[^\n=;#\[]+=[ \t]*(?P<v>[^\r\n]+))",
     "xml": r"(?P<c><!--.*?(?:-->|\Z))|(?<=>)(?P<v>[^<>]*[^<>\s][^<>]*)(?=</)|(?P<s>\"[^\"\n]*\")",
+    # families of other languages: braces (C, Java, JavaScript, PHP, JSON), scripts, keyed values
+    "brace": r"(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)",
+    "script": r"(?P<c>\#[^\n]*)|(?P<r>\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z))|(?P<s>\"(?:[^\"\\]|\\.)*\"?|'(?:[^'\\]|\\.)*'?)",
+    "keyed": r"(?P<c>(?m:(?:^|(?<=[ \t]))[\#;][^\n]*))|(?P<s>\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\n]|'')*'?)|(?m:^[ \t]*(?:-[ \t]+|export[ \t]+)?[\w.-]+[ \t]*[=:][ \t]*(?P<v>[^\s\"'\#][^\r\n]*))",
 }
 SCANNERS = {k: re.compile(v, re.S if k != "form" else 0) for k, v in _RULES.items()}
 
 BY_EXTENSION = {
     "go": "go", "sql": "sql", "pas": "pascal", "dpr": "pascal", "dpk": "pascal", "inc": "pascal", "pp": "pascal",
     "dfm": "form", "fmx": "form", "rc": "rc", "cfg": "ini", "dof": "ini", "ini": "ini", "conf": "ini",
-    "dproj": "xml", "groupproj": "xml", "xml": "xml",
+    "dproj": "xml", "groupproj": "xml", "xml": "xml", "config": "xml", "html": "xml", "htm": "xml",
+    **dict.fromkeys(("c", "h", "cc", "cpp", "hpp", "cs", "java", "js", "jsx", "ts", "tsx", "mjs", "kt", "swift", "scala", "rs", "php", "dart", "groovy", "gradle", "json", "css"), "brace"),
+    **dict.fromkeys(("py", "rb", "sh", "bash", "zsh", "pl", "r", "tf", "ps1", "mk"), "script"),
+    **dict.fromkeys(("yaml", "yml", "toml", "env", "properties"), "keyed"),
 }
+#: Families that no sign in the text tells apart: the extension decides.
+_FAMILIES = ("brace", "script", "keyed")
 
 _SKIP = re.compile(r"(?:\s+|﻿|//[^\n]*|--[^\n]*|/\*.*?\*/|\(\*.*?\*\)|\{(?!\$)[^}\"]*\}|;[^\n]*)+", re.S)
 _SIGNS = (
@@ -47,6 +56,8 @@ def extension(path: str | None) -> str:
 def content_language(path: str | None, text: str) -> str:
     """The language a text is written in: by its first real words, else by its extension ('' if neither tells)."""
     expected = BY_EXTENSION.get(extension(path), "")
+    if expected in _FAMILIES:
+        return expected
     m = _SKIP.match(text)
     at = m.end() if m else 0
     if expected and expected not in ("rc", "ini"):
