@@ -2,13 +2,13 @@
 
 1. Pair statistics: how often each character and each adjacent pair with a non-ASCII character occurs in
    the whole corpus, without stretches that have the form of a wrong decoding (``formed``): however common
-   a garbling is, it never counts as good text. Pairs below ``RARE`` of all pairs are left out, which bounds
-   the table by ``1 / RARE``.
+   a garbling is, it never counts as good text. All pairs count, in a table of ``SLOTS`` hashed places: its
+   size is the same for every corpus, and two of very many rare pairs may share a place.
 2. Every adjacent pair of a line gets its pointwise mutual information, shrunk by its support; maximum-scoring
    segments of what is missing to ``EXPECTED`` isolate improbable runs.
 3. Only inside those runs inverse mappings are tried: encode with the encoding the bytes were read as, decode
    with the one they were in, up to three times over. A mapping is believed if the corpus predicts its result by far
-   more than the run. Replacement characters and C1 controls are garbled without a mapping.
+   more than the run. A run that holds replacement characters or C1 controls is garbled without a mapping.
 
 Sequences quoted on purpose (a literal that is nothing but the sequence) and rare but correct characters,
 which no mapping explains, are left alone.
@@ -19,18 +19,20 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.shared import Model
 
-#: Relative frequency under which a pair counts as unseen: at most 1 / RARE pairs are kept and broadcast.
-RARE = 2e-6
+#: Places of the pair table (8 bytes each), and the share of all pairs from which a place counts as known.
+SLOTS, KNOWN_SHARE = 1 << 21, 1e-7
 #: Shrunken mutual information expected of a pair in good text, in bits; support at which half of it counts.
 EXPECTED, HALF_SUPPORT = 2.0, 1e-3
 #: Bits a mapping must gain over a run: in all, and a character of the run.
@@ -41,6 +43,7 @@ MOST_BITS, KNOWN_PAIRS = 11.0, 0.6
 # Names of encodings. What bytes were read as, and what they were in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5", "gb18030", "gbk", "big5", "cp950", "cp932", "euc_jp", "cp949", "cp1253", "cp1254", "cp1257")
 WERE_IN = ("utf-8", "cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "gb18030", "big5", "cp932", "euc_jp", "cp949", "cp850", "cp437", "cp852", "mac_roman", "mac_cyrillic")
+_SAME = ({"gbk", "gb18030"}, {"big5", "cp950"})
 _MULTI = {"utf-8", "gb18030", "gbk", "big5", "cp950", "cp932", "euc_jp", "cp949"}
 _C1 = {i: chr(i) for i in range(0x80, 0xA0)}
 
@@ -81,16 +84,18 @@ _TURNED = re.compile(r"(?<![^\W\d_])[а-яё][А-ЯЁ]{2,}(?![^\W\d_])")
 _KANA = re.compile("[\u3040-\u30ff]")
 
 
-def formed(text: str) -> list[tuple[int, int]]:
+@lru_cache(maxsize=50_000)
+def formed(text: str) -> tuple[tuple[int, int], ...]:
     """Spans that have the form of a wrong decoding, whatever the corpus holds.
 
     UTF-8 read as an encoding of one byte (the sequence is well-formed) or of several (three characters or more
     are well-formed together), long rows of different Western letters and marks, letters of two scripts side by side,
-    Russian with its case turned round, ideographs that are kana in the bytes of Japanese.
+    Russian with its case turned round, ideographs that are kana in the bytes of Japanese, characters that stand for
+    lost bytes.
     """
     if _TURNED.search(text):
-        return [(0, len(text))]
-    spans = []
+        return ((0, len(text)),)
+    spans = [m.span() for m in _LOST.finditer(text)]
     for encoding, pattern in _SEQUENCES.items():
         for m in pattern.finditer(text):
             after = decoded(m[0], encoding, "utf-8")
@@ -119,17 +124,45 @@ def formed(text: str) -> list[tuple[int, int]]:
                 if after and len(_KANA.findall(after)) > 0.3 * len(after):
                     spans.append(m.span())
                     break
-    return spans
+    return tuple(spans)
+
+
+def slot(ab: str) -> int:
+    """The place of a pair in the table."""
+    x = (ord(ab[0]) * 0x9E3779B97F4A7C15 + ord(ab[1]) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
+    return ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 43
+
+
+class Pairs:
+    """Counts by pair over the hashed table."""
+
+    def __init__(self, places: np.ndarray):
+        self.places, self.total = places, int(places.sum())
+        self.least = max(1.0, self.total * KNOWN_SHARE)
+        self.seen: dict[str, int] = {}
+
+    def get(self, ab: str) -> int:
+        c = self.seen.get(ab)
+        if c is None:
+            if len(self.seen) >= 500_000:
+                self.seen.clear()
+            c = self.seen[ab] = int(self.places[slot(ab)])
+        return c
+
+    def __contains__(self, ab: str) -> bool:
+        return self.get(ab) >= self.least
 
 
 class Stats:
     """The corpus statistics in the form the scoring needs."""
 
-    def __init__(self, single: dict[str, int], pair: dict[str, int]):
-        self.single, self.pair = single, pair
+    def __init__(self, single: dict[str, int], places: np.ndarray):
+        self.single, self.pair = single, Pairs(places)
         self.n = max(1, sum(single.values()))
-        self.pairs = max(1, sum(pair.values()))
+        self.pairs = max(1, self.pair.total)
         self.cost: dict[str, float] = {}
+        #: bytes of each single-byte encoding that stand for characters of the corpus
+        self.bytes_known = {e: bytes(b for b in range(256) if b < 128 or bytes([b]).decode(e, "ignore") in single) for e in WERE_IN if e not in _MULTI}
 
     def bits(self, text: str) -> float:
         """-log2 of the text's characters, each behind its predecessor; a flat rate between ASCII characters."""
@@ -140,7 +173,7 @@ class Stats:
                 continue
             c = known.get(a + b)
             if c is None:
-                p = 0.9 * self.pair.get(a + b, 0) / (self.single.get(a, 0) + 1) + 0.1 * (self.single.get(b, 0) + 0.01) / self.n
+                p = 0.9 * self.pair.get(a + b) / (self.single.get(a, 0) + 1) + 0.1 * (self.single.get(b, 0) + 0.01) / self.n
                 c = -math.log2(p)
                 if len(known) < 500_000:
                     known[a + b] = c
@@ -149,16 +182,23 @@ class Stats:
 
     def association(self, ab: str) -> float:
         """Pointwise mutual information of the pair, shrunk towards 0 where its support is small."""
-        c = self.pair.get(ab, 0)
+        c = self.pair.get(ab)
         if not c:
             return -4.0
         mi = math.log2(c * self.n / (self.single.get(ab[0], 1) * self.single.get(ab[1], 1)))
         support = c / self.pairs
         return mi * support / (support + HALF_SUPPORT)
 
-    def known(self, text: str) -> float:
+    def known(self, text: str) -> bool:
+        """Whether the corpus knows ``KNOWN_PAIRS`` of the pairs with a non-ASCII character."""
         pairs = [a + b for a, b in zip(text, text[1:]) if a > "\x7f" or b > "\x7f"]
-        return sum(p in self.pair for p in pairs) / len(pairs) if pairs else 0.0
+        spare = (1 - KNOWN_PAIRS) * len(pairs)
+        for p in pairs:
+            if p not in self.pair:
+                spare -= 1
+                if spare < 0:
+                    return False
+        return bool(pairs)
 
 
 def segments(scores: list[float]) -> list[tuple[int, int]]:
@@ -181,19 +221,36 @@ def segments(scores: list[float]) -> list[tuple[int, int]]:
     return [(int(k[2]), int(k[3])) for k in kept]
 
 
-def decoded(run: str, read_as: str, were_in: str) -> str | None:
-    """The text whose bytes in ``were_in`` look like ``run`` when read as ``read_as``; None if there is none."""
+def _table(encoding: str) -> dict[int, str]:
+    """Characters a single-byte encoding can stand for, and their bytes as characters; undefined bytes are C1 controls."""
+    out = {}
+    for b in range(256):
+        c = bytes([b]).decode(encoding, "ignore") or (_C1.get(b, "") if encoding in ("cp1252", "cp1250", "cp1251", "cp1254") else "")
+        if c:
+            out.setdefault(ord(c), chr(b))
+    return out
+
+
+_TABLES = {e: _table(e) for e in _SINGLE}
+_ENCODABLE = {e: frozenset(map(chr, t)) for e, t in _TABLES.items()}
+_ODD = re.compile(r"[^\x00-\x7f]+")
+
+
+def encoded(run: str, read_as: str) -> bytes | None:
+    """The bytes that look like ``run`` when read as ``read_as``; None if there are none."""
+    if read_as in _ENCODABLE:
+        return run.translate(_TABLES[read_as]).encode("latin-1") if _ENCODABLE[read_as].issuperset(run) else None
     try:
-        raw = run.encode(read_as)
+        return run.encode(read_as)
     except UnicodeEncodeError:
-        if read_as not in ("cp1252", "cp1250", "cp1251", "cp1254"):
-            return None
-        try:  # undefined bytes come through as C1 controls
-            raw = b"".join(bytes([ord(c)]) if ord(c) in _C1 else c.encode(read_as) for c in run)
-        except UnicodeEncodeError:
-            return None
+        return None
+
+
+def decoded(run: str, read_as: str, were_in: str) -> str | None:
+    """The text whose bytes in ``were_in`` look like ``run`` when read as ``read_as``; None if there is none."""
+    raw = encoded(run, read_as)
     try:
-        return raw.decode(were_in)
+        return None if raw is None else raw.decode(were_in)
     except UnicodeDecodeError:
         return None
 
@@ -204,38 +261,71 @@ class Detector:
         self.mapping = lru_cache(maxsize=100_000)(self._mapping)
         self.verdict = lru_cache(maxsize=200_000)(self._verdict)
 
-    def runs(self, line: str) -> list[str]:
-        """Improbable runs of a line: the stretch of non-ASCII text around each maximum-scoring segment."""
-        found = []
+    def runs(self, line: str) -> list[tuple[str, str]]:
+        """Improbable runs of a line: its maximum-scoring segments, out to the ends of their words, each with the stretch it is in.
+
+        Bytes of several-byte encodings may be ASCII: several runs are also one run from the first to the last.
+        """
+        found: list[tuple[int, int, str]] = []
         for m in _RUN.finditer(line):
-            text = m[0]
-            bad = []
-            for a, b in zip(text, text[1:]):
-                if a < "\x80" and b < "\x80":
-                    bad.append(-0.5)
+            text, start = m[0], m.start()
+            bad = [-0.5 if a < "\x80" and b < "\x80" else EXPECTED - self.stats.association(a + b) for a, b in zip(text, text[1:])]
+            ends = [(a, b) for a, b in segments(bad) if sum(bad[a:b]) > EXPECTED]
+            for a, b in ends:
+                b += 1  # the segment's last pair ends one character on
+                while a and text[a] > "\x7f":
+                    a -= 1
+                while b < len(text) and text[b - 1] > "\x7f":
+                    b += 1
+                if found and start + a < found[-1][1]:
+                    found[-1] = (found[-1][0], max(found[-1][1], start + b), text)
                 else:
-                    bad.append(EXPECTED - self.stats.association(a + b))
-            if any(b - a >= 1 and sum(bad[a:b]) > EXPECTED for a, b in segments(bad)):
-                found.append(text)
-        return found
+                    found.append((start + a, start + b, text))
+        out = [(line[a:b], stretch) for a, b, stretch in found]
+        if len(found) > 1:
+            out.append((line[found[0][0] : found[-1][1]],) * 2)
+        return out
+
+    def believed(self, run: str, stretch: str) -> tuple[str, str, str] | None:
+        """The mapping of a run, unless it would make less likely text of the stretch around it."""
+        m = self.mapping(run)
+        if m and run != stretch:
+            after = decoded(stretch, m[0], m[1])
+            if after is not None and not _LOST.search(after) and self.stats.bits(f" {after} ") >= self.stats.bits(f" {stretch} "):
+                return None
+        return m
 
     def _mapping(self, run: str) -> tuple[str, str, str] | None:
         """The believed mapping ``(read as, were in, restored)`` of a run, with the most gain."""
-        results: dict[str, tuple[str, str]] = {}
+        raws: dict[bytes, str] = {}
         for read_as in READ_AS:
+            raw = encoded(run, read_as)
+            if raw is not None:
+                raws.setdefault(raw, read_as)
+        results: dict[str, tuple[str, str]] = {}
+        for raw, read_as in raws.items():
+            odd = len(raw.translate(None, _ASCII))
+            # pairs with a character above ASCII: each such byte begins one, each row of them one more
+            spare = (1 - KNOWN_PAIRS) * (odd + len(_HIGH.findall(raw)))
             for were_in in WERE_IN:
-                if read_as == were_in or {read_as, were_in} <= {"gbk", "gb18030"} or {read_as, were_in} <= {"big5", "cp950"}:
+                if read_as == were_in or {read_as, were_in} in _SAME:
+                    continue
+                if were_in in self.stats.bytes_known and len(raw.translate(None, self.stats.bytes_known[were_in])) > spare:
+                    continue  # too many characters that the corpus does not hold
+                try:
+                    after = raw.decode(were_in)
+                except UnicodeDecodeError:
                     continue
-                after = decoded(run, read_as, were_in)
-                if after is not None and after != run:
+                if after != run:
                     results.setdefault(after, (read_as, were_in))
-        best, most, before, odd = None, GAIN, self.stats.bits(f" {run} "), sum(c > "\x7f" for c in run)
+        best, most, before, odd = None, GAIN, None, sum(c > "\x7f" for c in run)
         for after, (read_as, were_in) in results.items():
             by_chance = were_in != "utf-8" or read_as in _MULTI
             deeper = self._mapping(after) if not by_chance and _TWICE.search(after) else None
             result = deeper[2] if deeper else after
-            if _LOST.search(result) or _PRIVATE.search(result) or self.stats.known(f" {result} ") < KNOWN_PAIRS:
+            if not self.stats.known(f" {result} ") or _LOST.search(result) or _PRIVATE.search(result):
                 continue
+            before = self.stats.bits(f" {run} ") if before is None else before
             cost = self.stats.bits(f" {result} ")
             gain = before - cost + (0 if by_chance else 4 * sum(c > "\x7f" for c in result))  # UTF-8 is hardly ever well-formed by chance
             if gain > most and gain > GAIN_PER_CHAR * odd and cost <= MOST_BITS * (len(result) + 1):
@@ -249,15 +339,7 @@ class Detector:
             body = re.sub(rf"(['\"`]){re.escape(q)}\1", "", body)
         if body.isascii():
             return self.questioned(body) if "?" in body else False
-        if _LOST.search(body):
-            return True
-        return any(self.mapping(r) or self.widened(r, body) for r in self.runs(body))
-
-    def widened(self, run: str, line: str) -> bool:
-        """Trail bytes may be ASCII: the same test over the whole stretch between the first and last odd character."""
-        odd = [i for i, c in enumerate(line) if c > "\x7f"]
-        whole = line[odd[0] : odd[-1] + 2]
-        return whole != run and any(self.mapping(x) for x in (whole, whole[:-1]))
+        return any(_LOST.search(r) or self.believed(r, around) for r, around in self.runs(body))
 
     def questioned(self, line: str) -> bool:
         """Letters lost to question marks: inside a word, where some letter of the corpus fits on both sides."""
@@ -278,7 +360,7 @@ class Detector:
         if text.isascii() and "?" not in text:
             return False
         for line in text.split("\n"):
-            if (not line.isascii() or _QUESTION.search(line)) and self.verdict(re.sub(r"\d+", "0", line.strip())):
+            if (not line.isascii() or "?" in line and _QUESTION.search(line)) and self.verdict(re.sub(r"\d+", "0", line.strip())):
                 return True
         return False
 
@@ -293,10 +375,7 @@ class Detector:
         maps: Counter = Counter()
         for line in lines:
             if not line.isascii():
-                found = [m for r in self.runs(line) if (m := self.mapping(r))]
-                if not found and self.garbled(line) and (wide := self.wide_mapping(line)):
-                    found = [wide]
-                for m in found:
+                for m in [m for r, around in self.runs(line) if (m := self.believed(r, around))]:
                     maps[m[:2]] += 1
         for (read_as, were_in), _ in maps.most_common(3):
             whole = decoded(text, read_as, were_in)
@@ -304,21 +383,15 @@ class Detector:
                 if whole is not None and self.garbled(whole):
                     whole = decoded(whole, read_as, were_in)
             if whole is not None and not self.garbled(whole) and not self.left_over(whole, maps):
-                return whole
+                return None if _asked(lines, whole.split("\n")) else whole
         if not maps:
             return None
         after = [line if line.isascii() else self.repaired_line(line, maps) for line in lines]
-        if any(a != b and _ASKED.search(b) for a, b in zip(lines, after)):
+        if _asked(lines, after):
             return None
         whole = "\n".join(after)
         return None if self.garbled(whole) or self.left_over(whole, maps) else whole
 
-    def wide_mapping(self, line: str) -> tuple[str, str, str] | None:
-        """What ``widened`` believes of a line."""
-        odd = [i for i, c in enumerate(line) if c > "\x7f"]
-        whole = line[odd[0] : odd[-1] + 2]
-        return next((m for x in (whole, whole[:-1]) if (m := self.mapping(x))), None)
-
     def repaired_line(self, line: str, maps: Counter) -> str:
         """The line with every run put right, quoted sequences aside; as often as a run was decoded wrongly."""
         for _ in range(3):
@@ -361,6 +434,11 @@ class Detector:
         return False
 
 
+def _asked(lines: list[str], after: list[str]) -> bool:
+    """Whether a line that was put right still asks for a lost character."""
+    return any(a != b and _ASKED.search(b) for a, b in zip(lines, after))
+
+
 def _quoted_spans(line: str) -> list[tuple[int, int]]:
     """Where sequences are quoted on purpose: a literal that is nothing but the sequence."""
     return [m.span() for m in _QUOTED.finditer(line) if not m[2].isascii() and not re.search(r"[A-Za-z]", m[2])]
@@ -395,8 +473,12 @@ def counted(c: Counter, text: str) -> None:
         c.update(x + y for i, (x, y) in enumerate(zip(s, s[1:])) if (x > "\x7f" or y > "\x7f") and i not in bad and i + 1 not in bad)
 
 
+_ASCII = bytes(range(128))
+_HIGH = re.compile(rb"[\x80-\xff]+")
+
+
 def pair_statistics(records: DataFrame, text: str = "content") -> DataFrame:
-    """``(gram, n)`` for single characters and for pairs with a non-ASCII character, over all rows.
+    """``(gram, place, n)``: counts of single characters, and by place of pairs with a non-ASCII one, over all rows.
 
     Counted within each Arrow batch before anything is shuffled; null and empty texts count nothing.
     """
@@ -406,22 +488,24 @@ def pair_statistics(records: DataFrame, text: str = "content") -> DataFrame:
             c: Counter = Counter()
             for t in b[text]:
                 counted(c, t)
-            c = +c
-            yield pd.DataFrame({"gram": list(c), "n": list(c.values())})
+            rows = [(None, slot(g), n) if len(g) == 2 else (g, None, n) for g, n in c.items() if n > 0]
+            yield pd.DataFrame(rows, columns=["gram", "place", "n"]).astype({"place": "Int32", "n": "int64"})
 
-    counts = records.where(F.length(text) > 0).select(text).mapInPandas(run, "gram string, n long")
-    return counts.groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = records.where(F.length(text) > 0).select(text).mapInPandas(run, "gram string, place int, n long")
+    return counts.groupBy("gram", "place").agg(F.sum("n").alias("n"))
 
 
 def collected_statistics(records: DataFrame, text: str = "content") -> bytes:
-    """The statistics for broadcasting: all characters, and pairs of at least RARE of all pairs (so at most 1 / RARE)."""
-    counts = pair_statistics(records, text).withColumn("pair", F.length("gram") == 2)
-    total = F.sum(F.when(F.col("pair"), F.col("n")))
-    floor = counts.agg(total.alias("t")).collect()[0]["t"] or 0
-    kept = counts.where(~F.col("pair") | (F.col("n") >= max(2, floor * RARE))).toPandas()
-    single = kept[~kept["pair"]]
-    pairs = kept[kept["pair"]]
-    return pickle.dumps((dict(zip(single["gram"], single["n"].map(int))), dict(zip(pairs["gram"], pairs["n"].map(int)))), protocol=5)
+    """The statistics for broadcasting: at most a row a character and ``SLOTS`` places, whatever the corpus holds."""
+    got = pair_statistics(records, text).toPandas()
+    single, pairs = got[got["gram"].notna()], got[got["gram"].isna()]
+    places = np.zeros(SLOTS, dtype=np.int64)
+    np.add.at(places, pairs["place"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=np.int64))
+    return pickle.dumps((dict(zip(single["gram"], single["n"].map(int))), zlib.compress(places.tobytes(), 1)), protocol=5)
+
+
+def detector(single: dict[str, int], places: bytes) -> Detector:
+    return Detector(Stats(single, np.frombuffer(zlib.decompress(places), dtype=np.int64)))
 
 
 def garbled_records(records: DataFrame, repair: bool = False) -> DataFrame:
@@ -435,7 +519,7 @@ def garbled_records(records: DataFrame, repair: bool = False) -> DataFrame:
     model = Model(records.sparkSession, collected_statistics(kept))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = model.load(lambda x: Detector(Stats(*x)))
+        d = model.load(lambda x: detector(*x))
         for b in batches:
             ids, texts = [], []
             for i, t in zip(b["extractId"], b["content"]):
