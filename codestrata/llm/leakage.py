@@ -9,8 +9,9 @@ descending length down to ``SEED`` words. A document leaks an item if
   least ``RUN`` words (so a quotation may be interrupted by other text), or
 * tiles, with single replaced words between them filled in, cover ``COVERAGE`` of the passage, in any order.
 
-Evaluation items are a stated query set; they are held in blocks of bounded size and each block is run
-against all documents.
+Evaluation items are a stated query set that does not grow with the documents. The driver reads their passages
+once, each distinct one kept once; they are broadcast in blocks of at most ``BLOCK_CHARS`` and one passage, and each
+block is run against all documents.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from codestrata.llm.shared import Model
 SEED, RUN, COVERAGE = 4, 20, 0.88
 #: Characters of passages held in memory at a time; more items make more blocks.
 BLOCK_CHARS = 16_000_000
-#: Words between two tiles of one interrupted quotation.
-GAP = 400
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(1_000_003)
@@ -128,7 +127,7 @@ def leaks(passage: list[int], text: list[int], seeds: list[tuple[int, int]]) ->
     best: dict[int, tuple[int, int]] = {}  # passage end → (words so far, text end)
     for i, j, n in found:
         before = best.get(i)
-        total = n + (before[0] if before and 0 <= j - before[1] <= GAP else 0)
+        total = n + (before[0] if before and before[1] <= j else 0)
         if total >= min(RUN, len(passage)):
             return True
         if best.get(i + n, (0, 0))[0] <= total:

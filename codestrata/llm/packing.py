@@ -12,11 +12,11 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,16 +29,20 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fill from which a bin of a round is final; the last round takes all.
 NEARLY_FULL = (0.99, 0.97, 0.94, 0.0)
-#: Items a task packs at most in the merging rounds.
+#: Items packed together at most.
 TASK_ITEMS = 200_000
-#: Texts are tokenised in pieces of so many characters, cut at line ends, so that very long ones stay linear.
+#: Texts are tokenised in pieces of about so many characters, so that very long ones stay linear.
 CHUNK = 100_000
 
 BIN = "window_id long, key string, bin string, fill long, final boolean"
+ITEM = "doc_id long, piece int, tokens long"
 
 
 def tokenizer(folder: str, name: str):
-    """The tokenizer of a ``.tiktoken`` file of ranks, without special tokens."""
+    """The tokenizer of a ``.tiktoken`` file of ranks, without special tokens.
+
+    The folder must be the same on every executor, or hold a file handed out by ``SparkContext.addFile``.
+    """
     import tiktoken
 
     with open(Path(folder) / name, "rb") as f:
@@ -46,12 +50,16 @@ def tokenizer(folder: str, name: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def chunks(text: str) -> Iterator[str]:
+#: Borders of the splitting pattern that no context moves: white space behind anything else, letters beside digits.
+_BORDER = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
+
+
+def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """Pieces whose tokens together are those of the text; one without a border stays whole."""
     at = 0
-    while len(text) - at > CHUNK:
-        end = text.rfind("\n", at + CHUNK // 2, at + CHUNK) + 1 or at + CHUNK
-        yield text[at:end]
-        at = end
+    while len(text) - at > size and (m := _BORDER.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
     yield text[at:]
 
 
@@ -96,29 +104,40 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[list[int], list[int]]:
     return place, fill
 
 
-def _round(items: DataFrame, number: int) -> DataFrame:
-    """Pack the ``(window_id, capacity, key, size)`` rows of every partition by themselves."""
-    threshold = NEARLY_FULL[number]
+def _round(items: DataFrame, number: int, carried: str = "") -> DataFrame:
+    """Pack the ``(window_id, capacity, key, size)`` rows of every partition by themselves, at most ``TASK_ITEMS`` together.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    Only the first round may see more rows in a partition; its rows come in the order of a written table, so
+    that a task that is run again cuts them at the same places.
+    """
+    threshold = NEARLY_FULL[number]
+    more = [c.split()[0] for c in carried.split(", ") if c]
 
-        part = TaskContext.get().partitionId()
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
+    def pack(frames: list[pd.DataFrame], block: str) -> Iterator[pd.DataFrame]:
         # sorted by key first: the same rows give the same bins if a task is run again
         all_rows = pd.concat(frames, ignore_index=True).sort_values(["window_id", "key"], kind="stable", ignore_index=True)
         for window, rows in all_rows.groupby("window_id", sort=False):
             capacity = int(rows["capacity"].iloc[0])
             place, fill = best_fit(rows["size"].to_numpy(), capacity)
             filled = np.array(fill, dtype="int64")[place]
-            yield pd.DataFrame({
-                "window_id": window, "key": rows["key"].to_numpy(), "bin": [f"{number}.{part}.{p}" for p in place],
-                "fill": filled, "final": filled >= threshold * capacity,
-            })
+            out = {"window_id": window, "key": rows["key"].to_numpy(), "bin": [f"{block}.{p}" for p in place], "fill": filled, "final": filled >= threshold * capacity}
+            yield pd.DataFrame(out | {c: rows[c].to_numpy() for c in more})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, block, frames, size = TaskContext.get().partitionId(), 0, [], 0
+        for b in batches:
+            if size and size + len(b) > TASK_ITEMS and number == 0:
+                yield from pack(frames, f"{number}.{part}.{block}")
+                block, frames, size = block + 1, [], 0
+            if len(b):
+                frames.append(b)
+                size += len(b)
+        if frames:
+            yield from pack(frames, f"{number}.{part}.{block}")
 
-    return items.select("window_id", "capacity", "key", "size").mapInPandas(run, BIN)
+    return items.select("window_id", "capacity", "key", "size", *more).mapInPandas(run, f"{BIN}, {carried}" if carried else BIN)
 
 
 def packed(documents: DataFrame, windows: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
@@ -139,17 +158,16 @@ def packed(documents: DataFrame, windows: DataFrame, folder: str = TOKENIZERS, n
     pieces = pieces.withColumn("size", F.least("capacity", room - F.col("piece") * F.col("capacity")))
     pieces = pieces.select("window_id", "capacity", F.concat_ws("/", "row", "piece").alias("key"), "size", "doc_id", F.col("piece").cast("int").alias("piece"), F.least("size", "tokens").alias("tokens"))
 
-    full = pieces.where(F.col("size") == F.col("capacity")).withColumn("container", F.concat(F.lit("f."), "key"))
-    items = pieces.where(F.col("size") < F.col("capacity"))
-    rounds, source = [], items
+    rounds, source = [], pieces
     for number in range(len(NEARLY_FULL)):
-        done = checkpointed(_round(source, number))
+        # the first round carries what the result needs, so that nothing is joined back to it
+        done = checkpointed(_round(source, number, "" if number else ITEM))
         rounds.append(done)
         if number + 1 == len(NEARLY_FULL):
             break
         left = done.where(~F.col("final")).groupBy("window_id", F.col("bin").alias("key")).agg(F.max("fill").alias("size"))
         left = left.join(maybe_broadcast(w), "window_id")
-        n = done.where(~F.col("final")).agg(F.count_distinct("window_id", "bin")).collect()[0][0]
+        n = left.count()
         if n == 0:
             break
         # a merge of eight partitions into one where that stays within a task's bound
@@ -164,13 +182,11 @@ def packed(documents: DataFrame, windows: DataFrame, folder: str = TOKENIZERS, n
             upper = of_bin.select("window_id", F.col("bin").alias("next"), F.col("container").alias("upper"))
             step = step.join(upper, ["window_id", "next"], "left").withColumn("next", F.coalesce("upper", "next"))
         of_bin = step.select("window_id", "bin", F.col("next").alias("container"))
-    placed = items.join(rounds[0].select("window_id", "key", "bin"), ["window_id", "key"])
-    if of_bin is not None:
-        placed = placed.join(of_bin, ["window_id", "bin"], "left").withColumn("container", F.coalesce("container", "bin"))
-    else:
-        placed = placed.withColumn("container", F.col("bin"))
     columns = ["window_id", "container", "doc_id", "piece", "tokens", "key"]
-    every = reduce(DataFrame.unionByName, [full.select(*columns), placed.select(*columns)])
+    placed = rounds[0].where("final").withColumn("container", F.col("bin")).select(*columns)
+    moved = rounds[0].where("NOT final")
+    moved = moved.join(of_bin, ["window_id", "bin"], "left").withColumn("container", F.coalesce("container", "bin")) if of_bin is not None else moved.withColumn("container", F.col("bin"))
+    every = placed.unionByName(moved.select(*columns))
     # a container holds at most its capacity in items, so this window is bounded
     order = W.partitionBy("window_id", "container").orderBy("doc_id", "piece", "key")
     return every.withColumn("position", F.row_number().over(order) - 1).select("window_id", "container", "position", "doc_id", "piece", "tokens")

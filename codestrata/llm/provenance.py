@@ -102,6 +102,7 @@ GENERATED_NAME = (
 )
 MINIFIED_NAME = r"(?i)[._-](min|packed|minified|compressed)\.\w+$"
 
+#: The head of a file: its first lines, and how many lines of code end it sooner (the method looks at headers only).
 HEADER_LINES, HEADER_CODE_LINES = 60, 12
 DENSE_LINE, DENSE_SHARE, BLANK_SHARE, DATA_SHARE = 400, 0.8, 0.16, 0.9
 
@@ -114,10 +115,10 @@ _DATA = re.compile(
     r"|[A-Za-z0-9+/]{120,}={0,2}",
     re.M,
 )
-_INSERT = re.compile(r"INSERT[ \t]+INTO\b[^;]{0,400}?\bVALUES\b(?:[^;']|'(?:[^']|'')*')*;", re.I)
+_INSERT = re.compile(r"INSERT[ \t]+INTO\b(?:(?!\bINSERT\b)[^;])*?\bVALUES\b(?:[^;']|'(?:[^']|'')*')*;", re.I)
 _ROW = re.compile(r"^[^\s;,|(){}'\"=]*(?:([;,|\t])[^\s;,|(){}'\"=]*)(?:\1[^;,|(){}'\"=\n]*)+\r?$", re.M)
 _ENTRY = re.compile(
-    r"^[ \t]*(?:[\"'`][^\"'`\n]{0,400}[\"'`][ \t]*[:,][^\n]{0,200}|\{?[ \t]*[\"'`][^\"'`\n]*[\"'`](?:[ \t]*,[ \t]*[^,\n]{1,60})+\}?,?"
+    r"^[ \t]*(?:[\"'`][^\"'`\n]*[\"'`][ \t]*[:,][^\n]*|\{?[ \t]*[\"'`][^\"'`\n]*[\"'`](?:,[^,\n]+)+\}?,?"
     r"|\(?[ \t]*(?:'(?:[^'\n]|'')*'|[-+]?[\d.]+|NULL)(?:[ \t]*[,;:][ \t]*(?:'(?:[^'\n]|'')*'|[-+]?[\d.]+|NULL))+[ \t]*\)?[,;]?)[ \t]*\r?$",
     re.M,
 )

@@ -62,7 +62,7 @@ counts AS (SELECT source, unit, size, count(*) FILTER (WHERE open) AS rows, coun
 w AS (SELECT *, sum(rows) OVER (PARTITION BY source, unit) AS total,
   coalesce(sum(n) OVER (PARTITION BY source, unit ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS longer FROM counts)
 SELECT source, unit, size::INT AS size, rows FROM w
-WHERE rows >= greatest(3, total * 0.02) AND longer <= rows * 0.5 AND size >= 80
+WHERE rows >= greatest(3, total * 0.02) AND longer <= rows * 0.5
 """
 
 

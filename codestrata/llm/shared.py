@@ -9,6 +9,8 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+#: Models a worker keeps: those of the queries that may run in it at a time.
+KEPT = 8
 _LOADED: dict[str, Any] = {}
 
 
@@ -21,6 +23,7 @@ class Model:
 
     def load(self, make: Callable[[Any], Any]) -> Any:
         if self.key not in _LOADED:
-            _LOADED.clear()
+            while len(_LOADED) >= KEPT:
+                del _LOADED[next(iter(_LOADED))]
             _LOADED[self.key] = make(pickle.loads(self.data.value))
         return _LOADED[self.key]

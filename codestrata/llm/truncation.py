@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from codestrata.session import maybe_broadcast
 
-#: A length is a limit of its source if at least this share and number of its unterminated texts have it.
+#: A length is a limit of its source if at least this share and number of its unterminated texts have it: with
+#: fewer than three rows of one length chance cannot be told from a limit. Both are parameters of ``field_limits``.
 LIMIT_SHARE, LIMIT_ROWS = 0.02, 3
 #: Longer texts of the source allowed for one at the limit (a few arrive by other ways).
 LONGER = 0.5
@@ -168,21 +168,23 @@ def ends_openly(text: Column) -> Column:
     return ~F.coalesce(t.rlike(r"(?s)[.!?。！？]['\"”’»)\]]*$"), F.lit(True)) | F.coalesce(t.rlike(r"(?:\.\.\.|…)(?:\s*\[\w+\])?$"), F.lit(False))
 
 
-def field_limits(documents: DataFrame) -> DataFrame:
+def field_limits(documents: DataFrame, share: float = LIMIT_SHARE, least: int = LIMIT_ROWS) -> DataFrame:
     """``(source, unit, size, rows)``: lengths at which texts of a source pile up with open ends.
 
-    Hardly any text of the source may be longer. Aggregated before any exchange of rows; at most
-    ``1 / LIMIT_SHARE`` lengths a source and unit remain. Null sources form a source of their own.
+    Hardly any text of the source may be longer. Rows are counted by length before any exchange; at most
+    ``1 / share`` lengths a source and unit are candidates, and every length adds to those below it, so that
+    no source is sorted in one task. Null sources form a source of their own.
     """
     d = documents.where(F.length("text") > 0).select(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("c"), F.octet_length("text").alias("b"), ends_openly(F.col("text")).alias("open"))
     sizes = d.select("source", "open", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("c").alias("size")), F.struct(F.lit("b").alias("unit"), F.col("b").alias("size")))).alias("x"))
     counts = sizes.groupBy("source", "x.unit", "x.size").agg(F.count_if("open").alias("rows"), F.count("*").alias("all"))
-    # what the window sees are lengths, not texts: a few ten thousand rows for the largest source
-    by = W.partitionBy("source", "unit")
-    longer = F.sum("all").over(by.orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.withColumn("total", F.sum("rows").over(by)).withColumn("longer", F.coalesce(longer, F.lit(0)))
-    piled = (F.col("rows") >= F.greatest(F.lit(LIMIT_ROWS), F.col("total") * LIMIT_SHARE)) & (F.col("longer") <= F.col("rows") * LONGER)
-    return counts.where(piled & (F.col("size") >= 80)).select("source", "unit", "size", "rows")
+    by = ["source", "unit"]
+    totals = counts.groupBy(*by).agg(F.sum("rows").alias("total"))
+    piled = counts.join(totals, by).where(F.col("rows") >= F.greatest(F.lit(least), F.col("total") * share))
+    piled = piled.groupBy(*by).agg(F.collect_list(F.struct("size", "rows")).alias("piled"))
+    below = F.transform("piled", lambda p: F.struct(p["size"].alias("size"), p["rows"].alias("rows"), F.when(p["size"] < F.col("size"), F.col("all")).otherwise(0).alias("longer")))
+    longer = counts.join(piled, by).select(*by, F.explode(below).alias("p")).groupBy(*by, "p.size", "p.rows").agg(F.sum("p.longer").alias("longer"))
+    return longer.where(F.col("longer") <= F.col("rows") * LONGER).select(*by, "size", "rows")
 
 
 def truncated_documents(documents: DataFrame) -> DataFrame:

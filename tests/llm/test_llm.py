@@ -125,6 +125,8 @@ def test_every_rule_has_a_cue():
         ("src/a.min.go", "package a", "path"),
         ("src/a.go", "package a;" + "".join(f"func f{i}(a,b int)int{{if a>b{{return a*{i}}};return b}};" for i in range(30)), "minified"),
         ("src/a.go", "package a\nvar d = []byte{\n" + "\t0x1a, 0x2b, 0x3c, 0x4d, 0x5e, 0x6f, 0x70, 0x81,\n" * 40 + "}\n", "data"),
+        ("src/a.sql", "INSERT INTO t (" + ", ".join(f"a_long_column_name_{i}" for i in range(60)) + ") VALUES (" + "1, " * 59 + "2);\n" + "INSERT INTO u (a, b) VALUES (1, 'x');\n" * 40, "data"),
+        ("src/a.go", "package a\nvar m = map[string]string{\n" + "".join(f'\t"{"k" * 450}{i}": "{"v" * 300}",\n' for i in range(40)) + "}\n", "data"),
         ("vendor/x/a.dfm", "object A: TA\nend", None),
         (None, None, None),
     ],
@@ -350,6 +352,29 @@ def test_best_fit_bounds():
         assert sum(int(s) for s, p in zip(sizes, place) if p == b) == fill[b]
 
 
+def test_pieces_of_long_texts_have_the_same_tokens():
+    t = packing.tokenizer(packing.TOKENIZERS, packing.VOCABULARY)
+    r = random.Random(8)
+    marks = ["word", " ", "  ", "\n", "\n\n", "'s", "'", "12", "x9", "é", "更新", ".", "--", "\t", "don't", "…", "0x1F"]
+    for _ in range(60):
+        text = "".join(r.choice(marks) for _ in range(400))
+        cut = list(packing.chunks(text, 37))
+        assert "".join(cut) == text and len(cut) > 5
+        assert [x for c in cut for x in t.encode_ordinary(c)] == t.encode_ordinary(text)
+    assert list(packing.chunks("a" * 500, 37)) == ["a" * 500]
+
+
+def test_items_in_blocks_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_ITEMS", 25)
+    docs = spark.createDataFrame([(i, "word " * (i % 17)) for i in range(400)], "doc_id long, text string").coalesce(1)
+    rows = packing.packed(docs, spark.createDataFrame([(1, 64)], "window_id long, capacity_tokens int")).collect()
+    fill = {}
+    for x in rows:
+        fill[x.container] = fill.get(x.container, 0) + x.tokens
+    assert len(rows) == 400 and max(fill.values()) <= 64
+    assert len(fill) <= 1.1 * -(-sum(max(1, x.tokens) for x in rows) // 64) + 2
+
+
 def test_packed_is_whole(spark):
     r = random.Random(4)
     texts = [" ".join(["word"] * r.choice([0, 1, 5, 40, 300])) for _ in range(120)] + [None, "", "same", "same"]
@@ -403,6 +428,23 @@ def test_tiles_do_not_overlap():
             used_t |= set(range(j, j + n))
 
 
+def test_quotations_interrupted_at_any_length(spark):
+    r = random.Random(9)
+    passage = [f"w{r.randint(0, 400)}" for _ in range(60)]
+    item = f"Read.\n\n{' '.join(passage)}.\n\nWhich?"
+    docs = [(n, f"{' '.join(passage[:12])} {' '.join(f'x{r.randint(0, 999)}' for _ in range(n))} {' '.join(passage[12:24])}") for n in (1, 300, 450, 5000)]
+    got = leakage.leaked_pairs(spark.createDataFrame([(1, item)], "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {x.doc_id for x in got.collect()} == {1, 300, 450, 5000}
+
+
+def test_several_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 200)
+    passages = [" ".join(f"p{i}w{j}" for j in range(30)) for i in range(12)]
+    items = spark.createDataFrame([(i, f"a\n\n{p}\n\nb") for i, p in enumerate(passages)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, p) for i, p in enumerate(passages)], "doc_id long, text string")
+    assert {(x.item_id, x.doc_id) for x in leakage.leaked_pairs(items, docs).collect()} == {(i, i) for i in range(12)}
+
+
 # 9 truncation -----------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("text", "at_limit", "cut"),
@@ -421,6 +463,9 @@ def test_limits_and_rates(spark):
     rows = [(i, "chat", ("word " * 200)[: 200]) for i in range(20)] + [(100 + i, "wiki", f"All is well {i}.") for i in range(20)] + [(200, None, "It breaks o"), (201, "wiki", None), (202, "wiki", "")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert {(r.source, r.unit, r.size) for r in truncation.field_limits(df).collect()} == {("chat", "c", 200), ("chat", "b", 200)}
+    short = spark.createDataFrame([(i, "sms", "we will send it to yo"[:20]) for i in range(30)] + [(50 + i, "sms", f"Fine{i}.") for i in range(9)] + [(90, "one", "x" * 40), (91, "one", "y" * 40)], "doc_id long, source string, text string")
+    assert {(r.source, r.unit, r.size) for r in truncation.field_limits(short).collect()} == {("sms", "c", 20), ("sms", "b", 20)}
+    assert {r.source for r in truncation.field_limits(short, least=2).collect()} == {"sms", "one"}
     assert {r.doc_id for r in truncation.truncated_documents(df).collect()} == {*range(20), 200}
     assert {r.source: r.rate for r in truncation.truncation_rates(df).collect()} == {"chat": 1.0, "wiki": 0.0, None: 1.0}
 
