@@ -3,16 +3,17 @@
 Comments and string literals are cut out by the lexical rules of the language the content is written in.
 A passage is prose if it has enough words and the context tree of some human language predicts it better
 than the tree of code does; if even the best tree needs too many bits a character it is undetermined.
-The trees are trained here: languages on ``documents`` rows with a label, code on file contents, from
-bounded samples (``DOCS_PER_LANGUAGE``, ``CHARS_PER_CLASS``, ``CODE_FILES``); all files are then scored.
+The trees are trained here: languages on ``documents`` rows with a label, code on file contents, from bounded
+samples (``DOCS_PER_LANGUAGE``, ``CODE_FILES``, and of their whole texts ``PARTS_PER_CLASS`` sentences or lines and
+``CHARS_PER_CLASS`` characters, all chosen by hash); all files are then scored. A few languages that are
+never an answer have trees too (``RIVALS``), so that a script alone does not decide.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -20,16 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codestrata.llm.lexers import content_language, literals
+from codestrata.llm.lexers import Lines, content_language, literals
 from codestrata.llm.ppm import Scorer, normalised, train
 from codestrata.llm.shared import Model
 
 LANGUAGES = ("en", "zh", "ja", "ko", "de", "fr", "es", "pt", "ru", "pl")
-#: Bounds of the training sample: documents a language, characters a class, files for the code tree.
-DOCS_PER_LANGUAGE, CHARS_PER_CLASS, CODE_FILES = 400, 120_000, 200
-CHARS_PER_DOCUMENT = 1_200
-#: Characters of a sampled document and file that reach the driver for training (scoring reads whole texts).
-SAMPLE_TEXT, SAMPLE_FILE = 4_000, 8_000
+#: Bounds of the training sample: documents a language, files for the code tree, parts and characters a class.
+DOCS_PER_LANGUAGE, CODE_FILES, PARTS_PER_CLASS, CHARS_PER_CLASS = 400, 200, 2_500, 120_000
 MIN_WORDS, MIN_CJK = 5, 8
 #: How much worse than the best seed tree the labelled one may be before a label is taken for wrong.
 SEED_MARGIN = 1.02
@@ -121,6 +119,23 @@ SEEDS = {
         "如果还有数据可以读取就返回真，否则关闭列表。",
     ],
 }
+# Everyday sentences of languages that share a script with one of the ten.
+RIVALS = {
+    "uk": [
+        "і в не на що з до для це якщо коли після перед тільки потрібно повинен всі або як від при без цей ця він вона вони буде бути можна тому рядок дані значення",
+        "Цей файл створено програмою автоматично, його буде перезаписано, не змінюйте його вручну.",
+        "Увага, значення не може бути порожнім, інакше програма завершиться з помилкою.",
+        "Користувач не має прав на видалення цього запису.",
+        "Не вдалося відкрити файл, спробуйте пізніше або зверніться до адміністратора.",
+    ],
+    "bg": [
+        "и в не на че с за по това ако когато след преди само трябва всички или като от при без този тази той тя те ще бъде може защото ред данни стойност",
+        "Този файл е създаден автоматично от програма и ще бъде презаписан, не го променяйте ръчно.",
+        "Внимание, стойността не може да бъде празна, иначе програмата ще завърши с грешка.",
+        "Потребителят няма права да изтрие този запис.",
+        "Файлът не може да се отвори, опитайте по-късно или се обърнете към администратора.",
+    ],
+}
 SQL_SEED = "select from where and or insert into values update set delete group by order by having left join inner join on as is null not null create table drop table if exists primary key default begin end"
 
 _WORD = re.compile(r"(?<![\w$@%&.\\/:-])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w\\/@:(]|\.\w|-\d)|(?<=[(\"«„“'¿¡])[^\W\d_]+")
@@ -151,28 +166,47 @@ def enough(text: str) -> bool:
     return len(text) >= 2 * MIN_WORDS and sum(1 for w in _WORD.findall(text) if not _CAMEL.search(w)) >= MIN_WORDS
 
 
-def passages(path: str | None, text: str) -> Iterator[str]:
-    """Candidate passages: lines of comments, comments as a whole if their lines are short, joined literals."""
+def passages(path: str | None, text: str) -> Iterator[tuple[int, str, str]]:
+    """Candidate passages as ``(offset, what is judged, whole passage)``.
+
+    Lines of comments, comments as a whole if their lines are short, joined literals. Short lines behind a
+    judged one of the same comment belong to it.
+    """
     language = content_language(path, text)
-    block: list[str] = []
+    block: list[tuple[int, str]] = []
     block_end = -1
-    chain, chain_end = "", -1
-
-    def flush() -> Iterator[str]:
-        if block:
-            lines = [x for x in block if x]
-            good = [x for x in lines if enough(x)]
-            if good:
-                yield from good
-            elif len(lines) > 1 and enough(joined := " ".join(lines)):
-                yield joined
-            block.clear()
+    chain, chain_at, chain_end = "", 0, -1
+
+    def flush() -> Iterator[tuple[int, str, str]]:
+        lines = [x for x in block if x[1]]
+        block.clear()
+        if not any(enough(x) for _, x in lines):
+            if len(lines) > 1 and enough(joined := " ".join(x for _, x in lines)):
+                yield lines[0][0], joined, joined
+            return
+        at, judged, whole = 0, "", ""
+        for a, x in lines:
+            if enough(x):
+                if judged:
+                    yield at, judged, whole
+                at, judged, whole = a, x, x
+            elif judged:
+                whole += f" {x}"
+        yield at, judged, whole
+
+    def literal() -> Iterator[tuple[int, str, str]]:
+        if chain and enough(chain):
+            one = " ".join(chain.split())
+            yield chain_at, one, one
 
     for kind, a, b in literals(language, text):
         if kind == "c":
             if block and text[block_end:a].strip():
                 yield from flush()
-            block += [cleaned(x) for x in text[a:b].split("\n")]
+            at = a
+            for x in text[a:b].split("\n"):
+                block.append((at, cleaned(x)))
+                at += len(x) + 1
             block_end = b
         elif kind in "sr":
             body = text[a + 1 : b - 1] if b - a > 1 and text[b - 1] == text[a] else text[a + 1 : b]
@@ -183,13 +217,11 @@ def passages(path: str | None, text: str) -> Iterator[str]:
             if chain_end >= 0 and a - chain_end < 200 and _JOINT.match(text[chain_end:a]):
                 chain += body
             else:
-                if chain and enough(chain):
-                    yield " ".join(chain.split())
-                chain = body
+                yield from literal()
+                chain, chain_at = body, a
             chain_end = b
     yield from flush()
-    if chain and enough(chain):
-        yield " ".join(chain.split())
+    yield from literal()
 
 
 _JOINT = re.compile(r"[ \t\r\n]*(?:\+|\|\|)[ \t\r\n]*(?:(?:sLineBreak|#\d+)[ \t\r\n]*(?:\+[ \t\r\n]*)?)*$", re.I)
@@ -200,10 +232,10 @@ def candidates(text: str) -> tuple[str, ...]:
     cjk = len(_CJK.findall(text))
     if cjk >= MIN_CJK or cjk > len(text) // 4:
         if len(_HANGUL.findall(text)) * 2 >= cjk:
-            return ("ko",)
+            return ("ko", "ja", "zh") if _KANA.search(text) else ("ko",)
         return ("ja", "zh") if not _KANA.search(text) else ("ja",) if len(_KANA.findall(text)) * 8 >= cjk else ("ja", "zh")
     if len(_CYRILLIC.findall(text)) * 3 > len(text):
-        return ("ru",)
+        return ("ru", *RIVALS)
     return ("de", "en", "es", "fr", "pl", "pt")
 
 
@@ -226,7 +258,7 @@ class Judge:
         best = min(names, key=lambda c: (float(e[self.at[c]]), c))
         bits = float(e[self.at[best]])
         cjk = best in ("zh", "ja", "ko")
-        if bits > (MOST_BITS_CJK if cjk else MOST_BITS):
+        if best in RIVALS or bits > (MOST_BITS_CJK if cjk else MOST_BITS):
             return None
         if not cjk and "code" in self.at and (float(e[self.at["code"]]) < bits or _STATEMENT.search(text)):
             return None
@@ -236,62 +268,89 @@ class Judge:
         return self.language(re.sub(r"\d+", "0", text))
 
 
-def training_samples(documents: DataFrame, files: DataFrame) -> dict[str, list[str]]:
-    """The bounded sample: labelled documents by a hash of their id, and code by a hash of the file id."""
-    # the sample is chosen on ids alone; only its own texts are then read and brought to the driver
+def _sentences(text: str) -> Iterator[str]:
+    for part in re.split(r"\n+|(?<=[.!?])\s+(?=[^\W\d_a-z])|(?<=[。！？])", _FENCE.sub("\n", text)):
+        if part := part.strip():
+            yield part
+
+
+def _code_lines(path: str | None, text: str) -> Iterator[str]:
+    """Lines of a file without its comments and its prose literals."""
+    kept, end = [], 0
+    for k, a, b in literals(content_language(path, text), text):
+        body = text[a + 1 : b - 1]
+        kept.append(text[end:a])
+        if k in "sr" and (_STATEMENT.search(body) or not enough(body)):
+            kept.append(body)
+        end = b
+    for line in "".join([*kept, text[end:]]).split("\n"):
+        if len(line := line.strip()) > 8:
+            yield line
+
+
+def _foremost(parts: DataFrame) -> DataFrame:
+    """Of every class the ``PARTS_PER_CLASS`` distinct parts with the smallest hashes."""
+    order = W.partitionBy("class").orderBy(F.xxhash64("part"), "part")
+    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PARTS_PER_CLASS)
+
+
+def labelled_parts(documents: DataFrame) -> DataFrame:
+    """``(class, part, votes, rank)``: sentences of sampled documents, whole texts, and whether most rows name this language.
+
+    The documents are chosen on ids alone, by hash; only their texts are then read. Labels may be wrong: a
+    sentence stays with the language that most rows with it name.
+    """
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = documents.select("doc_id", "lang").where(F.col("lang").isin(*LANGUAGES) & F.col("doc_id").isNotNull())
-    chosen = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_PER_LANGUAGE).collect()
-    rank = {(r["doc_id"], r["lang"]): r["rank"] for r in chosen}
-    texts = documents.where(F.col("doc_id").isin(*sorted({k[0] for k in rank})) & F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", 1, SAMPLE_TEXT).alias("text"))
-    labelled = sorted((r for r in texts.collect() if (r["doc_id"], r["lang"]) in rank), key=lambda r: (r["lang"], rank[r["doc_id"], r["lang"]], r["text"]))
+    chosen = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS_PER_LANGUAGE).select("doc_id").distinct()
+    wanted = [r["doc_id"] for r in chosen.collect()]
+    texts = documents.where(F.col("doc_id").isin(*wanted) & F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select("lang", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for lang, text in zip(b["lang"], b["text"]):
+                for part in _sentences(text):
+                    fits = enough(part) and not re.search(r"[{};=]|\w_\w", part) and lang in candidates(part)
+                    rows.append((normalised(part), lang, part if fits else None))
+            yield pd.DataFrame(rows, columns=["known", "class", "part"], dtype=object)
+
+    named = texts.mapInPandas(run, "known string, class string, part string").groupBy("known", "class").agg(F.count("*").alias("n"), F.min("part").alias("part"))
+    most = named.groupBy("known").agg(F.max("n").alias("most"))
+    return _foremost(named.join(most, "known").where((F.col("n") == F.col("most")) & F.col("part").isNotNull()).select("class", "part"))
+
+
+def code_parts(files: DataFrame) -> DataFrame:
+    """``(class, part, rank)``: distinct lines of code of sampled files, whole texts."""
+    ids = [r["id"] for r in files.select("id").where(F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id").limit(CODE_FILES).collect()]
+    texts = files.where(F.col("id").isin(*ids) & F.col("content").isNotNull()).select("filePath", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lines = {x for path, text in zip(b["filePath"], b["content"]) for x in _code_lines(path, text)}
+            yield pd.DataFrame({"class": "code", "part": list(lines)}, dtype=object)
+
+    return _foremost(texts.mapInPandas(run, "class string, part string").distinct())
+
+
+def training_samples(documents: DataFrame, files: DataFrame) -> dict[str, list[str]]:
+    """The bounded sample a class; wrongly labelled sentences that the seeds speak against are left out."""
     samples: dict[str, list[str]] = {c: list(SEEDS[c]) for c in LANGUAGES}
-    sizes = dict.fromkeys(LANGUAGES, 0)
-    votes: dict[str, Counter] = {}
-    for r in labelled:
-        taken = 0
-        for part in re.split(r"\n+|(?<=[.!?])\s+(?=[^\W\d_a-z])|(?<=[。！？])", _FENCE.sub("\n", r["text"])):
-            part = part.strip()
-            known = normalised(part)
-            votes.setdefault(known, Counter())[r["lang"]] += 1
-            if votes[known].total() > 1:
-                continue
-            if taken > CHARS_PER_DOCUMENT:
-                break
-            if enough(part) and not re.search(r"[{};=]|\w_\w", part) and r["lang"] in candidates(part) and sizes[r["lang"]] < CHARS_PER_CLASS:
-                samples[r["lang"]].append(part)
-                sizes[r["lang"]] += len(part)
-                taken += len(part)
-    # Labels may be wrong: a part stays with the language most of its rows name, if the seeds do not speak against it.
+    samples["code"] = [SQL_SEED, *_identifiers()]
+    sizes = dict.fromkeys(samples, 0)
     seeds = Scorer(train({c: SEEDS[c] for c in LANGUAGES}))
     at = {n: i for i, n in enumerate(seeds.names)}
-    for c in LANGUAGES:
-        kept = samples[c][: len(SEEDS[c])]
-        for part in samples[c][len(SEEDS[c]) :]:
-            v, e = votes[normalised(part)], seeds.entropies(part)
-            if v.most_common(1)[0][1] == v[c] and e[at[c]] <= SEED_MARGIN * min(e[at[x]] for x in candidates(part)):
-                kept.append(part)
-        samples[c] = kept
-    code: list[str] = [SQL_SEED, *_identifiers()]
-    size = 0
-    code_ids = [r["id"] for r in files.select("id").where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(CODE_FILES).collect()]
-    sampled = files.where(F.col("id").isin(*code_ids) & F.col("content").isNotNull()).select("id", "filePath", F.substring("content", 1, SAMPLE_FILE).alias("content"))
-    place = {x: n for n, x in enumerate(code_ids)}
-    for r in sorted(sampled.collect(), key=lambda r: (place[r["id"]], r["content"])):
-        kind = content_language(r["filePath"], r["content"])
-        kept, end = [], 0
-        for k, a, b in literals(kind, r["content"]):
-            body = r["content"][a + 1 : b - 1]
-            kept.append(r["content"][end:a])
-            if k in "sr" and (_STATEMENT.search(body) or not enough(body)):
-                kept.append(body)
-            end = b
-        for line in "".join([*kept, r["content"][end:]]).split("\n"):
-            line = line.strip()
-            if len(line) > 8 and size < CHARS_PER_CLASS:
-                code.append(line)
-                size += len(line)
-    samples["code"] = code
+    got = labelled_parts(documents).unionByName(code_parts(files)).collect()
+    for r in sorted(got, key=lambda r: (r["class"], r["rank"])):
+        c, part = r["class"], r["part"]
+        if sizes[c] >= CHARS_PER_CLASS:
+            continue
+        if c != "code":
+            e = seeds.entropies(part)
+            if e[at[c]] > SEED_MARGIN * min(e[at[x]] for x in candidates(part) if x in at):
+                continue
+        samples[c].append(part)
+        sizes[c] += len(part)
     return samples
 
 
@@ -307,7 +366,7 @@ def relabelled(samples: dict[str, list[str]]) -> dict[str, list[str]]:
     for name, parts in samples.items():
         kept = []
         for k, p in enumerate(parts):
-            if name != "code" and k >= len(SEEDS[name]):
+            if name in SEEDS and k >= len(SEEDS[name]):
                 e = judge.entropies(p)
                 rivals = [e[at[c]] for c in candidates(p) if c != name and c in at]
                 if rivals and min(rivals) < e[at[name]] * 0.95:
@@ -319,37 +378,55 @@ def relabelled(samples: dict[str, list[str]]) -> dict[str, list[str]]:
 
 def trained_model(documents: DataFrame, files: DataFrame) -> bytes:
     """The pickled trees; their size is bounded by the sample's bounds, so they may be broadcast."""
-    return pickle.dumps(train(relabelled(training_samples(documents, files))), protocol=5)
+    return pickle.dumps(train(relabelled(training_samples(documents, files)) | RIVALS), protocol=5)
 
 
-def prose_spans(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """``(fileId, lang, passages, chars, share)`` per file and language found in it.
+def _judged(files: DataFrame, documents: DataFrame, rows_of: Callable[[int, str, list[tuple[int, str, str]]], list[tuple]], schema: str) -> DataFrame:
+    """One pass over the files; ``rows_of(id, text, [(offset, language, passage)])`` gives a file's rows.
 
-    ``share`` is the part of the file's characters that stands in passages of that language. Null and empty
-    contents give no rows; undetermined passages count for no language; repeated rows repeat their results.
-    The files are scanned once without a shuffle; the trees are broadcast (bounded, see above).
+    Null and empty contents give no rows; undetermined passages have no language and are left out; repeated
+    rows repeat their results. No shuffle; the trees are broadcast (bounded, see above).
     """
     model = Model(files.sparkSession, trained_model(documents, files))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = model.load(lambda trees: Judge(Scorer(trees)))
         for b in batches:
             rows = []
             for i, path, text in zip(b["id"], b["filePath"], b["content"]):
-                found: dict[str, list[int]] = {}
-                for p in passages(path, text):
-                    lang = judge.of(p)
-                    if lang:
-                        n = found.setdefault(lang, [0, 0])
-                        n[0] += 1
-                        n[1] += len(p)
-                rows += [(i, lang, n, c, c / len(text)) for lang, (n, c) in found.items()]
-            yield pd.DataFrame(rows, columns=["fileId", "lang", "passages", "chars", "share"]).astype({"fileId": "int64", "passages": "int32", "chars": "int64", "share": "float64"})
+                rows += rows_of(i, text, [(at, lang, whole) for at, judged, whole in passages(path, text) if (lang := judge.of(judged))])
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     kept = files.select("id", "filePath", "content").where((F.length("content") > 0) & F.col("id").isNotNull())
-    return kept.mapInPandas(run, "fileId long, lang string, passages int, chars long, share double")
+    return kept.mapInPandas(run, schema)
+
+
+def prose_passages(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(fileId, lineNumber, lang, passage)``: every passage with its language and the line where it begins."""
+
+    def rows(i: int, text: str, found: list[tuple[int, str, str]]) -> list[tuple]:
+        lines = Lines(text)
+        return [(i, lines.of(at), lang, whole) for at, lang, whole in found]
+
+    return _judged(files, documents, rows, "fileId long, lineNumber int, lang string, passage string")
+
+
+def prose_spans(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(fileId, lang, passages, chars, share)`` per file and language found in it.
+
+    ``share`` is the part of the file's characters that stands in passages of that language.
+    """
+
+    def rows(i: int, text: str, found: list[tuple[int, str, str]]) -> list[tuple]:
+        sizes: dict[str, list[int]] = {}
+        for _, lang, whole in found:
+            sizes.setdefault(lang, []).append(len(whole))
+        return [(i, lang, len(n), sum(n), sum(n) / len(text)) for lang, n in sizes.items()]
+
+    return _judged(files, documents, rows, "fileId long, lang string, passages int, chars long, share double")
 
 
 def prose_languages(files: DataFrame, documents: DataFrame) -> DataFrame:
     """Query ``p5_found``: one row per file and language."""
-    return prose_spans(files, documents).select("fileId", "lang")
+    return _judged(files, documents, lambda i, text, found: [(i, lang) for lang in dict.fromkeys(x[1] for x in found)], "fileId long, lang string")

@@ -41,6 +41,7 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: mojibake.garbled_records(_records(s, d)),
         "p4_repaired": lambda s, d: mojibake.garbled_records(_records(s, d), repair=True),
         "p5_found": lambda s, d: prose.prose_languages(_files(s, d), _labelled(s, d)),
+        "p5_passages": lambda s, d: prose.prose_passages(_files(s, d), _labelled(s, d)),
         "p5_shares": lambda s, d: prose.prose_spans(_files(s, d), _labelled(s, d)),
         "p7_packed": lambda s, d: packing.packed(_texts(s, d), scan(s, d, "context_windows", "window_id", "capacity_tokens")),
         "p7_utilisation": lambda s, d: packing.utilisation(_texts(s, d), scan(s, d, "context_windows", "window_id", "capacity_tokens")),

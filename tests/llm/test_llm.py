@@ -327,6 +327,27 @@ def test_prose_languages(spark):
     assert got == {(1, "de"), (1, "en"), (2, "zh"), (2, "ja"), (3, "ru"), (4, "pt")}
 
 
+def test_prose_passages_and_other_languages(spark):
+    docs = spark.createDataFrame([(1, "en", "This must run before the price list is written, otherwise the result is wrong."), (2, "ru", CLEAN[2])], "doc_id long, lang string, text string")
+    text = "package a\n\n// This value must never be empty because the\n// server stops.\nfunc f() {}\n\n// Файл не вдалося відкрити, спробуйте ще раз пізніше або зверніться до адміністратора.\n// Не удалось открыть файл, попробуйте ещё раз позже.\n"
+    got = [(r.lineNumber, r.lang, r.passage) for r in prose.prose_passages(files(spark, ("a.go", text)), docs).collect()]
+    assert got == [(3, "en", "This value must never be empty because the server stops."), (8, "ru", "Не удалось открыть файл, попробуйте ещё раз позже.")]
+    share = prose.prose_spans(files(spark, ("a.go", text)), docs).where("lang = 'en'").first()
+    assert share.passages == 1 and share.chars == len(got[0][2]) and abs(share.share - share.chars / len(text)) < 1e-9
+
+
+def test_training_sample_is_bounded_and_from_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(prose, "PARTS_PER_CLASS", 40)
+    word = lambda i: "".join(chr(97 + int(x)) for x in str(i))
+    far = " ".join(f"The record {word(i)} must be checked by the user before it is saved." for i in range(500))
+    docs = spark.createDataFrame([(i % 3, "en", far) for i in range(6)], "doc_id long, lang string, text string")
+    f = files(spark, ("a.go", "package a\n" + "".join(f"var someValue{i} = {i}\n" for i in range(900))))
+    got = prose.training_samples(docs, f)
+    parts = got["en"][len(prose.SEEDS["en"]) :]
+    assert 0 < len(parts) <= 40 and len({*parts}) == len(parts) and any(len(x.split()[2]) == 3 for x in parts)
+    assert len(got["code"]) <= 41 + len(prose._identifiers())
+
+
 def test_ppm_held_out():
     trees = train({k: v for k, v in prose.SEEDS.items()})
     s = Scorer(trees)
