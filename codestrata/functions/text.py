@@ -28,6 +28,7 @@ def squeezed(c: Column) -> Column:
 
 def normalized_text(c: Column) -> Column:
     """For grouping: lower case, quoted spans, integers and paths replaced by marks, white space squeezed; null as ''."""
+    # These steps define the grouping key.
     steps = (
         ("[\"'`].*?[\"'`]", "<value>"),
         (r"\b\d+\b", "<n>"),

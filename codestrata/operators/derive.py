@@ -18,17 +18,28 @@ LEVELS = {
 }
 
 
+# Signs of texts that analysis cannot be sure of.
+TEXT_SIGNS = {
+    "string": r"(?is)[\"'`](SELECT|INSERT|UPDATE|DELETE).*?\n.*?[\"'`]",
+    "joined": r"(?i)(SELECT|INSERT|UPDATE|DELETE)[^;\n]*(\"?\s*\+|&|\|\|)",
+    "verb": r"(?i)(SELECT|INSERT|UPDATE|DELETE)\b",
+    "begin": r"(?i)begin\b",
+    "end": r"(?i)end\b",
+    "unit": r"(?im)^\s*(?:unit|library|program)\s+[A-Za-z_]",
+}
+
+
 def file_warnings(files: DataFrame) -> DataFrame:
     """``(projectId, fileId, file, code, level)`` from flags over whole texts; null contents give none."""
     c, e = F.col("content"), P.extension(F.col("filePath"))
     pascal, script = e.isin("pas", "dpr", "inc", "dpk", "delphi"), e.isin("go", "sql", "pas", "dpr", "inc", "dpk", "delphi")
-    unit = c.rlike(r"(?im)^\s*(?:unit|library|program)\s+[A-Za-z_]")
+    holds = {k: c.rlike(p) for k, p in TEXT_SIGNS.items()}
     flags = {
-        "SQL_STRING_MULTILINE": script & c.rlike(r"(?is)[\"'`](SELECT|INSERT|UPDATE|DELETE).*?\n.*?[\"'`]"),
-        "SQL_DYNAMIC_STRING": script & c.rlike(r"(?i)(SELECT|INSERT|UPDATE|DELETE)[^;\n]*(\"?\s*\+|&|\|\|)"),
-        "SQL_STATEMENT_MULTILINE": (e == "sql") & F.contains(c, F.lit("\n")) & c.rlike(r"(?i)(SELECT|INSERT|UPDATE|DELETE)\b") & ~F.contains(c, F.lit(";")),
-        "DELPHI_BLOCK_UNBALANCED": pascal & ~(c.rlike(r"(?i)begin\b") & c.rlike(r"(?i)end\b")),
-        "DELPHI_UNIT_NOT_FOUND": pascal & ~unit,
+        "SQL_STRING_MULTILINE": script & holds["string"],
+        "SQL_DYNAMIC_STRING": script & holds["joined"],
+        "SQL_STATEMENT_MULTILINE": (e == "sql") & F.contains(c, F.lit("\n")) & holds["verb"] & ~F.contains(c, F.lit(";")),
+        "DELPHI_BLOCK_UNBALANCED": pascal & ~(holds["begin"] & holds["end"]),
+        "DELPHI_UNIT_NOT_FOUND": pascal & ~holds["unit"],
         "DELPHI_LIMITED_ANALYSIS": e.isin("inc", "dpk"),
         "HEURISTIC_ANALYSIS": pascal,
         "IMPORT_BUILD_METADATA": e.isin(*P.BUILD_METADATA),

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 _LINE = re.compile(r"\r?\n")
-_PLAIN = re.compile(r"[A-Za-z_][\w$]*|\d[\w.]*|:=|[^\s\w]|\w")
+_PLAIN = re.compile(r"[^\W\d][\w$]*|\d[\w.]*|:=|[^\s\w]")
 _SQL = re.compile(r"(?P<w>[A-Za-z_][\w$]*)|(?P<s>'(?:''|[^'])*')|(?P<q>\"(?:\"\"|[^\"])*\"|`(?:``|[^`])*`|\[[^\]]+\])|(?P<n>\d[\w.]*)|(?P<m>\|\||\S)")
 
 

@@ -246,10 +246,10 @@ def queries() -> dict[str, Query]:
         "c25_form_objects": lambda s, d: X.form_objects(_files(s, d)).drop("properties", "columns"),
         "c26_form_events": lambda s, d: X.form_events(_files(s, d)),
         "c27_data_bindings": c27_data_bindings,
-        "c29_magic_values": lambda s, d: K.magic_values(_files(s, d)),
+        "c29_magic_values": lambda s, d: K.magic_values(_files(s, d)).select("projectId", "fileId", "file", "line", "value", "kind", "title", "severity"),
         "c31_missing_where": c31_missing_where,
-        "c32_pascal_risks": lambda s, d: K.pascal_risks(_files(s, d)),
-        "c33_conversion_risks": lambda s, d: K.conversion_risks(_files(s, d)),
+        "c32_pascal_risks": lambda s, d: K.pascal_risks(_files(s, d)).select("projectId", "fileId", "file", "line", "title", "severity"),
+        "c33_conversion_risks": lambda s, d: K.conversion_risks(_files(s, d)).select("projectId", "fileId", "file", "line", "title", "severity"),
         "c35_sql_evidence": c35_sql_evidence,
         "d6_file_search": d6_file_search,
         "e6_event_handlers": e6_event_handlers,
