@@ -60,22 +60,80 @@ def _word(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\w]+", "_")
 
 
+RULE = ("projectId", "ruleType", "name", "description", "condition", "occurrences", "file", "line")
+
+
 def rules(references: DataFrame, magic: DataFrame, conversions: DataFrame) -> DataFrame:
-    """``(projectId, ruleType, name, occurrences, file, line)``: single owners of fields written at several places,
-    constants to take out of the code, and conversions to guard; one rule a name."""
+    """Rules of :data:`RULE`: single owners of fields written at several places, calculated fields to reproduce,
+    constants to take out of the code, and conversions to guard; one a type and name, the last one made holds."""
+    at = F.struct("file", "line")
     w = references.where(F.col("access") == "write").withColumn("k", T.field_identity(F.col("tableName"), F.col("field")))
-    several = w.groupBy("projectId", "k").agg(F.count("*").alias("n"), F.min(F.struct("file", "line")).alias("at")).where(F.col("n") >= 2)
-    table = F.coalesce("k.table", F.lit(""))
-    owner = several.withColumn("family", field_family(F.col("k.field"))).groupBy("projectId", table.alias("t"), "family").agg(F.sum("n").alias("occurrences"), F.min("at").alias("at"))
-    owner = owner.select("projectId", F.lit("validation").alias("ruleType"), F.concat(F.lit("validate_"), _word(F.concat_ws("_", "t", "family")), F.lit("_single_owner")).alias("name"), "occurrences", "at")
+    several = w.groupBy("projectId", "k").agg(F.count("*").alias("n"), F.min(at).alias("at")).where(F.col("n") >= 2)
+    owner = several.withColumn("family", field_family(F.col("k.field"))).groupBy("projectId", F.coalesce("k.table", F.lit("")).alias("t"), "family").agg(F.sum("n").alias("occurrences"), F.count("*").alias("fields"), F.min("at").alias("at"))
+    shown = F.concat_ws(".", "t", "family")
+    owner = owner.select(
+        "projectId", F.lit(1).alias("made"), F.lit("validation").alias("ruleType"), F.concat(F.lit("validate_"), _word(F.concat_ws("_", "t", "family")), F.lit("_single_owner")).alias("name"),
+        F.concat(F.lit("Review write ownership for "), shown, F.lit("; "), F.col("fields").cast("string"), F.lit(" related fields have multiple write sites.")).alias("description"),
+        F.concat(shown, F.lit(" should have a documented write owner")).alias("condition"), "occurrences", "at",
+    )
+    c = references.where(F.col("access") == "calculate")
+    field = F.concat_ws(".", "tableName", "field")
+    calculated = c.select(
+        "projectId", F.lit(0).alias("made"), F.lit("calculation").alias("ruleType"), _word(F.concat(F.lit("recalculate_"), F.concat_ws("_", "tableName", "field"))).alias("name"),
+        F.concat(F.lit("Calculated field "), field, F.lit(" should be reproducible.")).alias("description"), (F.col("context") if "context" in references.columns else F.lit(None).cast("string")).alias("condition"), F.lit(1).cast("long").alias("occurrences"), at.alias("at"),
+    )
 
-    def from_risks(df: DataFrame, kind: str, prefix: str) -> DataFrame:
+    def from_risks(df: DataFrame, kind: str, prefix: str, made: int) -> DataFrame:
         name = F.concat(F.lit(prefix), _word(F.col("file")), F.lit("_"), F.lower(_word(F.col("title"))))
-        return df.groupBy("projectId", name.alias("name")).agg(F.count("*").alias("occurrences"), F.min(F.struct("file", "line")).alias("at")).select("projectId", F.lit(kind).alias("ruleType"), "name", "occurrences", "at")
-
-    every = owner.unionByName(from_risks(magic, "magic_value", "externalize_")).unionByName(from_risks(conversions, "format", "format_guard_"))
-    one = every.groupBy("projectId", "ruleType", "name").agg(F.max("occurrences").alias("occurrences"), F.min("at").alias("at"))
-    return one.select("projectId", "ruleType", "name", "occurrences", "at.file", "at.line")
+        told = F.col("description") if "description" in df.columns else F.lit(None).cast("string")
+        g = df.groupBy("projectId", name.alias("name")).agg(F.count("*").alias("occurrences"), F.min(F.struct("file", "line", "title", told.alias("told"))).alias("r"))
+        description = F.when(F.col("occurrences") > 1, F.concat("r.title", F.lit(" ("), F.col("occurrences").cast("string"), F.lit(" occurrences)"))).otherwise(F.col("r.title"))
+        return g.select("projectId", F.lit(made).alias("made"), F.lit(kind).alias("ruleType"), "name", description.alias("description"), F.col("r.told").alias("condition"), "occurrences", F.struct("r.file", "r.line").alias("at"))
+
+    every = reduce(DataFrame.unionByName, [calculated, owner, from_risks(magic, "magic_value", "externalize_", 2), from_risks(conversions, "format", "format_guard_", 3)])
+    one = every.groupBy("projectId", "ruleType", "name").agg(F.max(F.struct("made", "at", "description", "condition", "occurrences")).alias("r"))
+    return one.select("projectId", "ruleType", "name", "r.description", "r.condition", "r.occurrences", "r.at.file", "r.at.line").select(*RULE)
+
+
+# What the warnings of forms say.
+FORM_UNBALANCED = "DFM object blocks appear incomplete; object and property extraction is best-effort."
+FORM_EMPTY = "No objects were found in the DFM file. The file may be malformed or use an unsupported format."
+HEURISTIC = "Analysis results are heuristic for Go, SQL, and Delphi. Use them to support legacy impact review and human code review, not as a compiler-grade source-of-truth."
+
+
+def project_warnings(files: DataFrame, forms: DataFrame, handlers: DataFrame, bindings: DataFrame) -> DataFrame:
+    """``(projectId, code, level, file, message, heuristic)``: warnings of files, forms, handlers and bindings, each once, and the note on the method."""
+    none = F.lit(None).cast("string")
+    make = lambda df, code, level, message, heuristic=True, file="file": df.select("projectId", F.lit(code).alias("code"), F.lit(level).alias("level"), (F.col(file) if file else none).alias("file"), message.alias("message"), F.lit(heuristic).alias("heuristic"))
+    parts = [files.select("projectId", "code", "level", "file", F.lit("").alias("message"), F.col("code").isin("HEURISTIC_ANALYSIS", "DELPHI_LIMITED_ANALYSIS", "SQL_STRING_MULTILINE", "SQL_DYNAMIC_STRING").alias("heuristic"))]
+    parts.append(make(forms.where(F.col("error").isNotNull()), "DFM_LIMITED_ANALYSIS", "warning", F.col("error")))
+    parts.append(make(forms.where(F.col("error").isNull() & ~F.col("closed")), "DFM_OBJECT_UNBALANCED", "warning", F.lit(FORM_UNBALANCED)))
+    parts.append(make(forms.where(F.col("error").isNull() & (F.col("objects") == 0)), "DFM_NO_OBJECTS", "warning", F.lit(FORM_EMPTY)))
+    place = F.concat_ws(".", "formName", "component", "event")
+    parts.append(make(handlers.where(F.col("status") != "resolved"), "DELPHI_EVENT_HANDLER_UNRESOLVED", "warning", F.concat(place, F.lit(" references "), F.col("handler"), F.lit(", but no Pascal method was resolved."))))
+    incomplete = F.concat("component", F.lit(" has incomplete static DB binding metadata: runtime assignment may be required."))
+    parts.append(make(bindings.where(F.col("confidence") != "high"), "DELPHI_DATA_BINDING_UNRESOLVED", "warning", incomplete))
+    every = reduce(DataFrame.unionByName, parts)
+    note = make(every.select("projectId").distinct(), "HEURISTIC_ANALYSIS", "note", F.lit(HEURISTIC), file="")
+    return merged_warnings(every, note)
+
+
+def merged_warnings(*warnings: DataFrame) -> DataFrame:
+    """Several lists of warnings as one; of the same code, file and message the first stands."""
+    every = reduce(DataFrame.unionByName, [w.withColumn("_n", F.lit(n)) for n, w in enumerate(warnings)])
+    one = every.groupBy("projectId", "code", "file", "message").agg(F.min(F.struct("_n", "level", "heuristic")).alias("w"))
+    return one.select("projectId", "code", "w.level", "file", "message", "w.heuristic")
+
+
+def import_summary_warnings(files: DataFrame, imported: DataFrame) -> DataFrame:
+    """One note a project on what was imported, and the import's own warnings as analysis warnings."""
+    f = files.groupBy("projectId").agg(F.count("*").alias("n"), F.count_if(P.language(F.col("filePath")).isNotNull()).alias("known"))
+    i = imported.groupBy("projectId").agg(F.count("*").alias("w"))
+    f = f.join(i, "projectId", "left").na.fill(0, ["w"])
+    said = F.concat(F.lit("Analysis input: "), F.col("n").cast("string"), F.lit(" files, "), F.col("known").cast("string"), F.lit(" of supported languages, "), F.col("w").cast("string"), F.lit(" import warnings."))
+    note = f.select("projectId", F.lit("ANALYSIS_INPUT_SUMMARY").alias("code"), F.lit("note").alias("level"), F.lit(None).cast("string").alias("file"), said.alias("message"), F.lit(False).alias("heuristic"))
+    own = imported.select("projectId", "code", F.lit("warning").alias("level"), F.col("filePath").alias("file"), F.coalesce("message", F.lit("")).alias("message"), F.lit(False).alias("heuristic"))
+    return merged_warnings(note, own)
 
 
 def metrics(files: DataFrame, symbols: DataFrame, references: DataFrame, risks: DataFrame, warnings: DataFrame) -> DataFrame:

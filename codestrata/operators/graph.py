@@ -1,20 +1,20 @@
-"""Graph queries: one-hop impact, bounded flow traces, reachability."""
+"""Impact of a change: what a symbol, file, table, field, risk or rule touches."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+import re
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from codestrata.session import checkpointed
+from codestrata.functions import text as T
 
-MAX_DEPTH, MAX_STEPS = 8, 200
-#: Traces kept for a project (a stated limit of the report).
-MAX_TRACES = 2000
-TRACE = "projectId long, trace string, step int, type string, label string, file string, line int"
+# What a target may be, in the order in which a name is tried.
+TARGETS = ("sql_field", "symbol", "file", "sql_table", "risk", "rule")
+#: What an impact lists; chains are not counted.
+KINDS = ("file", "symbol", "table", "field", "rule", "risk")
 
 
 def touching(edges: DataFrame, keys: DataFrame) -> DataFrame:
@@ -25,6 +25,49 @@ def touching(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def name_parts(name: str) -> list[str]:
+    """Parts of a dotted name in lower case, without quotes; dots inside quotes do not split."""
+    return [p.strip("[]`\" ").strip().lower() for p in re.findall(r"\[[^\]]*\]|\"(?:\"\"|[^\"])*\"|`(?:``|[^`])*`|[^.\[\]\"`]+", name) if p.strip()]
+
+
+def _norm(c: Column) -> Column:
+    return F.lower(T.trimmed(F.coalesce(c, F.lit(""))))
+
+
+def _path(c: Column) -> Column:
+    return _norm(F.regexp_replace(c, r"\\", "/"))
+
+
+def field_index(references: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """``(projectId, tableName, field, k)``: the fields a project knows, each spelling once, with its identity."""
+    f = references.select("projectId", "tableName", "field")
+    if columns is not None:
+        f = f.unionByName(columns.select("projectId", "tableName", "field"))
+    return f.where(F.col("field").isNotNull()).distinct().withColumn("k", T.field_identity(F.col("tableName"), F.col("field")))
+
+
+def matching_fields(fields: DataFrame, target: str) -> DataFrame:
+    """Fields a ``table.field`` names; a schema counts only where the target has one (``dbo`` counts as none)."""
+    parts = name_parts(target)
+    if len(parts) < 2:
+        return fields.where(F.lit(False))
+    found = (F.col("k.field") == parts[-1]) & (F.col("k.table") == parts[-2])
+    return fields.where(found & _schema(parts[-3]) if len(parts) > 2 else found)
+
+
+def _schema(name: str) -> Column:
+    return F.col("k.schema").eqNullSafe(F.lit(None if name in ("dbo", "") else name))
+
+
+def matching_tables(fields: DataFrame, target: str) -> DataFrame:
+    """Fields of the table that the target names."""
+    parts = name_parts(target)
+    if not parts:
+        return fields.where(F.lit(False))
+    found = F.col("k.table") == parts[-1]
+    return fields.where(found & _schema(parts[-2]) if len(parts) > 1 else found)
+
+
 def matching_symbols(symbols: DataFrame, target: str) -> DataFrame:
     """Symbols whose full name or last dotted part is the target, letter case and outer blanks aside."""
     t = target.strip().lower()
@@ -32,157 +75,137 @@ def matching_symbols(symbols: DataFrame, target: str) -> DataFrame:
     return symbols.where((name == t) | (F.substring_index(name, ".", -1) == t) | (F.lower(F.trim("name")) == t))
 
 
-def impact(symbols: DataFrame, edges: DataFrame, references: DataFrame, risks: DataFrame, target: str) -> DataFrame:
-    """What a change of a symbol, file, table or field touches, per project: ``(projectId, kind, item)``.
+def matching_files(files: DataFrame, target: str) -> DataFrame:
+    t = target.strip().lower()
+    return files.where((_path(F.col("filePath")) == t.replace("\\", "/")) | (F.substring_index(_path(F.col("filePath")), "/", -1) == t))
+
 
-    The target is taken for the first of field, symbol, file and table that it names in the project.
-    """
+def matching_rules(rules: DataFrame, target: str) -> DataFrame:
+    """Rules whose name, description or condition is the target."""
     t = target.strip().lower()
-    field_name = F.lower(F.concat_ws(".", "tableName", "field"))
-    named = symbols.withColumn("k", F.lit(2))
-    by_field = references.where((field_name == t) | (F.lower("field") == t)).select("projectId", F.col("ownerKey").alias("key"), F.lit(1).alias("k"))
-    by_symbol = matching_symbols(named, target).select("projectId", F.col("stableKey").alias("key"), "k")
-    path = F.lower(F.trim("file"))
-    by_file = symbols.where((path == t) | (F.substring_index(path, "/", -1) == t)).select("projectId", F.col("stableKey").alias("key"), F.lit(3).alias("k"))
-    by_table = references.where(F.lower("tableName") == t).select("projectId", F.col("ownerKey").alias("key"), F.lit(4).alias("k"))
-    hits = by_field.unionByName(by_symbol).unionByName(by_file).unionByName(by_table)
-    first = hits.groupBy("projectId").agg(F.min("k").alias("k"))
-    keys = hits.join(first, ["projectId", "k"], "left_semi").where(F.col("key").isNotNull()).select("projectId", "key").distinct()
-    chains = touching(edges, keys)
-    ends = chains.select("projectId", F.explode(F.array("fromKey", "toKey")).alias("key")).where(F.col("key").isNotNull())
-    touched = keys.unionByName(ends).distinct()
-    s = symbols.join(touched.withColumnRenamed("key", "stableKey"), ["projectId", "stableKey"], "left_semi")
-    fields = references.join(keys.withColumnRenamed("key", "ownerKey"), ["projectId", "ownerKey"], "left_semi")
-    files = s.select("projectId", "file").distinct()
-    near = risks.select("projectId", F.regexp_replace("sourceFile", r"\\", "/").alias("file"), "title").join(files, ["projectId", "file"], "left_semi")
-    item = lambda df, kind, c: df.select("projectId", F.lit(kind).alias("kind"), c.alias("item"))
-    out = item(s, "symbol", F.coalesce("qualifiedName", "name")).unionByName(item(files, "file", F.col("file")))
-    out = out.unionByName(item(fields, "table", F.col("tableName"))).unionByName(item(fields, "field", F.concat_ws(".", "tableName", "field")))
-    out = out.unionByName(item(near, "risk", F.col("title"))).unionByName(item(chains, "chain", F.concat_ws(" -> ", "fromName", "toName")))
-    return out.where(F.col("item").isNotNull()).distinct()
-
-
-def reachable(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """``(projectId, fromKey, toKey, hops)``: the least number of calls from one symbol to another, up to ``depth``.
-
-    Level by level over distinct pairs; each level joins only pairs that are new.
+    return rules.where(reduce(lambda a, b: a | b, [_norm(F.col(c)) == t for c in ("name", "description", "condition")]))
+
+
+def matching_risks(risks: DataFrame, target: str) -> DataFrame:
+    return risks.where(_norm(F.col("title")) == target.strip().lower())
+
+
+def near_symbols(places: DataFrame, symbols: DataFrame, fall_back: bool) -> DataFrame:
+    """Symbols around ``(projectId, file, line, id)``: those over the line; all of the file without a line.
+
+    With ``fall_back`` a place that no symbol covers has all symbols of its file too.
     """
-    step = checkpointed(edges.where(F.col("toKey").isNotNull() & (F.col("type") == "calls")).select("projectId", "fromKey", "toKey").distinct())
-    found = step.withColumn("hops", F.lit(1))
-    fresh = found
-    for n in range(2, depth + 1):
-        hop = step.select("projectId", F.col("fromKey").alias("toKey"), F.col("toKey").alias("next"))
-        fresh = fresh.join(hop, ["projectId", "toKey"]).select("projectId", "fromKey", F.col("next").alias("toKey")).distinct()
-        # each level is written to the shared folder: the plan stays small and a lost executor costs one level
-        fresh = checkpointed(fresh.join(found, ["projectId", "fromKey", "toKey"], "left_anti").withColumn("hops", F.lit(n)))
-        if fresh.isEmpty():
-            break
-        found = found.unionByName(fresh)
-    return found
-
-
-def statement_fields(evidence: DataFrame, references: DataFrame) -> DataFrame:
-    """Evidence with ``fields``: the ``table.field`` of every reference on the statement's line, in order."""
-    keys = ["projectId", "file", "line"]
-    r = references.groupBy(*keys).agg(F.array_sort(F.collect_list(F.concat_ws(".", "tableName", "field"))).alias("fields"))
-    return evidence.join(r, keys, "left")
-
-
-def binding_traces(bindings: DataFrame) -> DataFrame:
-    """A trace for every data binding: component, source and data set, table if resolved, field if named."""
-    known = lambda c, other: F.coalesce(F.col(c), F.lit(other))
-    step = lambda kind, label: F.struct(F.lit(kind).alias("type"), label.alias("label"))
-    field = F.when(F.col("dataField").isNotNull(), F.concat_ws(".", "resolvedTable", "dataField"))
-    steps = F.array(
-        step("ui_component", F.concat_ws(".", "componentClass", "component")),
-        step("data_binding", F.concat(F.lit("DataSource "), known("dataSource", "unresolved"), F.lit(" -> DataSet "), known("dataSet", "unresolved"))),
-        step("table", F.col("resolvedTable")), step("field", field),
-    )
-    trace = F.concat_ws(":", known("formName", "unknown"), known("component", "unknown"), F.lit("binding"), known("dataField", "unknown"), known("dataSet", "unknown"))
-    out = bindings.select("projectId", trace.alias("trace"), F.posexplode(F.filter(steps, lambda x: x["label"].isNotNull())).alias("step", "s"), "file", "line")
-    return out.select("projectId", "trace", "step", "s.type", "s.label", "file", "line")
-
-
-def flow_traces(handlers: DataFrame, edges: DataFrame, evidence: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
-    """Steps from a form event to its handler, the statements, tables and fields it owns and the calls it makes,
-    and with ``bindings`` the steps of every data binding. Fields are those of ``statement_fields``.
-
-    Depth-first in order of line and name, to depth 8 and 200 steps (the last one says so); every symbol is
-    expanded once a trace; calls back into the active path are reported. Work is grouped by form, the
-    reachable part of the call graph is joined first, so that a task holds one form's subgraph only.
+    j = places.select("projectId", "file", "line", "id").join(symbols, ["projectId", "file"])
+    hit = F.coalesce(F.col("line").between(F.col("startLine"), F.col("endLine")), F.lit(True))
+    if not fall_back:
+        return j.where(hit)
+    j = j.withColumn("_hit", hit).withColumn("_any", F.max("_hit").over(W.partitionBy("projectId", "file", "id")))
+    return j.where(F.col("_hit") | ~F.col("_any")).drop("_hit", "_any")
+
+
+class Impact:
+    """Relations of projects, and what a target touches in each of them.
+
+    symbols ``(projectId, stableKey, name, qualifiedName, type, file, startLine, endLine)``, files ``(projectId,
+    filePath)``, edges, references with owners, columns, risks ``(projectId, title, sourceFile, lineNumber)``,
+    rules ``(projectId, name, description, condition, file, line)``. Null and absent values match nothing;
+    a target that a project does not know gives it no rows.
     """
-    edges = checkpointed(edges)
-    handlers = checkpointed(handlers)
-    reach = reachable(edges)
-    starts = handlers.select("projectId", "file", "formName", "component", "event", "handler", F.col("methodKey").alias("fromKey"), "line", "status")
-    trace = F.concat_ws(":", "formName", "component", "event", "handler")
-    starts = starts.withColumn("trace", trace)
-    keys = starts.where(F.col("fromKey").isNotNull()).select("projectId", "file", "fromKey").distinct()
-    touched = keys.select("projectId", "file", F.col("fromKey").alias("key")).unionByName(keys.join(reach, ["projectId", "fromKey"]).select("projectId", "file", F.col("toKey").alias("key"))).distinct()
-    calls = edges.where(F.col("type") == "calls").select("projectId", F.col("fromKey").alias("key"), F.lit("call").alias("type"), F.col("toName").alias("label"), F.col("toKey").alias("target"), "line")
-    no_fields = F.lit(None).cast("array<string>").alias("fields")
-    calls = calls.select("*", no_fields)
-    owned = evidence.where(F.col("ownerKey").isNotNull())
-    fields = F.col("fields") if "fields" in evidence.columns else no_fields
-    sql = owned.select("projectId", F.col("ownerKey").alias("key"), F.lit("sql").alias("type"), F.concat_ws(" ", F.upper("operation"), F.when(F.col("tables") == "", "unknown table").otherwise(F.col("tables"))).alias("label"), F.col("tables").alias("target"), "line", fields)
-    parts = touched.join(calls.unionByName(sql), ["projectId", "key"])
-    parts = parts.select("projectId", "file", "key", "type", "label", "target", "line", F.lit(None).cast("string").alias("trace"), "fields")
-    heads = starts.select("projectId", "file", F.col("fromKey").alias("key"), F.lit("start").alias("type"), F.col("handler").alias("label"), F.col("component").alias("target"), "line", "trace", no_fields)
-
-    def run(_key, rows: pd.DataFrame) -> pd.DataFrame:
-        graph: dict[str, list[tuple]] = defaultdict(list)
-        for r in rows[rows["type"] != "start"].itertuples():
-            graph[r.key].append((r.type != "sql", r.line, r.label, r.target, r.fields if r.fields is not None else ()))
-        for v in graph.values():
-            v.sort(key=lambda x: (x[0], x[1], x[2] or ""))
-        out = []
-        for r in rows[rows["type"] == "start"].sort_values(["trace", "line"]).itertuples():
-            steps = [("ui_component", r.target, r.line), ("event", r.trace.split(":")[2] if r.trace.count(":") >= 2 else r.label, r.line)]
-            if r.key is None or r.key != r.key:
-                steps.append(("warning", f"Handler {r.label} was not resolved.", r.line))
-            else:
-                steps.append(("handler", r.label, r.line))
-                steps += list(_walk(graph, r.key))
-            if len(steps) > MAX_STEPS:
-                steps = [*steps[: MAX_STEPS - 1], ("warning", f"FLOW_TRACE_STEP_LIMIT_REACHED: trace stopped after {MAX_STEPS} steps.", None)]
-            out += [(r.projectId, r.trace, i, a, b, r.file, c) for i, (a, b, c) in enumerate(steps)]
-        return pd.DataFrame(out, columns=["projectId", "trace", "step", "type", "label", "file", "line"]).astype({"line": "Int32", "step": "int32"})
-
-    traces = heads.unionByName(parts).groupBy("projectId", "file").applyInPandas(run, TRACE)
-    return traces if bindings is None else traces.unionByName(binding_traces(bindings))
-
-
-def _walk(graph: dict[str, list[tuple]], start: str) -> Iterator[tuple[str, str, int | None]]:
-    done: set[str] = set()
-    path: list[str] = []
-    left = MAX_STEPS + 1
-
-    def visit(key: str, depth: int) -> Iterator[tuple[str, str, int | None]]:
-        nonlocal left
-        if key in done or left <= 0:
-            return
-        if depth > MAX_DEPTH:
-            yield "warning", f"FLOW_TRACE_MAX_CALL_DEPTH_REACHED: traversal exceeded depth {MAX_DEPTH}.", None
-            return
-        done.add(key)
-        path.append(key)
-        for is_call, line, label, target, fields in graph.get(key, ()):
-            left -= 1
-            if left <= 0:
-                return
-            if not is_call:
-                yield "sql", label, line
-                for t in (target or "").split(","):
-                    if t:
-                        yield "table", t, line
-                for f in fields:
-                    yield "field", f, line
-                continue
-            yield "call", label, line
-            if target in path:
-                yield "warning", "FLOW_TRACE_CALL_CYCLE: " + " -> ".join([*path[path.index(target) :], target]), line
-            else:
-                yield from visit(target, depth + 1)
-        path.pop()
-
-    yield from visit(start, 0)
+
+    def __init__(self, symbols: DataFrame, files: DataFrame, edges: DataFrame, references: DataFrame, risks: DataFrame, rules: DataFrame, columns: DataFrame | None = None):
+        self.symbols = symbols.withColumn("shown", F.coalesce("qualifiedName", "name"))
+        self.files = files.select("projectId", F.regexp_replace("filePath", r"\\", "/").alias("filePath")).where(F.col("filePath").isNotNull()).distinct()
+        self.edges, self.references, self.rules = edges, references, rules
+        self.risks = risks.withColumn("file", F.regexp_replace("sourceFile", r"\\", "/"))
+        self.fields = field_index(references, columns)
+
+    def resolved(self, target: str, kind: str = "auto") -> DataFrame:
+        """``(projectId, targetType)``: what the target is in each project, the first kind in order that it names."""
+        found = {
+            "sql_field": matching_fields(self.fields, target), "symbol": matching_symbols(self.symbols, target), "file": matching_files(self.files, target),
+            "sql_table": matching_tables(self.fields, target), "risk": matching_risks(self.risks, target), "rule": matching_rules(self.rules, target),
+        }
+        kinds = TARGETS if kind == "auto" else (kind,)
+        hits = reduce(DataFrame.unionByName, [found[k].select("projectId", F.lit(TARGETS.index(k)).alias("k")) for k in kinds])
+        first = hits.groupBy("projectId").agg(F.min("k").alias("k"))
+        return first.select("projectId", F.element_at(F.array(*[F.lit(t) for t in TARGETS]), F.col("k") + 1).alias("targetType"))
+
+    def _of(self, df: DataFrame, resolved: DataFrame, *kinds: str) -> DataFrame:
+        return df.join(resolved.where(F.col("targetType").isin(*kinds)).select("projectId"), "projectId", "left_semi")
+
+    @staticmethod
+    def _items(df: DataFrame, kind: str, item: Column, detail: Column | None = None) -> DataFrame:
+        return df.select("projectId", F.lit(kind).alias("kind"), item.alias("item"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+
+    def _symbol_items(self, s: DataFrame) -> list[DataFrame]:
+        return [self._items(s, "symbol", F.col("shown"), F.concat_ws(" ", "type", "file")), self._items(s, "file", F.col("file"))]
+
+    def _chains(self, s: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges with an end in the symbols, and the symbols at both ends."""
+        e = touching(self.edges, s.select("projectId", F.col("stableKey").alias("key")))
+        ends = e.select("projectId", F.explode(F.array("fromKey", "toKey")).alias("stableKey")).where(F.col("stableKey").isNotNull()).distinct()
+        return e, self.symbols.join(ends, ["projectId", "stableKey"], "left_semi")
+
+    def _chain_items(self, e: DataFrame) -> DataFrame:
+        return self._items(e, "chain", F.concat_ws(" -> ", "fromName", F.coalesce("toName", F.lit("unresolved"))))
+
+    def _by_file(self, df: DataFrame, file: Column, paths: DataFrame) -> DataFrame:
+        """Rows whose file is one of ``paths(projectId, file)``, letter case and outer blanks aside; ``hit`` is that path."""
+        p = paths.groupBy("projectId", _path(F.col("file")).alias("_f")).agg(F.min("file").alias("hit"))
+        return df.withColumn("_f", _path(file)).join(p, ["projectId", "_f"]).drop("_f")
+
+    def rows(self, target: str, kind: str = "auto") -> DataFrame:
+        """``(projectId, targetType, kind, item, detail)``: everything touched, each once; chains with repetition."""
+        resolved = self.resolved(target, kind)
+        parts: list[DataFrame] = []
+
+        hit = self._of(matching_symbols(self.symbols, target), resolved, "symbol")
+        e, ends = self._chains(hit)
+        used = self.references.join(hit.select("projectId", F.col("stableKey").alias("ownerKey"), "shown"), ["projectId", "ownerKey"])
+        parts += [*self._symbol_items(hit), *self._symbol_items(ends), self._chain_items(e)]
+        parts += [self._items(used, "table", F.col("tableName")), self._items(used, "field", F.concat_ws(".", "tableName", "field")), self._items(used, "chain", F.concat(F.col("shown"), F.lit(" -> "), F.concat_ws(".", "tableName", "field")))]
+        parts += [self._items(self._by_file(self.rules, F.col("file"), hit), "rule", F.col("name")), self._items(self._by_file(self.risks, F.col("file"), hit), "risk", F.col("title"))]
+
+        at = self._of(matching_files(self.files, target), resolved, "file").withColumnRenamed("filePath", "file")
+        inside = self.symbols.join(at, ["projectId", "file"], "left_semi")
+        e, ends = self._chains(inside)
+        rules, risks = self._by_file(self.rules, F.col("file"), at), self._by_file(self.risks, F.col("file"), at)
+        base = F.substring_index("hit", "/", -1)
+        parts += [self._items(at, "file", F.col("file")), *self._symbol_items(inside), *self._symbol_items(ends), self._chain_items(e), self._items(rules, "rule", F.col("name")), self._items(risks, "risk", F.col("title"))]
+        parts += [self._items(rules, "chain", F.concat(base, F.lit(" -> "), F.col("name"))), self._items(risks, "chain", F.concat(base, F.lit(" -> "), F.col("title")))]
+
+        fields = self._of(matching_fields(self.fields, target), resolved, "sql_field").unionByName(self._of(matching_tables(self.fields, target), resolved, "sql_table"))
+        used = self.references.join(fields.select("projectId", "tableName", "field"), ["projectId", "tableName", "field"], "left_semi").where(F.col("ownerKey").isNotNull())
+        users = self.symbols.join(used.select("projectId", F.col("ownerKey").alias("stableKey"), "tableName", "field"), ["projectId", "stableKey"])
+        parts += [self._items(fields, "table", F.col("tableName")), self._items(fields, "field", F.concat_ws(".", "tableName", "field")), *self._symbol_items(users), self._items(users, "chain", F.concat(F.col("shown"), F.lit(" -> "), F.concat_ws(".", "tableName", "field")))]
+        parts.append(self._items(self._rules_naming(fields), "rule", F.col("name")))
+
+        hit = self._of(matching_risks(self.risks, target), resolved, "risk")
+        over = near_symbols(hit.select("projectId", "file", F.col("lineNumber").alias("line"), F.monotonically_increasing_id().alias("id")), self.symbols, False)
+        parts += [self._items(hit, "risk", F.col("title")), self._items(hit, "file", F.col("file")), *self._symbol_items(over)]
+
+        hit = self._of(matching_rules(self.rules, target), resolved, "rule")
+        near = near_symbols(hit.select("projectId", "file", "line", F.col("name").alias("id")), self.symbols, True)
+        e, _ = self._chains(near)
+        parts += [self._items(hit, "rule", F.col("name")), self._items(hit, "file", F.col("file")), *self._symbol_items(near), self._chain_items(e), self._items(self._by_file(self.risks, F.col("file"), hit), "risk", F.col("title"))]
+
+        every = reduce(DataFrame.unionByName, parts).where(F.col("item").isNotNull())
+        once = every.where(F.col("kind") != "chain").distinct().unionByName(every.where(F.col("kind") == "chain"))
+        return once.join(resolved, "projectId").select("projectId", "targetType", "kind", "item", "detail")
+
+    def _rules_naming(self, fields: DataFrame) -> DataFrame:
+        """Rules whose text holds a field's key. The keys of a project are those of one table at most, so they fit in one row."""
+        keys = F.array(F.concat_ws(".", F.coalesce("k.table", F.lit("")), "k.field"), F.lower(F.concat_ws(".", "tableName", "field")))
+        of = fields.groupBy("projectId").agg(F.array_distinct(F.flatten(F.collect_set(keys))).alias("keys"))
+        text = F.concat_ws(" ", *[_norm(F.col(c)) for c in ("name", "description", "condition", "file")])
+        return self.rules.join(of, "projectId").where(F.exists("keys", lambda k: F.contains(text, k)))
+
+    def results(self, target: str, kind: str = "auto") -> DataFrame:
+        """One row a project that knows the target: its kind, how much is touched and the sorted lists."""
+        r = self.rows(target, kind)
+        lists = [F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.concat_ws(" | ", "item", "detail")))).alias(f"{k}s") for k in KINDS]
+        g = r.groupBy("projectId", "targetType").agg(*lists, F.array_sort(F.collect_list(F.when(F.col("kind") == "chain", F.col("item")))).alias("chains"))
+        count = reduce(lambda a, b: a + b, [F.size(f"{k}s") for k in KINDS])
+        g = g.withColumn("affectedCount", count).withColumn("confidence", F.lit(1))
+        said = F.concat(F.lit(f"Modifying {target} ("), F.col("targetType"), F.lit(") affects "), F.col("affectedCount").cast("string"), F.lit(" scoped items inside project "), F.col("projectId").cast("string"), F.lit("."))
+        return g.withColumn("summary", F.when(F.col("affectedCount") > 0, said).otherwise(F.concat(F.lit(f"No additional impacts were found for {target} inside project "), F.col("projectId").cast("string"), F.lit("."))))

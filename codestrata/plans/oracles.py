@@ -226,6 +226,15 @@ x AS (SELECT e.event_id, e.ts, e.user_id, e.event_type, max(w.s) AS s FROM event
 SELECT event_id, ts, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type, s ORDER BY ts, event_id) <= 3 AS allowed, epoch_us(s) AS windowStart FROM x""",
         "k1_last_diff": f"WITH {_TWO} SELECT * FROM k1",
         "k3_diff_buckets": f"WITH {_TWO} SELECT projectId, change, count(*) AS total, least(count(*), 200) AS displayed, count(*) > 200 AS truncated FROM k1 GROUP BY 1, 2",
+        "k3_files": r"""
+WITH f AS (SELECT *, replace(filePath, '\', '/') AS path FROM files), m AS (SELECT projectId, (epoch_us(min(createdAt)) + epoch_us(max(createdAt))) / 2 AS middle FROM files GROUP BY 1),
+h AS (SELECT f.projectId, path, id, content, coalesce(epoch_us(createdAt) <= middle, TRUE) AS early, coalesce(epoch_us(createdAt) > middle, TRUE) AS late FROM f JOIN m USING (projectId) WHERE content IS NOT NULL),
+b AS (SELECT projectId, path, max_by(sha256(content), id) AS hash FROM h WHERE early GROUP BY 1, 2), c AS (SELECT projectId, path, max_by(sha256(content), id) AS hash FROM h WHERE late GROUP BY 1, 2),
+bk AS (SELECT projectId, lower(path) AS key, max_by({'h': hash, 'p': path}, {'h': hash, 'p': path}) AS v FROM b GROUP BY 1, 2), ck AS (SELECT projectId, lower(path) AS key, max_by({'h': hash, 'p': path}, {'h': hash, 'p': path}) AS v FROM c GROUP BY 1, 2)
+SELECT projectId, key, CASE WHEN bk.v IS NULL THEN 'added' WHEN ck.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM bk FULL JOIN ck USING (projectId, key) WHERE bk.v IS NULL OR ck.v IS NULL OR bk.v IS DISTINCT FROM ck.v""",
+        "k3_symbol_buckets": f"""
+WITH {_TWO} SELECT projectId, change AS bucket, count(*) AS total, least(count(*), 200) AS displayed, count(*) > 200 AS truncated, min(stableKey COLLATE C) AS first,
+  list_sort(list(stableKey))[least(count(*), 200)] AS last FROM k1 WHERE change <> 'changed' GROUP BY 1, 2""",
         "k5_runs": f"""
 WITH l AS ({_LATEST.replace('{0}', 'analysis_runs')}) SELECT r.id, r.projectId, r.runNumber, r.status, r.analyzerVersion, r.sourceFingerprint, l.runId IS NOT NULL AS isLatestUsable FROM analysis_runs r LEFT JOIN l ON l.runId = r.id""",
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,16 @@ from codestrata.operators import build as B
 from codestrata.operators import derive as D
 from codestrata.operators import extract as X
 from codestrata.operators import graph as G
+from codestrata.operators import history as H
 from codestrata.operators import lists as L
 from codestrata.operators import resolve as R
 from codestrata.operators import risks as K
+from codestrata.operators import traces as TR
 from codestrata.operators import views as V
+from codestrata.operators.analysis import Analysis
 from codestrata.operators.merkle import snapshot_diff
 from codestrata.sources import sinks as S
-from codestrata.session import checkpointed, scan, spread, table
+from codestrata.session import checkpointed, maybe_broadcast, scan, spread, table
 from codestrata.streaming.limits import anchored_limit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,12 +97,16 @@ def c5_imports(s: SparkSession, d: str) -> DataFrame:
     return R.import_edges(X.imports(_files(s, d)), _symbols(s, d))
 
 
+def _analysis(s: SparkSession, d: str) -> Analysis:
+    return Analysis(_files(s, d))
+
+
 def f7_dependency_summary(s: SparkSession, d: str) -> DataFrame:
-    """Internal, external and standard-library edges per project, over the unfiltered edge set."""
-    calls, symbols = X.call_sites(_files(s, d)), checkpointed(_symbols(s, d))
-    edges = R.go_call_edges(calls, symbols).unionByName(R.unique_call_edges(calls, symbols)).unionByName(R.import_edges(X.imports(_files(s, d)), symbols))
-    external = F.col("toKey").isNull()
-    return edges.groupBy("projectId").agg(F.count_if(~external).alias("internalCount"), F.count_if(external).alias("externalCount"), F.count_if(external & T.is_standard_unit(F.col("toName"))).alias("standardLibraryCount"))
+    """Internal, external, unresolved and standard-library edges per project, over the unfiltered edge set."""
+    a = _analysis(s, d)
+    e = R.stored_edges(a.edges, a.symbols)
+    n = lambda kind, *more: F.count_if(reduce(lambda x, y: x & y, [F.col("targetKind") == kind, *more]))
+    return e.groupBy("projectId").agg(n("internal").alias("internalCount"), n("external").alias("externalCount"), n("unresolved").alias("unresolvedCount"), n("external", T.is_standard_unit(F.col("targetExternalName"))).alias("standardLibraryCount"))
 
 
 def c31_missing_where(s: SparkSession, d: str) -> DataFrame:
@@ -157,22 +165,79 @@ def k3_diff_buckets(s: SparkSession, d: str) -> DataFrame:
     return L.diff_buckets(k1_last_diff(s, d), "projectId", "stableKey")
 
 
+def _impact(s: SparkSession, d: str) -> G.Impact:
+    a = _analysis(s, d)
+    files = scan(s, d, "files", "projectId", "filePath")
+    return G.Impact(a.symbols, files, a.edges, a.references, a.risks.withColumnRenamed("file", "sourceFile").withColumnRenamed("line", "lineNumber"), a.rules, a.columns)
+
+
 def l3_impact(s: SparkSession, d: str) -> DataFrame:
     """What touches the field or symbol ``currency`` in every project."""
-    # each of these is used several times below: written once to the shared folder
-    symbols = checkpointed(_symbols(s, d))
-    references = checkpointed(R.with_owner(X.field_references(_files(s, d)), symbols))
-    calls = X.call_sites(_files(s, d))
-    edges = checkpointed(R.go_call_edges(calls, symbols).unionByName(R.unique_call_edges(calls, symbols)))
-    return G.impact(symbols, edges, references, scan(s, d, "risks", "projectId", "sourceFile", "title"), "currency")
+    return _impact(s, d).rows("currency")
+
+
+def l7_impact_results(s: SparkSession, d: str) -> DataFrame:
+    """Result per project for a table (``invoice_line``): counts, lists and chains."""
+    r = _impact(s, d).results("invoice_line", "sql_table")
+    return r.select("projectId", "targetType", "confidence", "affectedCount", F.size("files").alias("files"), F.size("symbols").alias("symbols"), F.size("fields").alias("fields"), F.size("rules").alias("rules"), F.size("risks").alias("risks"), F.size("chains").alias("chains"), "summary")
+
+
+def l6_risk_impact(s: SparkSession, d: str) -> DataFrame:
+    """What a risk title touches in every project."""
+    return _impact(s, d).rows("Write statement without WHERE clause", "risk")
 
 
 def l8_flow_traces(s: SparkSession, d: str) -> DataFrame:
-    symbols = checkpointed(_symbols(s, d))
-    handlers = R.event_handlers(X.form_events(_files(s, d)), symbols)
-    edges = R.unique_call_edges(X.call_sites(_files(s, d)), symbols)
-    evidence = R.with_owner(R.sql_evidence(X.sql_statements(_files(s, d))), symbols)
-    return G.flow_traces(handlers, edges, G.statement_fields(evidence, X.field_references(_files(s, d))), c27_data_bindings(s, d))
+    return TR.trace_steps(_analysis(s, d).traces)
+
+
+def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The files of every project stored in the first and in the second half of its time, as two imports; undated ones are in both."""
+    f = spread(scan(s, d, "files", "projectId", "id", "filePath", "content", "createdAt"), "id")
+    us = F.unix_micros(F.col("createdAt").cast("timestamp"))
+    middle = f.groupBy("projectId").agg(((F.min(us) + F.max(us)) / 2).alias("middle"))
+    f = f.join(maybe_broadcast(middle), "projectId").withColumn("_us", us)
+    columns = ["projectId", "id", "filePath", "content"]
+    early, late = F.coalesce(F.col("_us") <= F.col("middle"), F.lit(True)), F.coalesce(F.col("_us") > F.col("middle"), F.lit(True))
+    return f.where(early).select(*columns), f.where(late).select(*columns)
+
+
+def _two_imports(s: SparkSession, d: str) -> tuple[Analysis, Analysis]:
+    base, compare = _halves(s, d)
+    return Analysis(checkpointed(base)), Analysis(checkpointed(compare))
+
+
+def k3_sections(s: SparkSession, d: str) -> DataFrame:
+    """What changed in all eleven sections between the two halves of every project."""
+    base, compare = _two_imports(s, d)
+    return H.diff_sections(base.sections(), compare.sections()).select("projectId", "section", "key", "change")
+
+
+def k3_document(s: SparkSession, d: str) -> DataFrame:
+    """The same as a document: buckets with totals and items, and deltas of the metrics."""
+    base, compare = _two_imports(s, d)
+    diff = H.diff_sections(base.sections(), compare.sections())
+    return H.diff_document(diff, H.metric_deltas(base.metrics, compare.metrics)).select("projectId", "metricsDelta.*", F.to_json("buckets").alias("buckets"), "truncated")
+
+
+def k3_files(s: SparkSession, d: str) -> DataFrame:
+    """The file section alone, from the manifests."""
+    base, compare = (H.section_rows("files", L.source_manifest(f)) for f in _halves(s, d))
+    return H.diff_sections(base, compare).select("projectId", "key", "change")
+
+
+def k3_symbol_buckets(s: SparkSession, d: str) -> DataFrame:
+    """The symbol section of the last two runs in ``symbol_snapshots``, as buckets with their first items."""
+    diff = k1_last_diff(s, d).where(F.col("change") != "changed")
+    rows = diff.select("projectId", F.lit("symbols").alias("section"), F.col("stableKey").alias("key"), "change", F.col("stableKey").alias("before"), F.col("stableKey").alias("after"))
+    return H.buckets(rows).select("projectId", "bucket", "total", "displayed", "truncated", F.element_at("items", 1).alias("first"), F.element_at("items", -1).alias("last"))
+
+
+def l8_reachable(s: SparkSession, d: str) -> DataFrame:
+    """Symbols that traces from the handlers of forms can reach, and how many steps in at least."""
+    a = _analysis(s, d)
+    roots = a.handlers.where(F.col("methodKey").isNotNull()).select("projectId", F.col("methodKey").alias("root")).distinct()
+    return TR.reachable(roots, checkpointed(TR.adjacency(a.edges, a.evidence, a.symbols)))
 
 
 def r1_build_findings(s: SparkSession, d: str) -> DataFrame:
@@ -180,19 +245,17 @@ def r1_build_findings(s: SparkSession, d: str) -> DataFrame:
 
 
 def f14_rules(s: SparkSession, d: str) -> DataFrame:
-    f = _files(s, d)
-    return D.rules(X.field_references(f), K.magic_values(f), K.conversion_risks(f))
+    return _analysis(s, d).rules
 
 
 def f16_metrics(s: SparkSession, d: str) -> DataFrame:
-    f = _files(s, d)
-    return D.metrics(f, X.symbols(f), X.field_references(f), scan(s, d, "risks", "projectId"), D.file_warnings(f))
+    return _analysis(s, d).metrics
 
 
 def f18_confidence(s: SparkSession, d: str) -> DataFrame:
-    f = _files(s, d)
+    a = _analysis(s, d)
     warnings = L.import_warnings(scan(s, d, "projects", "id", "importWarningsJson"))
-    return D.confidence(f, D.file_warnings(f), warnings, R.event_handlers(X.form_events(f), X.symbols(f)), c27_data_bindings(s, d), scan(s, d, "risks", "projectId", "title"))
+    return D.confidence(a.files, D.file_warnings(a.files), warnings, a.handlers, a.bindings, a.risks)
 
 
 def _snapshots(s: SparkSession, d: str) -> DataFrame:
@@ -206,15 +269,13 @@ def e9_symbol_page(s: SparkSession, d: str) -> DataFrame:
 
 
 def e10_dependencies(s: SparkSession, d: str) -> DataFrame:
-    symbols = checkpointed(_symbols(s, d))
-    f = _files(s, d)
-    edges = R.unique_call_edges(X.call_sites(f), symbols).unionByName(R.import_edges(X.imports(f), symbols))
-    return V.dependency_list(edges, symbols)
+    a = _analysis(s, d)
+    return V.dependency_list(a.edges, a.symbols)
 
 
 def f22_file_counters(s: SparkSession, d: str) -> DataFrame:
-    symbols = checkpointed(_symbols(s, d))
-    return V.file_counters(scan(s, d, "files", "projectId", "filePath", "lineCount"), symbols, R.unique_call_edges(X.call_sites(_files(s, d)), symbols), scan(s, d, "risks", "projectId", "sourceFile"))
+    a = _analysis(s, d)
+    return V.file_counters(scan(s, d, "files", "projectId", "filePath", "lineCount"), a.symbols, a.edges, a.risks, a.warnings)
 
 
 def m7_rate_limit(s: SparkSession, d: str) -> DataFrame:
@@ -268,9 +329,11 @@ def queries() -> dict[str, Query]:
         "e9_symbol_page": e9_symbol_page,
         "e9_latest_symbols": lambda s, d: V.latest_symbols(_snapshots(s, d)),
         "e10_dependencies": e10_dependencies,
+        "f10_rule_occurrences": lambda s, d: V.rule_occurrences(f14_rules(s, d)),
         "f11_rule_groups": lambda s, d: V.rule_groups(f14_rules(s, d)),
         "f22_file_counters": f22_file_counters,
-        "f24_trace_summary": lambda s, d: V.trace_summary(l8_flow_traces(s, d)),
+        "f24_trace_summary": lambda s, d: TR.trace_summary(_analysis(s, d).traces),
+        "d10_trace_filter": lambda s, d: TR.filtered_traces(_analysis(s, d).traces, status="partial", confidence="medium").select("projectId", "stableKey", "status", "confidence"),
         "f25_top_tables": lambda s, d: V.top_tables(R.sql_evidence(X.sql_statements(_files(s, d)))),
         "f26_metric_deltas": lambda s, d: V.run_metric_deltas(scan(s, d, "symbol_snapshots", "projectId", "runNumber", "stableKey", "type")),
         "f29_field_dimension": lambda s, d: V.field_dimension(X.field_references(_files(s, d)), X.table_columns(_files(s, d))),
@@ -293,7 +356,19 @@ def queries() -> dict[str, Query]:
         "j9_fingerprints": lambda s, d: L.source_fingerprints(_files(s, d)),
         "l3_impact": l3_impact,
         "l8_flow_traces": l8_flow_traces,
-        "l8_reachable": lambda s, d: G.reachable(c22_pascal_calls(s, d)),
+        "l8_reachable": l8_reachable,
+        "l7_impact_results": l7_impact_results,
+        "l6_risk_impact": l6_risk_impact,
+        "k3_sections": k3_sections,
+        "k3_document": k3_document,
+        "k3_files": k3_files,
+        "k3_symbol_buckets": k3_symbol_buckets,
+        "c9_exec_edges": lambda s, d: R.exec_edges(X.exec_sites(_files(s, d)), checkpointed(_symbols(s, d))),
+        "c26_handler_edges": lambda s, d: R.handler_edges(X.form_events(_files(s, d))),
+        "e7_stored_edges": lambda s, d: R.stored_edges((a := _analysis(s, d)).edges, a.symbols),
+        "i2_project_risks": lambda s, d: _analysis(s, d).risks.drop("snippet"),
+        "i3_project_warnings": lambda s, d: _analysis(s, d).warnings,
+        "f17_run_status": lambda s, d: _analysis(s, d).status,
         "r1_build_records": lambda s, d: B.build_records(_files(s, d)),
         "r1_build_findings": r1_build_findings,
         "e20_packages": lambda s, d: B.package_resolutions(B.build_records(_files(s, d))),

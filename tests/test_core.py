@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths as P
 from codestrata.functions import text as T
-from codestrata.operators import build, derive, extract, graph, lists, resolve, risks
+from codestrata.operators import build, derive, extract, lists, resolve, risks
 from codestrata.operators.merkle import snapshot_diff
 from codestrata.sources import archives, sinks
 from codestrata.streaming import jobs
@@ -162,48 +162,6 @@ def test_warning_lists(spark):
     assert [(r.projectId, r.code, r["count"], r.sampleMessages, r.sampleFiles) for r in got] == [(1, "A", 2, "m", "f")]
 
 
-# graph ------------------------------------------------------------------------------------------
-def edges(spark, *pairs):
-    return spark.createDataFrame([(1, a, a, b, b, "calls", n) for n, (a, b) in enumerate(pairs, 1)], "projectId long, fromKey string, fromName string, toKey string, toName string, type string, line int")
-
-
-def test_reachable_and_traces(spark):
-    e = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"))
-    got = {(r.fromKey, r.toKey): r.hops for r in graph.reachable(e).collect()}
-    assert got["a", "d"] == 3 and got["a", "a"] == 3 and ("d", "a") not in got
-    h = spark.createDataFrame([(1, "F.dfm", "F", "btn", "OnClick", "a", "a", 3, "resolved"), (1, "F.dfm", "F", "x", "OnX", "none", None, 4, "unresolved")], "projectId long, file string, formName string, component string, event string, handler string, methodKey string, line int, status string")
-    ev = spark.createDataFrame([(1, "b", "select", "t1,t2", 9)], "projectId long, ownerKey string, operation string, tables string, line int")
-    steps = [(r.type, r.label) for r in graph.flow_traces(h, e, ev).where("trace LIKE '%btn%'").orderBy("step").collect()]
-    assert steps[:3] == [("ui_component", "btn"), ("event", "OnClick"), ("handler", "a")]
-    assert ("sql", "SELECT t1,t2") in steps and ("table", "t2") in steps and any("CALL_CYCLE" in x for _, x in steps)
-
-
-def test_traces_of_bindings_and_fields(spark):
-    h = spark.createDataFrame([(1, "F.dfm", "F", "btn", "OnClick", "a", "a", 3, "resolved")], "projectId long, file string, formName string, component string, event string, handler string, methodKey string, line int, status string")
-    ev = spark.createDataFrame([(1, "u.pas", "a", "select", "t", 9), (1, "u.pas", "b", "update", "t", 20)], "projectId long, file string, ownerKey string, operation string, tables string, line int")
-    refs = spark.createDataFrame([(1, "u.pas", 9, "t", "y"), (1, "u.pas", 9, "t", "x"), (1, "v.pas", 9, "t", "z"), (2, "u.pas", 9, "t", "z")], "projectId long, file string, line int, tableName string, field string")
-    b = spark.createDataFrame([(1, "F.dfm", 5, "F", "ed", "TDBEdit", "src", "qry", "t", "x"), (1, "F.dfm", 6, "F", "lbl", "TDBText", None, None, None, "n"), (2, "G.dfm", 7, "G", "g", "TDBGrid", "src", None, None, None)], "projectId long, file string, line int, formName string, component string, componentClass string, dataSource string, dataSet string, resolvedTable string, dataField string")
-    rows = graph.flow_traces(h, edges(spark, ("a", "b")), graph.statement_fields(ev, refs), b).orderBy("projectId", "trace", "step").collect()
-    steps = {}
-    for r in rows:
-        steps.setdefault(r.trace, []).append((r.type, r.label))
-        assert r.step == len(steps[r.trace]) - 1
-    assert steps == {
-        "F:btn:OnClick:a": [("ui_component", "btn"), ("event", "OnClick"), ("handler", "a"), ("sql", "SELECT t"), ("table", "t"), ("field", "t.x"), ("field", "t.y"), ("call", "b"), ("sql", "UPDATE t"), ("table", "t")],
-        "F:ed:binding:x:qry": [("ui_component", "TDBEdit.ed"), ("data_binding", "DataSource src -> DataSet qry"), ("table", "t"), ("field", "t.x")],
-        "F:lbl:binding:n:unknown": [("ui_component", "TDBText.lbl"), ("data_binding", "DataSource unresolved -> DataSet unresolved"), ("field", "n")],
-        "G:g:binding:unknown:unknown": [("ui_component", "TDBGrid.g"), ("data_binding", "DataSource src -> DataSet unresolved")],
-    }
-
-
-def test_impact_is_one_hop(spark):
-    s = spark.createDataFrame([(1, "A", "U.A", "u.pas", "a"), (1, "B", None, "v.pas", "b"), (1, "C", None, "w.pas", "c")], "projectId long, name string, qualifiedName string, file string, stableKey string")
-    refs = spark.createDataFrame([(1, "a", "T", "F")], "projectId long, ownerKey string, tableName string, field string")
-    rk = spark.createDataFrame([(1, "u.pas", "risk")], "projectId long, sourceFile string, title string")
-    got = {(r.kind, r.item) for r in graph.impact(s, edges(spark, ("a", "b"), ("b", "c")), refs, rk, "u.a").collect()}
-    assert got == {("symbol", "U.A"), ("symbol", "B"), ("file", "u.pas"), ("file", "v.pas"), ("table", "T"), ("field", "T.F"), ("risk", "risk"), ("chain", "a -> b")}
-
-
 # build metadata ---------------------------------------------------------------------------------
 def test_build_findings(spark):
     f = files(spark, ("p/App.dpr", "program App;\nuses\n  Forms, Gone in '..\\x\\Gone.pas', Other;\n{$R logo.res}\nbegin end."), ("p/App.dproj", '<Project><PropertyGroup Condition="x"><DCC_UsePackage>rtl;acme</DCC_UsePackage><DCC_UnitSearchPath>C:\\lib</DCC_UnitSearchPath></PropertyGroup></Project>'))
@@ -300,8 +258,6 @@ def test_views(spark):
     refs = spark.createDataFrame([(1, "t", "A", "r.sql", 9)], "projectId long, tableName string, field string, file string, line int")
     cols = spark.createDataFrame([(1, "dbo.T", "a", "d.sql", 1, "INT"), (1, "T", "a", "e.sql", 1, "BIGINT")], "projectId long, tableName string, field string, file string, line int, fieldType string")
     assert [(r.fieldKey, r.tableName, r.field, r.fieldType) for r in views.field_dimension(refs, cols).collect()] == [("a", "dbo.T", "a", "BIGINT")]
-    rules = spark.createDataFrame([(1, "validation", "validate_t_a_b_single_owner", 2, "f"), (1, "validation", "validate_t_a_c_single_owner", 3, "g"), (1, "format", "x", 1, "f")], "projectId long, ruleType string, name string, occurrences long, file string")
-    assert {(r.family, r.rules, r.occurrences) for r in views.rule_groups(rules).collect()} == {("t_a.*", 2, 5), ("format", 1, 1)}
     e = edges(spark, ("k1", "k2")).unionByName(spark.createDataFrame([(1, "k1", "k1", None, "SysUtils", "references", 1)], "projectId long, fromKey string, fromName string, toKey string, toName string, type string, line int")).withColumn("file", F.lit("f"))
     sym = spark.createDataFrame([(1, "k1", "A", None, "method")], "projectId long, stableKey string, name string, qualifiedName string, type string")
     assert [(r.sourceName, r.targetName, r.targetKind) for r in views.dependency_list(e, sym).collect()] == [("A", "k2", "internal")]
