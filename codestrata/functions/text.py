@@ -61,15 +61,6 @@ def like_pattern(term: str) -> str:
     return f"%{escaped}%"
 
 
-def slug(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_]+", "_")
-
-
-def export_name(c: Column) -> Column:
-    """A file name without reserved characters, at most 80 long."""
-    return F.substring(F.regexp_replace(F.regexp_replace(trimmed(c), r'[<>:"/\\|?*\x00-\x1f]+', "_"), f"{SPACE}+", "_"), 1, 80)
-
-
 def line_count(c: Column) -> Column:
     return F.size(F.split(c, r"\r?\n"))
 

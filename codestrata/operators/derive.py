@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths as P
 from codestrata.functions import text as T
-from codestrata.sources.sinks import document, markdown_cell, yaml_scalar
 
 # Warning codes and their levels.
 LEVELS = {
@@ -136,18 +135,6 @@ def import_summary_warnings(files: DataFrame, imported: DataFrame) -> DataFrame:
     return merged_warnings(note, own)
 
 
-def metrics(files: DataFrame, symbols: DataFrame, references: DataFrame, risks: DataFrame, warnings: DataFrame) -> DataFrame:
-    """Counts per project, every table aggregated before the join; missing ones are 0."""
-    lang = P.language(F.col("filePath"))
-    f = files.groupBy("projectId").agg(F.count("*").alias("fileCount"), F.count_if(lang.isNotNull()).alias("eligibleFileCount"), F.count_if(lang.isNotNull() & F.col("content").isNotNull()).alias("analyzedFileCount"))
-    s = symbols.groupBy("projectId").agg(F.count("*").alias("symbolCount"))
-    r = references.withColumn("k", T.field_identity(F.col("tableName"), F.col("field"))).groupBy("projectId").agg(F.count_distinct("k.schema", "k.table", "k.field").alias("fieldCount"), F.count("*").alias("referenceCount"))
-    k = risks.groupBy("projectId").agg(F.count("*").alias("riskCount"))
-    w = warnings.groupBy("projectId").agg(F.count("*").alias("warningCount"), F.count_distinct(F.when(F.col("level") != "note", F.col("fileId"))).alias("degradedFileCount"))
-    out = reduce(lambda a, b: a.join(b, "projectId", "left"), [f, s, r, k, w])
-    return out.na.fill(0)
-
-
 def confidence(files: DataFrame, file_warnings_: DataFrame, import_warnings: DataFrame, handlers: DataFrame, bindings: DataFrame, risks: DataFrame) -> DataFrame:
     """Score from 0 to 100 and level per project: 100 less capped penalties for what analysis could not be sure of."""
     e = P.extension(F.col("filePath"))
@@ -181,18 +168,3 @@ def confidence(files: DataFrame, file_warnings_: DataFrame, import_warnings: Dat
 def run_status(failed: Column, analyzed: Column, degraded: Column, warnings: Column) -> Column:
     """failed, partial, completed_with_warnings or completed, in this order."""
     return F.when(failed | (analyzed == 0), "failed").when(degraded > 0, "partial").when(warnings > 0, "completed_with_warnings").otherwise("completed")
-
-
-def data_dependency_document(references: DataFrame) -> DataFrame:
-    """One Markdown document per project: tables, fields and where they are read and written."""
-    place = F.concat_ws(":", "file", F.col("line").cast("string"))
-    at = lambda a: F.array_join(F.array_sort(F.collect_set(F.when(F.col("access") == a, place))), ", ")
-    g = references.groupBy("projectId", "tableName", "field").agg(at("read").alias("r"), at("write").alias("w"))
-    line = F.concat(F.lit("- "), markdown_cell(F.col("field")), F.lit(": reads "), F.when(F.col("r") == "", "none").otherwise(F.col("r")), F.lit("; writes "), F.when(F.col("w") == "", "none").otherwise(F.col("w")))
-    return document(g.select("projectId", F.col("tableName").alias("section"), F.xxhash64("field").alias("ord"), line.alias("text")), "DATA_DEPENDENCY")
-
-
-def rules_yaml(rules_: DataFrame) -> DataFrame:
-    """One YAML list of rules per project."""
-    entry = F.concat(F.lit("- type: "), yaml_scalar(F.col("ruleType")), F.lit("\n  name: "), yaml_scalar(F.col("name")), F.lit("\n  source: "), yaml_scalar(F.concat_ws(":", "file", F.col("line").cast("string"))))
-    return rules_.groupBy("projectId").agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("document"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -142,10 +144,30 @@ def source_manifest(files: DataFrame) -> DataFrame:
 
 
 def source_fingerprints(files: DataFrame) -> DataFrame:
-    """One hash per project over its manifest in order of path, independent of the order of rows."""
-    m = source_manifest(files)
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda e: F.concat_ws(":", e["path"], e["hash"]))
-    return m.groupBy("projectId").agg(F.count("*").alias("files"), F.sha2(F.array_join(entries, "\n"), 256).alias("fingerprint"))
+    """One hash per project over its manifest in order of path, independent of the order of rows.
+
+    Paths and content hashes are sorted by the executors and hashed as a stream, so that no project is ever
+    held as a whole.
+    """
+    m = source_manifest(files).repartition("projectId").sortWithinPartitions("projectId", "path")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        project, count, digest = None, 0, None
+        for b in batches:
+            out = []
+            for p, path, value in zip(b["projectId"], b["path"], b["hash"]):
+                if digest is None or p != project:
+                    if digest is not None:
+                        out.append((project, count, digest.hexdigest()))
+                    project, count, digest = p, 0, hashlib.sha256()
+                digest.update(f"{chr(10) if count else ''}{path}:{value}".encode())
+                count += 1
+            if out:
+                yield pd.DataFrame(out, columns=["projectId", "files", "fingerprint"])
+        if digest is not None:
+            yield pd.DataFrame([(project, count, digest.hexdigest())], columns=["projectId", "files", "fingerprint"])
+
+    return m.where(F.col("projectId").isNotNull()).mapInPandas(run, "projectId long, files long, fingerprint string")
 
 
 def keyed_diff(base: DataFrame, compare: DataFrame, keys: Sequence[str], payload: Sequence[str], order: str) -> DataFrame:

@@ -153,7 +153,7 @@ m AS (SELECT projectId, fileId, file, line, unnest(regexp_extract_all(raw, '["''
 r AS (SELECT *, CASE WHEN regexp_matches(value, '^\d{{8}}$|^\d{{4}}-\d{{2}}-\d{{2}}$') THEN 'Date literal embedded in code' WHEN kind = 'number' THEN 'Large numeric literal embedded in code' WHEN length(value) >= 10 THEN 'String literal with business meaning' END AS title FROM m)
 SELECT projectId, fileId, file, line, value, kind, title, CASE WHEN title LIKE 'String%' THEN 'low' ELSE 'medium' END AS severity FROM r WHERE title IS NOT NULL""",
         "c32_pascal_risks": rf"""
-WITH {_LINES}, pas AS (SELECT * FROM lines WHERE regexp_matches(lower(file), '\.(pas|dpr|inc|dpk|delphi)$')),
+WITH {_LINES}, pas AS (SELECT * FROM lines WHERE regexp_matches(lower(file), '\.(pas|dpr|dfm|inc|dpk|fmx|dproj|groupproj|bdsproj|cfg|dof|rc|delphi)$')),
 dec AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)^(;|end;?)$') THEN 'empty' WHEN regexp_matches(text, '(?i)\b(on|raise|begin|try)\b|^[^;]*:=') THEN 'handled' END AS dd FROM pas),
 nx AS (SELECT *, first_value(dd IGNORE NULLS) OVER (PARTITION BY fileId ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS nxt FROM dec),
 src AS (SELECT * FROM nx WHERE text <> '' AND NOT regexp_matches(text, '^(//|#|\{{|\(\*)')),
@@ -226,6 +226,18 @@ x AS (SELECT e.event_id, e.ts, e.user_id, e.event_type, max(w.s) AS s FROM event
 SELECT event_id, ts, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type, s ORDER BY ts, event_id) <= 3 AS allowed, epoch_us(s) AS windowStart FROM x""",
         "k1_last_diff": f"WITH {_TWO} SELECT * FROM k1",
         "k3_diff_buckets": f"WITH {_TWO} SELECT projectId, change, count(*) AS total, least(count(*), 200) AS displayed, count(*) > 200 AS truncated FROM k1 GROUP BY 1, 2",
+        "d1_owned_files": "SELECT f.id, f.projectId, f.filePath, f.status FROM files f JOIN projects p ON p.id = f.projectId WHERE p.userId = 2",
+        "d9_critical_risks": f"""
+WITH {_OCC} SELECT projectId, key, occurrenceCount, severity, r.id AS firstId FROM occ WHERE severity = 'critical'
+  AND (contains({_norm('r.title')}, 'sql') OR contains({_norm('r.description')}, 'sql') OR contains({_norm('r.recommendation')}, 'sql') OR contains({_norm('r.sourceFile')}, 'sql') OR contains({_norm('r.riskType')}, 'sql'))""",
+        "h4_risk_page": f"""
+WITH {_OCC} SELECT projectId, severity, r.title, r.sourceFile, r.lineNumber, occurrenceCount FROM occ WHERE projectId = 1
+ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, coalesce(r.title, '') COLLATE C, coalesce(r.sourceFile, '') COLLATE C, coalesce(r.lineNumber, 0), key COLLATE C LIMIT 20 OFFSET 40""",
+        "h2_page_info": "SELECT count(*) AS total, ceil(count(*) / 100)::INT AS page, 100 AS pageSize, ceil(count(*) / 100)::INT AS pageCount FROM files",
+        "e21_latest_jobs": "SELECT projectId, max(jobId) AS jobId, max_by(status, jobId) AS jobStatus FROM analysis_runs WHERE jobId IS NOT NULL GROUP BY 1",
+        "a20_source_urls": r"""
+SELECT id, sourceUrl, coalesce(starts_with(trim(sourceUrl), 'https://') AND NOT contains(trim(sourceUrl), '@') AND NOT contains(trim(sourceUrl), ' ')
+  AND NOT regexp_matches(lower(split_part(split_part(substr(trim(sourceUrl), 9), '/', 1), ':', 1)), '^($|localhost$|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)'), FALSE) AS safe FROM projects""",
         "k3_files": r"""
 WITH f AS (SELECT *, replace(filePath, '\', '/') AS path FROM files), m AS (SELECT projectId, (epoch_us(min(createdAt)) + epoch_us(max(createdAt))) / 2 AS middle FROM files GROUP BY 1),
 h AS (SELECT f.projectId, path, id, content, coalesce(epoch_us(createdAt) <= middle, TRUE) AS early, coalesce(epoch_us(createdAt) > middle, TRUE) AS late FROM f JOIN m USING (projectId) WHERE content IS NOT NULL),

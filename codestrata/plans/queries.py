@@ -18,12 +18,14 @@ from codestrata.operators import graph as G
 from codestrata.operators import history as H
 from codestrata.operators import lists as L
 from codestrata.operators import resolve as R
+from codestrata.operators import pages as PG
+from codestrata.operators import reports as RP
 from codestrata.operators import risks as K
 from codestrata.operators import traces as TR
 from codestrata.operators import views as V
 from codestrata.operators.analysis import Analysis
 from codestrata.operators.merkle import snapshot_diff
-from codestrata.sources import sinks as S
+from codestrata.sources import archives as AR
 from codestrata.session import checkpointed, maybe_broadcast, scan, spread, table
 from codestrata.streaming.limits import anchored_limit
 
@@ -240,6 +242,79 @@ def l8_reachable(s: SparkSession, d: str) -> DataFrame:
     return TR.reachable(roots, checkpointed(TR.adjacency(a.edges, a.evidence, a.symbols)))
 
 
+# lists of a user ---------------------------------------------------------------------------------
+#: The user whose lists the queries show.
+USER = 2
+
+
+def _projects(s: SparkSession, d: str) -> DataFrame:
+    return scan(s, d, "projects", "id", "userId", "status")
+
+
+def d1_owned_files(s: SparkSession, d: str) -> DataFrame:
+    """All files of the projects a user owns."""
+    return PG.scoped(scan(s, d, "files", "id", "projectId", "filePath", "status"), _projects(s, d), PG.Request(user=USER))
+
+
+def d9_critical_risks(s: SparkSession, d: str) -> DataFrame:
+    """Critical risks, each once, whose text holds 'sql' when normalised."""
+    r = PG.Request(search="  SQL ")
+    return PG.risk_list(_risks(s, d), _projects(s, d), r, critical_only=True).select("projectId", "key", "occurrenceCount", "severity", "firstId")
+
+
+def h4_risk_page(s: SparkSession, d: str) -> DataFrame:
+    """Page 3 of 20 risks of one project (a paged list)."""
+    r = PG.Request(project=1, page=3, size=20)
+    return PG.paged(PG.risk_list(_risks(s, d), _projects(s, d), r), PG.ORDERS["risks"](), r).select("projectId", "severity", "title", "sourceFile", "lineNumber", "occurrenceCount")
+
+
+def h2_page_info(s: SparkSession, d: str) -> DataFrame:
+    """What a page far beyond the end of the file list is clamped to."""
+    return PG.page_info(scan(s, d, "files", "id"), PG.Request(page=1_000_000, size=500))
+
+
+def e14_field_list(s: SparkSession, d: str) -> DataFrame:
+    """Fields whose table or name holds 'price', with their use; unused ones show zeros."""
+    a = _analysis(s, d)
+    return PG.field_list(V.field_dimension(a.references, a.columns), a.references, _projects(s, d), PG.Request(search="price")).drop("schema", "table", "fieldKey")
+
+
+def e11_field_dependencies(s: SparkSession, d: str) -> DataFrame:
+    """Writes whose table, field, symbol or context holds 'status'."""
+    a = _analysis(s, d)
+    return PG.field_dependency_list(a.references, _projects(s, d), PG.Request(search="status"), operation="write")
+
+
+def e10_dependency_page(s: SparkSession, d: str) -> DataFrame:
+    """Page 2 of 25 unresolved or external edges without the standard library (a paged list)."""
+    a = _analysis(s, d)
+    r = PG.Request(page=2)
+    e = PG.dependency_list(R.stored_edges(a.edges, a.symbols), a.symbols, _projects(s, d), r, target="external")
+    return PG.paged(e, PG.ORDERS["dependencies"](), r)
+
+
+def f10_rule_page(s: SparkSession, d: str) -> DataFrame:
+    """Page 1 of 50 rules on constants (a paged list)."""
+    r = PG.Request(size=50)
+    return PG.paged(PG.rule_list(f14_rules(s, d), _projects(s, d), r, "magic_value"), PG.ORDERS["rules"](), r)
+
+
+def e21_latest_jobs(s: SparkSession, d: str) -> DataFrame:
+    """The latest job of every project that ran one."""
+    jobs = scan(s, d, "analysis_runs", "projectId", "jobId", "status").where(F.col("jobId").isNotNull()).select("projectId", F.col("jobId").alias("id"), "status")
+    return PG.latest_jobs(jobs)
+
+
+def a20_source_urls(s: SparkSession, d: str) -> DataFrame:
+    return scan(s, d, "projects", "id", "sourceUrl").withColumn("safe", AR.is_safe_source_url(F.col("sourceUrl")))
+
+
+def f12_affected_by_groups(s: SparkSession, d: str) -> DataFrame:
+    """Files that risk and rule groups name most (a top-k report)."""
+    a = _analysis(s, d)
+    return RP.affected_files(K.risk_groups(_risks(s, d)), V.rule_groups(a.rules))
+
+
 def r1_build_findings(s: SparkSession, d: str) -> DataFrame:
     return B.build_findings(checkpointed(B.build_records(_files(s, d))))
 
@@ -341,9 +416,6 @@ def queries() -> dict[str, Query]:
         "f14_rules": f14_rules,
         "f16_metrics": f16_metrics,
         "f18_confidence": f18_confidence,
-        "b10_data_document": lambda s, d: D.data_dependency_document(X.field_references(_files(s, d))),
-        "b10_rules_yaml": lambda s, d: D.rules_yaml(f14_rules(s, d)),
-        "b10_risks_document": lambda s, d: S.risks_document(_risks(s, d)),
         "f15_risk_scores": lambda s, d: K.risk_scores(_risks(s, d)),
         "f21_file_stats": lambda s, d: L.file_stats(scan(s, d, "files", "projectId", "filePath", "lineCount")),
         "f28_language_stats": lambda s, d: L.file_stats(scan(s, d, "files", "projectId", "filePath", "lineCount"), "language"),
@@ -363,6 +435,25 @@ def queries() -> dict[str, Query]:
         "k3_document": k3_document,
         "k3_files": k3_files,
         "k3_symbol_buckets": k3_symbol_buckets,
+        "d1_owned_files": d1_owned_files,
+        "d9_critical_risks": d9_critical_risks,
+        "d15_field_accesses": lambda s, d: PG.field_accesses(_analysis(s, d).references),
+        "d17_evidence_counts": lambda s, d: RP.evidence_counts((a := _analysis(s, d)).risks, a.warnings),
+        "h4_risk_page": h4_risk_page,
+        "h2_page_info": h2_page_info,
+        "e14_field_list": e14_field_list,
+        "e11_field_dependencies": e11_field_dependencies,
+        "e10_dependency_page": e10_dependency_page,
+        "f10_rule_page": f10_rule_page,
+        "e21_latest_jobs": e21_latest_jobs,
+        "a20_source_urls": a20_source_urls,
+        "f12_affected_by_groups": f12_affected_by_groups,
+        "f6_partial_reasons": lambda s, d: RP.partial_reasons((a := _analysis(s, d)).warnings, a.status),
+        "f23_impact_summary": lambda s, d: RP.impact_summary(_analysis(s, d)),
+        "f30_import_summary": lambda s, d: D.import_summary_warnings(_files(s, d), L.import_warnings(scan(s, d, "projects", "id", "importWarningsJson"))),
+        "b8_documents": lambda s, d: RP.documents(RP.report_lines(_analysis(s, d))).select("projectId", "document", "bytes", "truncated"),
+        "b8_archive_sizes": lambda s, d: RP.archive_sizes(RP.documents(RP.report_lines(_analysis(s, d)))),
+        "b7_snapshot_json": lambda s, d: H.snapshot_json((a := _analysis(s, d)).sections(), a.metrics),
         "c9_exec_edges": lambda s, d: R.exec_edges(X.exec_sites(_files(s, d)), checkpointed(_symbols(s, d))),
         "c26_handler_edges": lambda s, d: R.handler_edges(X.form_events(_files(s, d))),
         "e7_stored_edges": lambda s, d: R.stored_edges((a := _analysis(s, d)).edges, a.symbols),

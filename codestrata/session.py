@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -82,11 +81,14 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (tests on one machine) a temporary folder is chosen and set.
+    Only where that setting is empty on one machine (a ``local`` master, as in tests) a temporary folder is chosen
+    and set; a cluster without the setting is an error, as a machine's own folder would lose rows there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         d = current.get() if current.isDefined() else os.path.join(tempfile.gettempdir(), "codestrata-checkpoints")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(d)
@@ -99,11 +101,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 

@@ -53,22 +53,6 @@ def yaml_scalar(c: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", r"\\\\"), '"', r'\\"'), r"\r?\n", r"\\n"), F.lit('"'))
 
 
-def document(lines: DataFrame, title: str, empty: str = "None found.") -> DataFrame:
-    """One Markdown document per project from ``(projectId, section, ord, text)`` rows."""
-    heads = lines.select("projectId", "section").distinct().select("projectId", "section", F.lit(-1).cast("long").alias("ord"), F.concat(F.lit("\n## "), F.col("section")).alias("text"))
-    rows = heads.unionByName(lines.select("projectId", "section", F.col("ord").cast("long").alias("ord"), F.coalesce("text", F.lit(empty)).alias("text")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "text"))), lambda r: r["text"]), "\n")
-    return rows.groupBy("projectId").agg(F.concat(F.lit(f"# {title}\n"), body).alias("document"))
-
-
-def risks_document(risks: DataFrame) -> DataFrame:
-    from codestrata.functions.text import severity_rank
-
-    text = F.concat(F.lit("- "), markdown_cell(F.col("title")), F.lit(" ("), F.coalesce("sourceFile", F.lit("?")), F.lit(":"), F.coalesce(F.col("lineNumber").cast("string"), F.lit("?")), F.lit(")"))
-    rows = risks.select("projectId", F.concat(4 - severity_rank(F.col("severity")), F.lit(" "), F.coalesce("severity", F.lit("unknown"))).alias("section"), F.col("id").alias("ord"), text.alias("text"))
-    return document(rows, "RISKS")
-
-
 def report_archive(documents: Mapping[str, str], most: int = MAX_REPORT) -> bytes:
     """A ZIP of named documents with fixed times, so that equal documents give equal bytes; too large ones are refused."""
     size = sum(len(v.encode()) for v in documents.values())
