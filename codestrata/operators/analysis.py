@@ -20,6 +20,9 @@ from codestrata.operators import traces as G
 from codestrata.session import checkpointed
 
 
+_GENERATORS = {**X.GENERATORS, "records": X.Generator(B.RECORD, B.EXTENSIONS, B.record_rows)}
+
+
 class Analysis:
     """``files(projectId, id, filePath, content)`` → symbols, edges, fields, risks, rules, events, bindings, findings, traces, metrics.
 
@@ -29,29 +32,37 @@ class Analysis:
     def __init__(self, files: DataFrame):
         self.files = files
 
+    @cached_property
+    def _rows(self) -> DataFrame:
+        """What is read out of the texts, in one pass, written once."""
+        return checkpointed(X.tagged(self.files, _GENERATORS))
+
+    def extracted(self, name: str) -> DataFrame:
+        return X.relation(self._rows, name, _GENERATORS[name])
+
     @cached_property
     def symbols(self) -> DataFrame:
-        return checkpointed(X.symbols(self.files))
+        return self.extracted("symbols")
 
     @cached_property
     def events(self) -> DataFrame:
-        return checkpointed(X.form_events(self.files))
+        return self.extracted("events")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return checkpointed(R.project_edges(X.call_sites(self.files), X.exec_sites(self.files), X.imports(self.files), self.events, self.symbols))
+        return checkpointed(R.project_edges(*[self.extracted(n) for n in ("calls", "execs", "imports", "events")], self.symbols))
 
     @cached_property
     def statements(self) -> DataFrame:
-        return checkpointed(X.sql_statements(self.files))
+        return self.extracted("statements")
 
     @cached_property
     def references(self) -> DataFrame:
-        return checkpointed(R.with_owner(X.field_references(self.files), self.symbols))
+        return checkpointed(R.with_owner(self.extracted("references"), self.symbols))
 
     @cached_property
     def columns(self) -> DataFrame:
-        return X.table_columns(self.files)
+        return self.extracted("columns")
 
     @cached_property
     def evidence(self) -> DataFrame:
@@ -63,7 +74,7 @@ class Analysis:
 
     @cached_property
     def bindings(self) -> DataFrame:
-        return checkpointed(R.data_bindings(X.form_objects(self.files)))
+        return checkpointed(R.data_bindings(self.extracted("objects")))
 
     @cached_property
     def risks(self) -> DataFrame:
@@ -75,11 +86,11 @@ class Analysis:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        return D.project_warnings(D.file_warnings(self.files), X.form_states(self.files), self.handlers, self.bindings)
+        return D.project_warnings(D.file_warnings(self.files), self.extracted("forms"), self.handlers, self.bindings)
 
     @cached_property
     def findings(self) -> DataFrame:
-        return B.build_findings(checkpointed(B.build_records(self.files)))
+        return B.build_findings(self.extracted("records"))
 
     @cached_property
     def traces(self) -> DataFrame:

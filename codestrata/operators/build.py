@@ -17,6 +17,7 @@ from codestrata.operators.extract import _per_file
 from codestrata.operators.scanner import LineNumbers, Token, comma_parts, dotted_name, first_word, is_word, lines_of, plain
 
 RECORD = "projectId long, fileId long, file string, kind string, value string, detail string, line int, condition string"
+EXTENSIONS = ("pas", "dpr", "dpk", "inc", "dproj", "bdsproj", "groupproj", "cfg", "dof", "rc")
 #: XML metadata above so many bytes is not parsed.
 XML_LIMIT = 1_000_000
 
@@ -184,7 +185,7 @@ def _xml_rows(file: str, text: str, ext: str, line_of) -> Iterator[tuple]:
 
 
 def build_records(files: DataFrame) -> DataFrame:
-    return _per_file(files, RECORD, ("pas", "dpr", "dpk", "inc", "dproj", "bdsproj", "groupproj", "cfg", "dof", "rc"), record_rows)
+    return _per_file(files, RECORD, EXTENSIONS, record_rows)
 
 
 def _standard_unit(c: Column) -> Column:

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from codestrata.operators import extract, graph, history, lists, resolve, traces, views
+from codestrata.operators import build, extract, graph, history, lists, resolve, traces, views
 from codestrata.operators.analysis import Analysis
 
 FILES = "projectId long, id long, filePath string, content string"
@@ -61,6 +61,18 @@ def analysis(spark):
     return Analysis(files(spark, ("src\\MainForm.pas", UNIT), ("src/MainForm.dfm", FORM), ("db/a.sql", SQL), ("a.GO", "package a\nfunc Run() {\n\tstep()\n}\nfunc step() {\n}\n"), ("x.pas", None)))
 
 
+def test_one_pass_gives_the_same_rows(spark, analysis):
+    direct = {
+        "symbols": extract.symbols, "calls": extract.call_sites, "execs": extract.exec_sites, "imports": extract.imports, "statements": extract.sql_statements, "references": extract.field_references,
+        "columns": extract.table_columns, "objects": extract.form_objects, "events": extract.form_events, "forms": extract.form_states, "records": build.build_records,
+    }
+    more = analysis.files.unionByName(files(spark, ("t.sql", "CREATE TABLE t (a INT DEFAULT 'ü\"x', b DECIMAL(1, 2) NOT NULL COMMENT 'é');"), ("p.dpr", "program p;\nuses a in 'b.pas';\nbegin end."), ("UP.GO", "package a\nimport \"fmt\"\nfunc f() {}\n")))
+    one = Analysis(more)
+    for name, make in direct.items():
+        a, b = one.extracted(name), make(more)
+        assert a.dtypes == b.dtypes and sorted(map(str, a.collect())) == sorted(map(str, b.collect())), name
+
+
 def test_edges_of_all_kinds(analysis):
     got = {(r.fromName, r.toName, r.type) for r in analysis.edges.collect()}
     assert {("TMainForm.SaveClick", "StoreAll", "calls"), ("Run", "step", "calls"), ("MainForm.btnSave.OnClick", "SaveClick", "references"), ("MainForm.btnLost.OnClick", "LostClick", "references")} <= got
