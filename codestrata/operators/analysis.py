@@ -86,15 +86,15 @@ class Analysis:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        return D.project_warnings(D.file_warnings(self.files), self.extracted("forms"), self.handlers, self.bindings)
+        return checkpointed(D.project_warnings(D.file_warnings(self.files), self.extracted("forms"), self.handlers, self.bindings))
 
     @cached_property
     def findings(self) -> DataFrame:
-        return B.build_findings(self.extracted("records"))
+        return checkpointed(B.build_findings(self.extracted("records")))
 
     @cached_property
     def traces(self) -> DataFrame:
-        return G.flow_traces(self.handlers, self.bindings, self.edges, self.evidence, self.symbols)
+        return checkpointed(G.flow_traces(self.handlers, self.bindings, self.edges, self.evidence, self.symbols))
 
     @cached_property
     def metrics(self) -> DataFrame:

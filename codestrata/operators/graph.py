@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codestrata.functions import text as T
+from codestrata.session import checkpointed
 
 # What a target may be, in the order in which a name is tried.
 TARGETS = ("sql_field", "symbol", "file", "sql_table", "risk", "rule")
@@ -155,43 +156,65 @@ class Impact:
         return df.withColumn("_f", _path(file)).join(p, ["projectId", "_f"]).drop("_f")
 
     def rows(self, target: str, kind: str = "auto") -> DataFrame:
-        """``(projectId, targetType, kind, item, detail)``: everything touched, each once; chains with repetition."""
-        resolved = self.resolved(target, kind)
-        parts: list[DataFrame] = []
+        """``(projectId, targetType, kind, item, detail)``: everything touched, each once; chains with repetition.
+
+        Which of the six kinds the target is in any project is asked first, so that the plan holds only those.
+        """
+        resolved = checkpointed(self.resolved(target, kind))
+        kinds = {r["targetType"] for r in resolved.select("targetType").distinct().collect()}  # six at most
+        makers = {"symbol": self._of_symbol, "file": self._of_file, "sql_field": self._of_field, "sql_table": self._of_field, "risk": self._of_risk, "rule": self._of_rule}
+        parts = [x for k in TARGETS if k in kinds for x in makers[k](target, k, resolved)]
+        if not parts:
+            return resolved.select("projectId", "targetType", *[F.lit(None).cast("string").alias(c) for c in ("kind", "item", "detail")]).where(F.lit(False))
+        every = reduce(DataFrame.unionByName, parts).where(F.col("item").isNotNull())
+        once = every.where(F.col("kind") != "chain").distinct().unionByName(every.where(F.col("kind") == "chain"))
+        return once.join(resolved, "projectId").select("projectId", "targetType", "kind", "item", "detail")
 
-        hit = self._of(matching_symbols(self.symbols, target), resolved, "symbol")
+    def _of_symbol(self, target: str, kind: str, resolved: DataFrame) -> list[DataFrame]:
+        hit = self._of(matching_symbols(self.symbols, target), resolved, kind)
         e, ends = self._chains(hit)
         used = self.references.join(hit.select("projectId", F.col("stableKey").alias("ownerKey"), "shown"), ["projectId", "ownerKey"])
-        parts += [*self._symbol_items(hit), *self._symbol_items(ends), self._chain_items(e)]
-        parts += [self._items(used, "table", F.col("tableName")), self._items(used, "field", F.concat_ws(".", "tableName", "field")), self._items(used, "chain", F.concat(F.col("shown"), F.lit(" -> "), F.concat_ws(".", "tableName", "field")))]
-        parts += [self._items(self._by_file(self.rules, F.col("file"), hit), "rule", F.col("name")), self._items(self._by_file(self.risks, F.col("file"), hit), "risk", F.col("title"))]
-
-        at = self._of(matching_files(self.files, target), resolved, "file").withColumnRenamed("filePath", "file")
+        field = F.concat_ws(".", "tableName", "field")
+        return [
+            *self._symbol_items(hit), *self._symbol_items(ends), self._chain_items(e),
+            self._items(used, "table", F.col("tableName")), self._items(used, "field", field), self._items(used, "chain", F.concat(F.col("shown"), F.lit(" -> "), field)),
+            self._items(self._by_file(self.rules, F.col("file"), hit), "rule", F.col("name")), self._items(self._by_file(self.risks, F.col("file"), hit), "risk", F.col("title")),
+        ]
+
+    def _of_file(self, target: str, kind: str, resolved: DataFrame) -> list[DataFrame]:
+        at = self._of(matching_files(self.files, target), resolved, kind).withColumnRenamed("filePath", "file")
         inside = self.symbols.join(at, ["projectId", "file"], "left_semi")
         e, ends = self._chains(inside)
         rules, risks = self._by_file(self.rules, F.col("file"), at), self._by_file(self.risks, F.col("file"), at)
         base = F.substring_index("hit", "/", -1)
-        parts += [self._items(at, "file", F.col("file")), *self._symbol_items(inside), *self._symbol_items(ends), self._chain_items(e), self._items(rules, "rule", F.col("name")), self._items(risks, "risk", F.col("title"))]
-        parts += [self._items(rules, "chain", F.concat(base, F.lit(" -> "), F.col("name"))), self._items(risks, "chain", F.concat(base, F.lit(" -> "), F.col("title")))]
+        return [
+            self._items(at, "file", F.col("file")), *self._symbol_items(inside), *self._symbol_items(ends), self._chain_items(e), self._items(rules, "rule", F.col("name")), self._items(risks, "risk", F.col("title")),
+            self._items(rules, "chain", F.concat(base, F.lit(" -> "), F.col("name"))), self._items(risks, "chain", F.concat(base, F.lit(" -> "), F.col("title"))),
+        ]
 
-        fields = self._of(matching_fields(self.fields, target), resolved, "sql_field").unionByName(self._of(matching_tables(self.fields, target), resolved, "sql_table"))
+    def _of_field(self, target: str, kind: str, resolved: DataFrame) -> list[DataFrame]:
+        fields = self._of((matching_fields if kind == "sql_field" else matching_tables)(self.fields, target), resolved, kind)
         used = self.references.join(fields.select("projectId", "tableName", "field"), ["projectId", "tableName", "field"], "left_semi").where(F.col("ownerKey").isNotNull())
         users = self.symbols.join(used.select("projectId", F.col("ownerKey").alias("stableKey"), "tableName", "field"), ["projectId", "stableKey"])
-        parts += [self._items(fields, "table", F.col("tableName")), self._items(fields, "field", F.concat_ws(".", "tableName", "field")), *self._symbol_items(users), self._items(users, "chain", F.concat(F.col("shown"), F.lit(" -> "), F.concat_ws(".", "tableName", "field")))]
-        parts.append(self._items(self._rules_naming(fields), "rule", F.col("name")))
-
-        hit = self._of(matching_risks(self.risks, target), resolved, "risk")
-        over = near_symbols(hit.select("projectId", "file", F.col("lineNumber").alias("line"), F.monotonically_increasing_id().alias("id")), self.symbols, False)
-        parts += [self._items(hit, "risk", F.col("title")), self._items(hit, "file", F.col("file")), *self._symbol_items(over)]
-
-        hit = self._of(matching_rules(self.rules, target), resolved, "rule")
+        field = F.concat_ws(".", "tableName", "field")
+        return [
+            self._items(fields, "table", F.col("tableName")), self._items(fields, "field", field), *self._symbol_items(users), self._items(users, "chain", F.concat(F.col("shown"), F.lit(" -> "), field)),
+            self._items(self._rules_naming(fields), "rule", F.col("name")),
+        ]
+
+    def _of_risk(self, target: str, kind: str, resolved: DataFrame) -> list[DataFrame]:
+        hit = self._of(matching_risks(self.risks, target), resolved, kind)
+        over = near_symbols(hit.select("projectId", "file", F.col("lineNumber").alias("line"), F.col("title").alias("id")), self.symbols, False)
+        return [self._items(hit, "risk", F.col("title")), self._items(hit, "file", F.col("file")), *self._symbol_items(over)]
+
+    def _of_rule(self, target: str, kind: str, resolved: DataFrame) -> list[DataFrame]:
+        hit = self._of(matching_rules(self.rules, target), resolved, kind)
         near = near_symbols(hit.select("projectId", "file", "line", F.col("name").alias("id")), self.symbols, True)
         e, _ = self._chains(near)
-        parts += [self._items(hit, "rule", F.col("name")), self._items(hit, "file", F.col("file")), *self._symbol_items(near), self._chain_items(e), self._items(self._by_file(self.risks, F.col("file"), hit), "risk", F.col("title"))]
-
-        every = reduce(DataFrame.unionByName, parts).where(F.col("item").isNotNull())
-        once = every.where(F.col("kind") != "chain").distinct().unionByName(every.where(F.col("kind") == "chain"))
-        return once.join(resolved, "projectId").select("projectId", "targetType", "kind", "item", "detail")
+        return [
+            self._items(hit, "rule", F.col("name")), self._items(hit, "file", F.col("file")), *self._symbol_items(near), self._chain_items(e),
+            self._items(self._by_file(self.risks, F.col("file"), hit), "risk", F.col("title")),
+        ]
 
     def _rules_naming(self, fields: DataFrame) -> DataFrame:
         """Rules whose text holds a field's key. The keys of a project are those of one table at most, so they fit in one row."""

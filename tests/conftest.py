@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from codestrata.session import local_session, ship_package
 
-    s = local_session("4", **{"spark.sql.shuffle.partitions": "4"})
+    s = local_session("4", **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2"})
     ship_package(s)
     yield s
     s.stop()

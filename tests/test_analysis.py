@@ -8,6 +8,7 @@ import pytest
 
 from codestrata.operators import build, extract, graph, history, lists, resolve, traces, views
 from codestrata.operators.analysis import Analysis
+from codestrata.session import checkpointed
 
 FILES = "projectId long, id long, filePath string, content string"
 
@@ -264,7 +265,8 @@ def test_impact_result_and_unknown_target(spark):
 def test_sections_between_two_imports(spark):
     base = Analysis(files(spark, ("src/MainForm.pas", UNIT), ("src/MainForm.dfm", FORM), ("old.sql", "SELECT a FROM gone WHERE b = 1;")))
     compare = Analysis(files(spark, ("SRC/MainForm.pas", UNIT.replace("UPDATE stock", "UPDATE depot")), ("src/MainForm.dfm", FORM.replace("LostClick", "FoundClick"))))
-    diff = history.diff_sections(base.sections(), compare.sections())
+    before = checkpointed(base.sections())
+    diff = checkpointed(history.diff_sections(before, compare.sections()))
     got = {(r.section, r.change) for r in diff.collect()}
     assert {("files", "changed"), ("files", "removed"), ("symbols", "added"), ("symbols", "removed"), ("fields", "added"), ("fields", "removed"), ("risks", "changed"), ("delphiEvents", "changed"), ("flowTraces", "added")} <= got
     assert not {("symbols", "changed"), ("dependencies", "changed")} & got
@@ -272,7 +274,7 @@ def test_sections_between_two_imports(spark):
     assert doc.metricsDelta.fileCount == -1 and doc.buckets["files.removed"].total == 1 and not doc.truncated
     assert json.loads(doc.buckets["files.removed"]["items"][0])["path"] == "old.sql"
     assert set(json.loads(doc.buckets["delphiEvents.resolutionChanged"]["items"][0])) == {"key", "before", "after"}
-    same = history.diff_sections(base.sections(), base.sections())
+    same = history.diff_sections(before, before)
     assert same.count() == 0
 
 
@@ -292,7 +294,8 @@ def test_last_of_repeated_keys_holds(spark):
 
 def test_snapshots_as_json(spark, monkeypatch):
     a = Analysis(files(spark, ("src/MainForm.pas", UNIT), ("src/MainForm.dfm", FORM)))
-    text = history.snapshot_json(a.sections(), a.metrics)
+    sections = checkpointed(a.sections())
+    text = checkpointed(history.snapshot_json(sections, a.metrics))
     loaded = json.loads(text.first()["snapshotJson"])
     assert loaded["schemaVersion"] == 1 and loaded["metrics"]["fileCount"] == 2 and len(loaded["files"]) == 2
     again = history.parsed_snapshots(text.unionByName(spark.createDataFrame([(2, None, None), (3, "{", None), (4, '{"schemaVersion":7}', None), (5, '{"schemaVersion":1,"files":[{},{}]}', None)], "projectId long, snapshotJson string, error string")))
@@ -301,7 +304,7 @@ def test_snapshots_as_json(spark, monkeypatch):
     assert got[1].metrics.symbolCount == len(loaded["symbols"]) and got[5].metrics.fileCount == 2 and got[5].symbols == "[]" and got[4].files is None and got[5].projectContext == "unknown"
     assert history.parsed_snapshots(text, strict=True).count() == 1
     monkeypatch.setattr(history, "MAX_SNAPSHOT", 100)
-    r = history.snapshot_json(a.sections(), a.metrics).first()
+    r = history.snapshot_json(sections, a.metrics).first()
     assert r.snapshotJson is None and r.error == "SNAPSHOT_TOO_LARGE"
 
 

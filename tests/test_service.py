@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codestrata.operators import pages, reports
 from codestrata.operators.analysis import Analysis
+from codestrata.session import checkpointed
 from codestrata.sources import archives
 from codestrata.streaming import jobs
 
@@ -205,19 +206,20 @@ def test_bytes_as_text():
 def report(spark):
     rows = [(1, 1, "src/U.pas", "unit U;\ninterface\nimplementation\nprocedure A;\nbegin\n  B(1);\n  Q.SQL.Text := 'DELETE FROM stock';\nend;\nprocedure B(n: Integer);\nbegin\n  x := 20240131;\nend;\nend.\n"), (1, 2, "src/U.dfm", "object U: TU\n  object b: TButton\n    OnClick = A\n  end\nend\n"), (2, 3, "a.go", "package a\n")]
     a = Analysis(spark.createDataFrame(rows, "projectId long, id long, filePath string, content string"))
-    return a, reports.report_lines(a)
+    return a, checkpointed(reports.report_lines(a))
 
 
 def test_documents_of_a_report(report):
     a, lines = report
-    docs = {(r.projectId, r.document): r.text for r in reports.documents(lines).collect()}
+    made_of = checkpointed(reports.documents(lines))
+    docs = {(r.projectId, r.document): r.text for r in made_of.collect()}
     assert {d for p, d in docs if p == 1} >= {"FLOW.md", "RISKS.md", "RULES.yaml", "DELPHI_EVENT_MAP.md", "UI_DATABASE_FLOW.md", "EXECUTIVE_SUMMARY.md", "IMPACT_SUMMARY.md", "FILE_COUNTERS.md", "BUILD_DOCTOR.md", "WARNINGS.md"}
     assert docs[1, "RISKS.md"].startswith("# RISKS\n") and docs[1, "RISKS.md"].index("## 0 critical") < docs[1, "RISKS.md"].index("Date literal")
     assert "- calls B at src/U.pas:6" in docs[1, "FLOW.md"] and docs[1, "RULES.yaml"].startswith('- type: "')
     assert "- symbolCount: 0" in docs[2, "EXECUTIVE_SUMMARY.md"] and "The analysis" not in docs[2, "EXECUTIVE_SUMMARY.md"]
-    sizes = {r.projectId: (r.entries, r.bytes, r.accepted) for r in reports.archive_sizes(reports.documents(lines)).collect()}
+    sizes = {r.projectId: (r.entries, r.bytes, r.accepted) for r in reports.archive_sizes(made_of).collect()}
     assert sizes[1][1] == sum(len(t.encode()) for (p, _), t in docs.items() if p == 1) and sizes[1][2]
-    made = {r.projectId: bytes(r.archive) for r in reports.archives(reports.documents(lines)).collect()}
+    made = {r.projectId: bytes(r.archive) for r in reports.archives(made_of).collect()}
     assert set(zipfile.ZipFile(io.BytesIO(made[1])).namelist()) == {d for p, d in docs if p == 1}
     assert zipfile.ZipFile(io.BytesIO(made[1])).read("FLOW.md").decode() == docs[1, "FLOW.md"]
 
