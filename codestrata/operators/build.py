@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,60 +200,66 @@ def _standard_package(c: Column) -> Column:
     return c.isin(*STANDARD_PACKAGES) | F.regexp_extract(c, r"^([a-z][a-z0-9]*?)\d+$", 1).isin(*STANDARD_PACKAGES)
 
 
-FINDING = ("projectId", "code", "severity", "file", "line", "evidence")
+def _found(condition: Column, code: str, severity: str, evidence: Column) -> Column:
+    return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), evidence.cast("string").alias("evidence")))
+
+
+def _exploded(df: DataFrame, findings: list[Column], file: Column, line: Column) -> DataFrame:
+    """A row for every finding of a row of ``df``."""
+    rows = df.select("projectId", file.alias("file"), line.cast("int").alias("line"), F.explode(F.filter(F.array(*findings), lambda x: x.isNotNull())).alias("f"))
+    return rows.select("projectId", "f.code", "f.severity", "file", "line", "f.evidence")
 
 
 def build_findings(records: DataFrame) -> DataFrame:
-    """All findings per project, each once: ``(projectId, code, severity, file, line, evidence)``."""
-    r = records
-    of = lambda *kinds: r.where(F.col("kind").isin(*kinds))
-    known = of("file").select("projectId", F.col("value").alias("resolved")).distinct()
+    """All findings per project, each once: ``(projectId, code, severity, file, line, evidence)``.
+
+    References of every kind are looked up among the files in one join and judged in one pass; what a project has
+    or lacks as a whole comes from one aggregate.
+    """
+    of = lambda *kinds: records.where(F.col("kind").isin(*kinds))
+    none, value, kind = F.lit(None), F.col("value"), F.col("kind")
+    known = of("file").select("projectId", F.col("value").alias("resolved")).distinct().withColumn("there", F.lit(True))
     target = P.resolved_relative(P.dirname(F.col("file")), F.regexp_replace(F.trim("value"), r"^['\"]|['\"]$", ""))
-    aimed = lambda df: df.withColumn("resolved", F.lower(target))
-    make = lambda df, code, severity, evidence="value": df.select("projectId", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col("file") if "file" in df.columns else F.lit(None).cast("string").alias("file"), F.col("line") if "line" in df.columns else F.lit(None).cast("int").alias("line"), F.col(evidence).alias("evidence") if evidence else F.lit("").alias("evidence"))
-    missing = lambda df: aimed(df).where(F.col("resolved").isNotNull()).join(known, ["projectId", "resolved"], "left_anti")
-
-    local = of("explicit", "search", "include", "output")
-    absolute = local.where(P.is_absolute(F.col("value")) & ~F.col("value").startswith("\\"))
-    escaping = local.where(~F.col("value").rlike(r"\$\([^)]+\)|%[^%]+%") & P.collapsed(F.col("value")).rlike(r"(^|/)\.\.(/|$)"))
-    gone = missing(of("explicit"))
-    units = of("unit").select("projectId", F.lower(F.trim("value")).alias("unit"), "file")
-    ambiguous = units.groupBy("projectId", F.col("unit").alias("value")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    gone_units = gone.select("projectId", F.lower("detail").alias("unit")).distinct()
-    needed = of("uses").select("projectId", F.col("value"), F.lower(F.trim("value")).alias("unit")).groupBy("projectId", "unit").agg(F.min("value").alias("value"))
-    unresolved = needed.where(~_standard_unit(F.col("unit"))).join(units.select("projectId", "unit").distinct(), ["projectId", "unit"], "left_anti").join(gone_units, ["projectId", "unit"], "left_anti")
-    resources = missing(of("resource").where(~F.contains("value", F.lit("*"))))
-    members = aimed(of("member")).where(F.col("resolved").isNotNull())
-    lost = members.join(known, ["projectId", "resolved"], "left_anti")
-    twice = members.join(members.groupBy("projectId", "resolved").agg(F.count("*").alias("n")).where("n > 1"), ["projectId", "resolved"])
-    projects = r.select("projectId").distinct()
-    without = lambda *kinds: projects.join(of(*kinds).select("projectId").distinct(), "projectId", "left_anti")
-    with_ = lambda kind: of(kind).groupBy("projectId").agg(F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("value"))
-
-    p = package_resolutions(records)
-    parts = [
-        make(absolute, "DELPHI_ABSOLUTE_SEARCH_PATH", "warning"),
-        make(escaping, "DELPHI_ESCAPING_SEARCH_PATH", "warning"),
-        make(gone, "DELPHI_EXPLICIT_UNIT_PATH_MISSING", "blocker"),
-        make(ambiguous, "DELPHI_UNIT_AMBIGUOUS", "warning"),
-        make(unresolved, "DELPHI_UNIT_UNRESOLVED", "warning"),
-        make(resources, "DELPHI_RESOURCE_REFERENCE_MISSING", "warning"),
-        make(lost, "DELPHI_GROUP_PROJECT_REFERENCE_MISSING", "warning"),
-        make(twice, "DELPHI_GROUP_PROJECT_REFERENCE_DUPLICATE", "warning"),
-        make(of("limited"), "DELPHI_CONFIG_PARSE_LIMITED", "warning", "detail"),
-        make(without("entry"), "DELPHI_PROJECT_ENTRY_MISSING", "warning", None),
-        make(without("metadata"), "DELPHI_PROJECT_METADATA_MISSING", "warning", None),
-        make(with_("runtime"), "DELPHI_RUNTIME_PACKAGE_DETECTED", "info"),
-        make(with_("define"), "DELPHI_CONDITIONAL_DEFINE_DETECTED", "info"),
-        make(without("compiler"), "DELPHI_COMPILER_VERSION_UNCERTAIN", "warning", None),
-        make(p.where("resolution = 'missing'"), "DELPHI_PACKAGE_MISSING", "blocker", "package"),
-        make(p.where("resolution = 'ambiguous'"), "DELPHI_PACKAGE_AMBIGUOUS", "warning", "package"),
-        make(p.where("resolution = 'external_unverified'"), "DELPHI_PACKAGE_UNRESOLVED", "warning", "package"),
+    refs = of("explicit", "search", "include", "output", "resource", "member", "limited").withColumn("resolved", F.lower(target)).join(known, ["projectId", "resolved"], "left")
+    gone = F.col("resolved").isNotNull() & F.col("there").isNull()
+    local = kind.isin("explicit", "search", "include", "output")
+    up = ~value.rlike(r"\$\([^)]+\)|%[^%]+%") & P.collapsed(value).rlike(r"(^|/)\.\.(/|$)")
+    judged = [
+        _found(local & P.is_absolute(value) & ~value.startswith("\\"), "DELPHI_ABSOLUTE_SEARCH_PATH", "warning", value),
+        _found(local & up, "DELPHI_ESCAPING_SEARCH_PATH", "warning", value),
+        _found((kind == "explicit") & gone, "DELPHI_EXPLICIT_UNIT_PATH_MISSING", "blocker", value),
+        _found((kind == "resource") & gone & ~F.contains(value, F.lit("*")), "DELPHI_RESOURCE_REFERENCE_MISSING", "warning", value),
+        _found((kind == "member") & gone, "DELPHI_GROUP_PROJECT_REFERENCE_MISSING", "warning", value),
+        _found(kind == "limited", "DELPHI_CONFIG_PARSE_LIMITED", "warning", F.col("detail")),
     ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
+    parts = [_exploded(refs, judged, F.col("file"), F.col("line"))]
+
+    members = refs.where((kind == "member") & F.col("resolved").isNotNull())
+    twice = members.join(members.groupBy("projectId", "resolved").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["projectId", "resolved"], "left_semi")
+    parts.append(_exploded(twice, [_found(F.lit(True), "DELPHI_GROUP_PROJECT_REFERENCE_DUPLICATE", "warning", value)], F.col("file"), F.col("line")))
+
+    # units that are declared, used, or whose place in the project is missing, side by side
+    unit = F.lower(F.trim("value"))
+    sides = of("unit", "uses").select("projectId", unit.alias("unit"), "kind", "value").unionByName(refs.where((kind == "explicit") & gone).select("projectId", F.lower("detail").alias("unit"), F.lit("gone").alias("kind"), "value"))
+    n = lambda k: F.count_if(F.col("kind") == k)
+    u = sides.groupBy("projectId", "unit").agg(n("unit").alias("declared"), n("gone").alias("gone"), F.min(F.when(F.col("kind") == "uses", F.col("value"))).alias("used"))
+    lost = F.col("used").isNotNull() & (F.col("declared") == 0) & (F.col("gone") == 0) & ~_standard_unit(F.col("unit"))
+    parts.append(_exploded(u, [_found(F.col("declared") > 1, "DELPHI_UNIT_AMBIGUOUS", "warning", F.col("unit")), _found(lost, "DELPHI_UNIT_UNRESOLVED", "warning", F.col("used"))], none.cast("string"), none))
+
+    has = lambda k: F.max(kind == k)
+    values = lambda k: F.array_join(F.array_sort(F.collect_set(F.when(kind == k, value))), ", ")
+    p = records.groupBy("projectId").agg(has("entry").alias("entry"), has("metadata").alias("metadata"), has("compiler").alias("compiler"), has("runtime").alias("runtime"), has("define").alias("define"), values("runtime").alias("runtimes"), values("define").alias("defines"))
+    whole = [
+        _found(~F.col("entry"), "DELPHI_PROJECT_ENTRY_MISSING", "warning", F.lit("")), _found(~F.col("metadata"), "DELPHI_PROJECT_METADATA_MISSING", "warning", F.lit("")),
+        _found(~F.col("compiler"), "DELPHI_COMPILER_VERSION_UNCERTAIN", "warning", F.lit("")), _found(F.col("runtime"), "DELPHI_RUNTIME_PACKAGE_DETECTED", "info", F.col("runtimes")),
+        _found(F.col("define"), "DELPHI_CONDITIONAL_DEFINE_DETECTED", "info", F.col("defines")),
+    ]
+    parts.append(_exploded(p, whole, none.cast("string"), none))
+
+    is_ = lambda r: F.col("resolution") == r
+    packages = [_found(is_("missing"), "DELPHI_PACKAGE_MISSING", "blocker", F.col("package")), _found(is_("ambiguous"), "DELPHI_PACKAGE_AMBIGUOUS", "warning", F.col("package")), _found(is_("external_unverified"), "DELPHI_PACKAGE_UNRESOLVED", "warning", F.col("package"))]
+    parts.append(_exploded(package_resolutions(records), packages, none.cast("string"), none))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def package_resolutions(records: DataFrame) -> DataFrame:

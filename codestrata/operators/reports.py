@@ -15,7 +15,6 @@ from pyspark.sql import Window as W
 
 from codestrata.functions import text as T
 from codestrata.operators import history as H
-from codestrata.operators import traces as TR
 from codestrata.operators import views as V
 from codestrata.operators.analysis import Analysis
 from codestrata.sources.sinks import MAX_DOCUMENT, MAX_REPORT, markdown_cell, yaml_scalar
@@ -24,11 +23,6 @@ from codestrata.sources.sinks import MAX_DOCUMENT, MAX_REPORT, markdown_cell, ya
 TOP, SHOWN = 10, 12
 FOOTER = "\n\n> Document truncated at the storage limit.\n"
 LINE = ("projectId", "document", "section", "ord", "text")
-# The documents of an archive, by the name of their entry.
-ENTRIES = (
-    "FLOW.md", "DATA_DEPENDENCY.md", "RISKS.md", "RULES.yaml", "DELPHI_EVENT_MAP.md", "DELPHI_DATA_BINDINGS.md", "BUILD_DOCTOR.md", "UI_DATABASE_FLOW.md", "EXECUTIVE_SUMMARY.md", "IMPACT_SUMMARY.md",
-    "FILE_COUNTERS.md", "FIELD_ACCESS.md", "LANGUAGES.md", "WARNINGS.md",
-)
 
 
 def _lines(df: DataFrame, document: str, section: Column | str, ord_: Column, text: Column) -> DataFrame:
@@ -207,9 +201,3 @@ def diff_documents(diff: DataFrame, deltas: DataFrame) -> DataFrame:
     whole = doc.select("projectId", F.lit("ANALYSIS_DIFF.json").alias("document"), F.to_json(F.struct("metricsDelta", "buckets", "truncated")).alias("text"))
     metrics = doc.select("projectId", F.lit("METRICS_DELTA.json").alias("document"), F.to_json("metricsDelta").alias("text"))
     return documents(md).select("projectId", "document", "text", "bytes").unionByName(whole.unionByName(metrics).withColumn("bytes", F.octet_length("text").cast("long")))
-
-
-def snapshot_bundle(a: Analysis, risks_table: DataFrame | None = None) -> DataFrame:
-    """One row a project for the overview: metrics, status, confidence of the dependency summary, first lists."""
-    s = TR.trace_summary(a.traces)
-    return a.metrics.join(a.status, "projectId").join(s, "projectId", "left").na.fill(0)

@@ -8,13 +8,12 @@ handles, so walks are made once a handler, over the part of the call graph that
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from codestrata.operators.lists import all_of
 from codestrata.session import checkpointed
 
 # Limits of the report (calls deep, steps a trace, traces a project) and what it says where they are met.
@@ -275,7 +274,7 @@ def filtered_traces(
         conditions.append(F.exists("affectedFields", lambda f: f["operation"] == operation))
     if search and search.strip():
         conditions.append(F.contains(F.lower(F.to_json(F.struct(*TRACE))), F.lit(search.strip().lower())))
-    return traces.where(reduce(lambda a, b: a & b, conditions)) if conditions else traces
+    return traces.where(all_of(conditions)) if conditions else traces
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:

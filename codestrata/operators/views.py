@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codestrata.functions import text as T
-from codestrata.operators.lists import filtered
+from codestrata.operators.lists import any_of, filtered
 
 
 def latest_symbols(snapshots: DataFrame) -> DataFrame:
@@ -125,7 +123,7 @@ def rule_groups(rules: DataFrame, *, rule_type: str | None = None, search: str =
 def normalized_search(columns: list[str], term: str) -> Column:
     """Whether a column holds the term when both are normalised as for grouping; null matches nothing."""
     t = T.normalized_text(F.lit(term))
-    return reduce(lambda a, b: a | b, [F.contains(T.normalized_text(F.col(c)), t) for c in columns])
+    return any_of([F.contains(T.normalized_text(F.col(c)), t) for c in columns])
 
 
 def entry_points(symbols: DataFrame, fallback: int = 8) -> DataFrame:

@@ -238,6 +238,13 @@ ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' T
         "a20_source_urls": r"""
 SELECT id, sourceUrl, coalesce(starts_with(trim(sourceUrl), 'https://') AND NOT contains(trim(sourceUrl), '@') AND NOT contains(trim(sourceUrl), ' ')
   AND NOT regexp_matches(lower(split_part(split_part(substr(trim(sourceUrl), 9), '/', 1), ':', 1)), '^($|localhost$|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)'), FALSE) AS safe FROM projects""",
+        "m2_claim": "SELECT id, projectId, runNumber % 5 AS attemptCount FROM analysis_runs WHERE status = 'failed' AND runNumber % 5 < 3 ORDER BY createdAt, id LIMIT 1",
+        "m4_recovered": "SELECT id, projectId, CASE WHEN status <> 'failed' THEN 'completed' WHEN runNumber % 5 < 3 THEN 'queued' ELSE 'failed' END AS status, runNumber % 5 AS attemptCount FROM analysis_runs",
+        "m4_orphans": "SELECT id, status FROM projects p WHERE status IN ('importing', 'analyzing') AND NOT EXISTS (SELECT 1 FROM analysis_runs r WHERE r.projectId = p.id AND r.status = 'failed')",
+        "k3_comparable_runs": f"""
+SELECT * FROM (SELECT projectId, lag(id) OVER w AS baseId, id AS compareId, lag(runNumber) OVER w AS baseRun, runNumber AS compareRun FROM analysis_runs WHERE {_USABLE} AND snapshotSchemaVersion = 1
+  WINDOW w AS (PARTITION BY projectId ORDER BY runNumber, id)) WHERE baseId IS NOT NULL""",
+        "k4_legacy_candidates": f"SELECT id, projectId FROM analysis_runs r WHERE {_USABLE} AND snapshotSchemaVersion IS NULL AND (SELECT count(*) FROM analysis_runs x WHERE x.projectId = r.projectId) = 1",
         "k3_files": r"""
 WITH f AS (SELECT *, replace(filePath, '\', '/') AS path FROM files), m AS (SELECT projectId, (epoch_us(min(createdAt)) + epoch_us(max(createdAt))) / 2 AS middle FROM files GROUP BY 1),
 h AS (SELECT f.projectId, path, id, content, coalesce(epoch_us(createdAt) <= middle, TRUE) AS early, coalesce(epoch_us(createdAt) > middle, TRUE) AS late FROM f JOIN m USING (projectId) WHERE content IS NOT NULL),

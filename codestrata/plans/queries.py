@@ -27,6 +27,7 @@ from codestrata.operators.analysis import Analysis
 from codestrata.operators.merkle import snapshot_diff
 from codestrata.sources import archives as AR
 from codestrata.session import checkpointed, maybe_broadcast, scan, spread, table
+from codestrata.streaming import jobs as J
 from codestrata.streaming.limits import anchored_limit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +243,41 @@ def l8_reachable(s: SparkSession, d: str) -> DataFrame:
     return TR.reachable(roots, checkpointed(TR.adjacency(a.edges, a.evidence, a.symbols)))
 
 
+# runs as jobs: one without an end is running since it was made, and has had as many tries as its number says
+def _jobs(s: SparkSession, d: str) -> DataFrame:
+    r = scan(s, d, "analysis_runs", "id", "projectId", "runNumber", "status", "completedAt", "createdAt")
+    at = F.col("createdAt").cast("timestamp")
+    none = F.lit(None)
+    return r.select(
+        "id", "projectId", F.when(F.col("status") == "failed", "running").otherwise("completed").alias("status"), (F.col("runNumber") % 5).alias("attemptCount"), F.lit(3).alias("maxAttempts"),
+        none.cast("string").alias("lockedBy"), none.cast("timestamp").alias("leaseUntil"), none.cast("timestamp").alias("heartbeatAt"), at.alias("createdAt"), at.alias("startedAt"),
+    )
+
+
+_NOW = "2030-01-01 00:00:00"
+
+
+def m4_recovered(s: SparkSession, d: str) -> DataFrame:
+    """What becomes of runs that never ended, as jobs, when the service starts again."""
+    return J.recovered(_jobs(s, d), F.lit(_NOW).cast("timestamp")).select("id", "projectId", "status", "attemptCount")
+
+
+def m4_orphans(s: SparkSession, d: str) -> DataFrame:
+    return J.orphaned_projects(_projects(s, d), _jobs(s, d)).select("id", "status")
+
+
+def m2_claim(s: SparkSession, d: str) -> DataFrame:
+    """The one job that is claimed next."""
+    return J.next_claim(_jobs(s, d), F.lit(_NOW).cast("timestamp")).select("id", "projectId", "attemptCount")
+
+
+def b9_diff_documents(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of the entries of a diff archive, for the symbols of the last two runs."""
+    diff = k1_last_diff(s, d).where(F.col("change") != "changed").select("projectId", F.lit("symbols").alias("section"), F.col("stableKey").alias("key"), "change", F.col("stableKey").alias("before"), F.col("stableKey").alias("after"))
+    none = scan(s, d, "projects", "id").select(F.col("id").alias("projectId"))
+    return RP.diff_documents(diff, H.metric_deltas(none, none)).select("projectId", "document", "bytes")
+
+
 # lists of a user ---------------------------------------------------------------------------------
 #: The user whose lists the queries show.
 USER = 2
@@ -454,6 +490,12 @@ def queries() -> dict[str, Query]:
         "b8_documents": lambda s, d: RP.documents(RP.report_lines(_analysis(s, d))).select("projectId", "document", "bytes", "truncated"),
         "b8_archive_sizes": lambda s, d: RP.archive_sizes(RP.documents(RP.report_lines(_analysis(s, d)))),
         "b7_snapshot_json": lambda s, d: H.snapshot_json((a := _analysis(s, d)).sections(), a.metrics),
+        "m2_claim": m2_claim,
+        "m4_recovered": m4_recovered,
+        "m4_orphans": m4_orphans,
+        "b9_diff_documents": b9_diff_documents,
+        "k3_comparable_runs": lambda s, d: H.comparable_runs(scan(s, d, "analysis_runs", "id", "projectId", "runNumber", "status", "snapshotSchemaVersion"), L.USABLE),
+        "k4_legacy_candidates": lambda s, d: H.legacy_candidates(scan(s, d, "analysis_runs", "id", "projectId", "runNumber", "status", "snapshotSchemaVersion"), L.USABLE).select("id", "projectId"),
         "c9_exec_edges": lambda s, d: R.exec_edges(X.exec_sites(_files(s, d)), checkpointed(_symbols(s, d))),
         "c26_handler_edges": lambda s, d: R.handler_edges(X.form_events(_files(s, d))),
         "e7_stored_edges": lambda s, d: R.stored_edges((a := _analysis(s, d)).edges, a.symbols),

@@ -181,6 +181,13 @@ def error_text(stage: Column, message: Column, *context: Column) -> Column:
     return F.concat_ws(" | ", *[F.when(F.trim(c) != "", c) for c in (stage, message, *context)])
 
 
+def progressed(jobs: DataFrame, stages: DataFrame) -> DataFrame:
+    """Jobs after ``stages(id, lockedBy, attemptCount, stage)`` told by their owners: the progress of that stage, never less than before."""
+    steps = F.create_map(*[x for k, v in PROGRESS.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v]))])[F.col("type")]
+    now = F.greatest(F.coalesce("progress", F.lit(0)), F.coalesce(F.get(steps, F.col("_stage")), F.lit(0)))
+    return _fenced(jobs, stages).select(*[F.when(F.col("_own"), now).otherwise(F.col(c)).alias(c) if c == "progress" else F.col(c) for c in jobs.columns])
+
+
 def retry_delay(failures: Column) -> Column:
     """Milliseconds: half a second doubled with each failure, 30 s at most."""
     return F.least(F.lit(30_000), (F.lit(500) * F.pow(F.lit(2), F.least(failures - 1, F.lit(6)))).cast("int"))

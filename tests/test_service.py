@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.operators import pages, reports
+from codestrata.operators import history, pages, reports
 from codestrata.operators.analysis import Analysis
 from codestrata.session import checkpointed
 from codestrata.sources import archives
@@ -118,6 +118,14 @@ def test_a_job_from_queue_to_end(spark, projects):
     assert {r.id: r.status for r in jobs.project_states(p, j, done).collect()} == {1: "ready", 2: "draft", 3: "importing", 4: "draft"}
 
 
+def test_progress_by_owner(spark):
+    j = jobs.claimed(job_rows(spark, (1, 1, "analyze", "queued", 0, None, None, 5), (2, 2, "import_git", "queued", 0, None, None, 9)), "w", at(10))
+    told = lambda stage, by="w": spark.createDataFrame([(1, by, 1, stage)], "id long, lockedBy string, attemptCount int, stage int")
+    now = lambda df: {r.id: r.progress for r in df.collect()}
+    j = jobs.progressed(j, told(2))
+    assert now(j) == {1: 45, 2: 0} and now(jobs.progressed(j, told(0))) == {1: 45, 2: 0} and now(jobs.progressed(j, told(5, "x"))) == {1: 45, 2: 0}
+
+
 def test_recovery(spark, projects):
     j = job_rows(spark, (1, 1, "analyze", "running", 1, "w", 5, 0), (2, 2, "analyze", "running", 3, "w", 5, 0), (3, 3, "analyze", "running", 1, "w", 90, 0), (4, 4, "analyze", "running", 1, None, None, 0))
     r = {x.id: (x.status, x.lockedBy) for x in jobs.recovered(j, at(60)).collect()}
@@ -249,6 +257,16 @@ def test_impact_counts_against_plain_counts(report):
     assert {r.file: r.impactCount for r in reports.impact_counts(a.risks, a.rules, a.edges, a.symbols).where("projectId = 1").collect()} == plain
 
 
+def test_entries_of_a_diff_archive(spark):
+    diff = spark.createDataFrame([(1, "risks", "k", "added", None, "v"), (1, "files", "p", "changed", "a", "b")], "projectId long, section string, key string, change string, before string, after string")
+    m = spark.createDataFrame([(1, 3)], "projectId long, fileCount int")
+    got = {r.document: r.text for r in reports.diff_documents(diff, history.metric_deltas(m.limit(0), m)).collect()}
+    assert set(got) == {"ANALYSIS_DIFF.md", "ANALYSIS_DIFF.json", "METRICS_DELTA.json"}
+    assert "## risks.introduced" in got["ANALYSIS_DIFF.md"] and json.loads(got["METRICS_DELTA.json"])["fileCount"] == 3 and json.loads(got["ANALYSIS_DIFF.json"])["buckets"]["files.changed"]["total"] == 1
+    docs = spark.createDataFrame([("completed", "a", "b", "c", "d"), ("failed", "a", "b", "c", "d"), ("partial", "a", " ", "c", None)], "status string, flow string, dataDependency string, risks string, rules string")
+    assert [r.ready for r in history.exportable(docs, ("completed", "partial")).collect()] == [True, False, False]
+
+
 def test_capped_sections_and_reasons(spark):
     df = spark.createDataFrame([(1, "a", i) for i in range(15)] + [(1, "b", 1)], "projectId long, section string, n int")
     got = reports.capped(df, ["projectId", "section"], [F.col("n")])
