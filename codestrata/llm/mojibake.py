@@ -233,7 +233,6 @@ def _table(encoding: str) -> dict[int, str]:
 
 _TABLES = {e: _table(e) for e in _SINGLE}
 _ENCODABLE = {e: frozenset(map(chr, t)) for e, t in _TABLES.items()}
-_ODD = re.compile(r"[^\x00-\x7f]+")
 
 
 def encoded(run: str, read_as: str) -> bytes | None:

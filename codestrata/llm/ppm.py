@@ -9,8 +9,6 @@ language is scored by one table look-up a character.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-
 import numpy as np
 
 ORDER = 4
@@ -101,11 +99,3 @@ class Scorer:
             j = get(gram)
             at.append(row(gram) if j is None else j)
         return self.costs[at].mean(axis=0)
-
-
-def held_out(samples: dict[str, list[str]], folds: int = 5) -> dict[str, list[str]]:
-    """Every ``folds``-th text of each class, for measuring."""
-    out: dict[str, list[str]] = defaultdict(list)
-    for k, v in samples.items():
-        out[k] = v[::folds]
-    return out

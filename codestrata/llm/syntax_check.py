@@ -16,13 +16,6 @@ PARSERS = {"go": "go", "sql": "sql", "pas": "pascal", "dpr": "pascal", "dfm": "f
 RESULT = "fileId long, projectId long, language string, valid boolean, faults array<struct<line:int,message:string>>"
 
 
-def file_faults(language: str, text: str) -> list[tuple[int, str]]:
-    """``(line, message)`` of every fault of a text; the first is the first cause."""
-    found = import_module(f"codestrata.llm.syntax.{PARSERS[language]}").faults(text)
-    lines = Lines(text)
-    return [(lines.of(min(a, len(text))), m) for a, m in found]
-
-
 def extension_column(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
 

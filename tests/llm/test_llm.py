@@ -19,6 +19,13 @@ def files(spark, *rows):
 ODD = [(None, None), (None, "x"), ("a.go", None), ("a.go", ""), ("a.pas", "x" * 300_000), ("a.sql", "'" * 5001), ("b.dfm", "object " * 5000), ("c.go", "(" * 5000), ("d.pas", "begin " * 3000), ("e.txt", "\0\ud7ff"), ("e.txt", "\0\ud7ff")]
 
 
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    names = set(entry.queries())
+    assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 8, 9)} | {"p7_packed", "p1_redacted", "p4_repaired", "p5_passages"} <= names
+
+
 # 1 secrets --------------------------------------------------------------------------------------
 SECRETS = [
     ("a.go", 'var dbPassword = "Sommer2011!"', [1]),
