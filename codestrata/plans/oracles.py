@@ -245,6 +245,11 @@ SELECT id, sourceUrl, coalesce(starts_with(trim(sourceUrl), 'https://') AND NOT
 SELECT * FROM (SELECT projectId, lag(id) OVER w AS baseId, id AS compareId, lag(runNumber) OVER w AS baseRun, runNumber AS compareRun FROM analysis_runs WHERE {_USABLE} AND snapshotSchemaVersion = 1
   WINDOW w AS (PARTITION BY projectId ORDER BY runNumber, id)) WHERE baseId IS NOT NULL""",
         "k4_legacy_candidates": f"SELECT id, projectId FROM analysis_runs r WHERE {_USABLE} AND snapshotSchemaVersion IS NULL AND (SELECT count(*) FROM analysis_runs x WHERE x.projectId = r.projectId) = 1",
+        "f30_import_summary": f"""
+WITH {_WARN}, x AS (SELECT projectId, {_EXT.replace('{0}', 'filePath')} AS e FROM files), f AS (SELECT projectId, count(*) AS n, count(*) FILTER (WHERE {_LANG.replace('{0}', 'e')} IS NOT NULL) AS known FROM x GROUP BY 1),
+i AS (SELECT projectId, count(*) AS n FROM warnings GROUP BY 1)
+SELECT projectId, 'ANALYSIS_INPUT_SUMMARY' AS code, 'note' AS level, NULL::VARCHAR AS file, 'Analysis input: ' || f.n || ' files, ' || known || ' of supported languages, ' || coalesce(i.n, 0) || ' import warnings.' AS message, FALSE AS heuristic FROM f LEFT JOIN i USING (projectId)
+UNION ALL SELECT DISTINCT projectId, code, 'warning', filePath, coalesce(message, ''), FALSE FROM warnings""",
         "k3_files": r"""
 WITH f AS (SELECT *, replace(filePath, '\', '/') AS path FROM files), m AS (SELECT projectId, (epoch_us(min(createdAt)) + epoch_us(max(createdAt))) / 2 AS middle FROM files GROUP BY 1),
 h AS (SELECT f.projectId, path, id, content, coalesce(epoch_us(createdAt) <= middle, TRUE) AS early, coalesce(epoch_us(createdAt) > middle, TRUE) AS late FROM f JOIN m USING (projectId) WHERE content IS NOT NULL),

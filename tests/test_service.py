@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.operators import history, pages, reports
+from codestrata.operators import build, history, lists, pages, reports
 from codestrata.operators.analysis import Analysis
 from codestrata.session import checkpointed
 from codestrata.sources import archives
@@ -274,3 +274,39 @@ def test_capped_sections_and_reasons(spark):
     w = spark.createDataFrame([(1, "A", "warning"), (1, "A", "warning"), (1, "B", "warning"), (1, "N", "note")], "projectId long, code string, level string")
     s = spark.createDataFrame([(1, "partial"), (2, "completed")], "projectId long, status string")
     assert [r.reason for r in reports.partial_reasons(w, s).orderBy("ord", "reason").collect()] == ["A (2)", "B (1)", "Some files were skipped or analysed in part."]
+
+
+# planted cases of operators that the given tables hardly exercise --------------------------------
+def test_run_of_the_present_source(spark):
+    p = spark.createDataFrame([(1, "new"), (2, "x"), (3, None), (4, "none")], "id long, sourceFingerprint string")
+    runs = spark.createDataFrame([(1, 1, 1, "completed", "old"), (2, 1, 2, "partial", "new"), (3, 1, 3, "failed", "new"), (4, 1, 4, "completed", "other"), (5, 2, 7, "completed", "x"), (6, 3, 1, "completed", None)], "id long, projectId long, runNumber int, status string, sourceFingerprint string")
+    runs = runs.withColumn("createdAt", F.lit(None).cast("timestamp_ntz")).withColumn("completedAt", F.lit(None).cast("timestamp_ntz"))
+    assert {r.projectId: r.runId for r in lists.current_source_run(p, runs).collect()} == {1: 2, 2: 5}
+    status = lists.analysis_status(p.withColumn("status", F.lit("analyzing")), runs)
+    assert {r.id: r.analysisStatus for r in status.collect()} == {1: "partial", 2: "completed", 3: "running", 4: "running"}
+
+
+def test_paths_that_collide(spark):
+    f = spark.createDataFrame([(1, "a\\B.pas"), (1, "./A/b.pas"), (1, "a/b.pas/"), (1, "c.pas"), (2, "a/b.pas"), (1, None)], "projectId long, path string")
+    assert [(r.projectId, r.key, r.n) for r in lists.duplicate_paths(f).collect()] == [(1, "a/b.pas", 3)]
+
+
+def test_go_calls_by_type_name_and_function(spark):
+    rows = [
+        (1, 1, "a.go", "package a\n\ntype A struct{}\n\nfunc (a *A) Save() {\n}\n\nfunc run(x *A, y Other) {\n\tx.Save()\n\ty.Load()\n\thelp()\n\tz.Nothing()\n\tlen(x)\n}\n"),
+        (1, 2, "b.GO", "package a\n\ntype B struct{}\n\nfunc (b B) Save() {\n}\n\nfunc (b B) Load() {\n}\n\nfunc help() {\n}\n"),
+        (2, 3, "c.go", "package c\n\nfunc help() {\n\thelp()\n}\n"),
+    ]
+    e = Analysis(spark.createDataFrame(rows, "projectId long, id long, filePath string, content string")).edges.where("type = 'calls'")
+    assert {(r.projectId, r.fromName, r.toName, r.file) for r in e.collect()} == {(1, "run", "A.Save", "a.go"), (1, "run", "B.Load", "a.go"), (1, "run", "help", "a.go")}
+
+
+def test_packages_of_every_kind(spark):
+    rows = [
+        (1, 1, "p/App.dpk", "package App;\nrequires rtl, vcl290, Local, Twice, Alien, 'x';\nend."), (1, 2, "p/Local.dpk", "package Local;\nend."),
+        (1, 3, "q/Twice.dpk", "package Twice;\nend."), (1, 4, "r/Twice.dpk", "package Twice;\nend."),
+        (1, 5, "p/App.dproj", "<Project><PropertyGroup><DCC_UsePackage>..\\lib\\Gone.dpk</DCC_UsePackage></PropertyGroup></Project>"),
+    ]
+    r = build.build_records(spark.createDataFrame(rows, "projectId long, id long, filePath string, content string"))
+    got = {x.package.lower(): x.resolution for x in build.package_resolutions(r).collect()}
+    assert got == {"rtl": "delphi_standard", "vcl290": "delphi_standard", "local": "project_local", "twice": "ambiguous", "alien": "external_unverified", "..\\lib\\gone.dpk": "missing"}
