@@ -81,6 +81,8 @@ _MIXED = re.compile("[A-Za-z][\u0400-\u045f\u0391-\u03ce]|[\u0400-\u045f\u0391-\
 
 #: A Russian word in which the case of every letter is turned round: KOI8 against Windows.
 _TURNED = re.compile(r"(?<![^\W\d_])[а-яё][А-ЯЁ]{2,}(?![^\W\d_])")
+#: A Cyrillic word with parts of boxes and other marks of DOS encodings in it: Windows against DOS.
+_DRAWN = re.compile("[\u0400-\u045f][\u2500-\u257f∙√¤]|[\u2500-\u257f∙√¤][\u0400-\u045f]")
 _KANA = re.compile("[\u3040-\u30ff]")
 
 
@@ -90,12 +92,12 @@ def formed(text: str) -> tuple[tuple[int, int], ...]:
 
     UTF-8 read as an encoding of one byte (the sequence is well-formed) or of several (three characters or more
     are well-formed together), long rows of different Western letters and marks, letters of two scripts side by side,
-    Russian with its case turned round, ideographs that are kana in the bytes of Japanese, characters that stand for
-    lost bytes.
+    Russian with its case turned round or with lines of boxes inside its words, ideographs that are kana in the bytes
+    of Japanese, characters for private use, and those that stand for lost bytes.
     """
-    if _TURNED.search(text):
+    if _TURNED.search(text) or _DRAWN.search(text):
         return ((0, len(text)),)
-    spans = [m.span() for m in _LOST.finditer(text)]
+    spans = [m.span() for p in (_LOST, _PRIVATE) for m in p.finditer(text)]
     for encoding, pattern in _SEQUENCES.items():
         for m in pattern.finditer(text):
             after = decoded(m[0], encoding, "utf-8")

@@ -286,13 +286,15 @@ GARBLED_ALIKE = [
     [f"-- {CLEAN[2]} {{}}".encode("koi8_r").decode("cp1251")],
     ["-- この関数は顧客マスタだけを {}".encode("cp932").decode("gb18030")],
     ["-- Für ältere Mandanten {}".encode().decode("cp437")],
+    [f"-- {CLEAN[2]} {{}}".encode("cp1251").decode("cp866")],
+    [f"-- {x} {{}}".encode("big5").decode("gb18030") for x in ("從舊系統轉入的稅率設定可能是空白，所以要先補值。", "更新稅率設定之後一定要同步更新客戶資料。")],
 ]
 
 
 @pytest.mark.parametrize("forms", GARBLED_ALIKE)
 def test_common_garbling_is_found(spark, forms):
     # a third of the rows is garbled alike: its pairs are as frequent as those of good text
-    rows = [(i, f"-- {CLEAN[i % 5]} {i}\n-- Vérifié après clôture, traité en réserve, été créé {i}") for i in range(400)]
+    rows = [(i, f"-- {CLEAN[i % 5]} {i}\n-- Vérifié après clôture, traité en réserve, été créé {i}\n-- 從舊系統轉入的稅率設定可能是空白，所以要先補值。") for i in range(400)]
     bad = [(1000 + i, forms[i % len(forms)].format(i)) for i in range(200)]
     df = spark.createDataFrame(rows + bad, "extractId long, content string")
     assert {r.extractId for r in mojibake.garbled_records(df).collect()} == {i for i, _ in bad}
