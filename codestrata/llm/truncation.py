@@ -5,9 +5,9 @@ brackets, tags, comments); what is open at the end was cut. Broken multibyte seq
 marks that say so count too. For the rest the last line decides: a sentence wants a terminator, while
 list entries, links, signatures, status lines and closed code blocks may end without one.
 
-Each source has its baseline: lengths (in characters or UTF-8 bytes) at which its texts pile up without a
-terminator are field limits, found over all rows; at a limit, dots are a mark and an ending without a
-terminator is a cut.
+Each source has its baseline, found over all rows. Lengths (in characters or UTF-8 bytes) at which its texts pile
+up without a terminator are field limits; at a limit, dots are a mark and an ending without a terminator is a
+cut. Where nearly all texts of a source end without a terminator (``NORM_SHARE``), a missing one tells nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ LIMIT_SHARE, LIMIT_ROWS = 0.02, 3
 #: Longer texts of the source allowed for one at the limit (a few arrive by other ways).
 LONGER = 0.5
 
+#: Share of a source's texts that end openly from which that is its way, if it has so many texts at least.
+NORM_SHARE, NORM_ROWS = 0.75, 50
+
 # Marks that say a text was cut.
 MARKS = re.compile(r"(?:\[\s*(?:truncated|trimmed|cut|snip(?:ped)?|clipped|more|message clipped|gekürzt|abgeschnitten|tronqué|truncado|ucięto|обрезано|\.\.\.|…)\s*\]|<\s*(?:truncated|snip|cut)\s*>|\(\s*(?:truncated|cut off|continued|gekürzt)\s*\)|(?:…|\.\.\.)\s*(?:read more|show more|see more|more|mehr|\(more\))|\[…|\[\.\.\.)\s*$", re.I)
 # Words of farewell and of lines that stand alone.
@@ -105,7 +108,7 @@ def open_marks(text: str) -> list[str]:
     return out + ([fence] if fence else [])
 
 
-def cut_reason(text: str | None, at_limit: bool) -> str | None:
+def cut_reason(text: str | None, at_limit: bool, open_source: bool = False) -> str | None:
     """Why a text counts as cut; None for one that ends as its author meant. Null and blank texts are no cases."""
     if text is None:
         return None
@@ -142,7 +145,7 @@ def cut_reason(text: str | None, at_limit: bool) -> str | None:
     paragraph = [x.strip() for x in body[body.rfind("\n\n") + 1 :].strip().split("\n")]
     if len(paragraph) <= 3 and sum(len(x.split()) for x in paragraph) <= 9 and any(FAREWELL.match(x) for x in paragraph):
         return None
-    return "sentence"
+    return None if open_source else "sentence"
 
 
 def _cut_entry(body: str, line: str) -> bool:
@@ -175,9 +178,17 @@ def field_limits(documents: DataFrame, share: float = LIMIT_SHARE, least: int =
     ``1 / share`` lengths a source and unit are candidates, and every length adds to those below it, so that
     no source is sorted in one task. Null sources form a source of their own.
     """
+    return _limits(_lengths(documents), share, least)
+
+
+def _lengths(documents: DataFrame) -> DataFrame:
+    """``(source, unit, size, rows, all)``: texts of every length, and those of them that end openly."""
     d = documents.where(F.length("text") > 0).select(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("c"), F.octet_length("text").alias("b"), ends_openly(F.col("text")).alias("open"))
     sizes = d.select("source", "open", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("c").alias("size")), F.struct(F.lit("b").alias("unit"), F.col("b").alias("size")))).alias("x"))
-    counts = sizes.groupBy("source", "x.unit", "x.size").agg(F.count_if("open").alias("rows"), F.count("*").alias("all"))
+    return sizes.groupBy("source", "x.unit", "x.size").agg(F.count_if("open").alias("rows"), F.count("*").alias("all"))
+
+
+def _limits(counts: DataFrame, share: float, least: int) -> DataFrame:
     by = ["source", "unit"]
     totals = counts.groupBy(*by).agg(F.sum("rows").alias("total"))
     piled = counts.join(totals, by).where(F.col("rows") >= F.greatest(F.lit(least), F.col("total") * share))
@@ -192,20 +203,22 @@ def truncated_documents(documents: DataFrame) -> DataFrame:
 
     The limits are joined as one small row a source (a map of sizes), by broadcast while they are small.
     """
-    limits = field_limits(documents).groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "c", F.col("size"))).alias("chars"), F.collect_set(F.when(F.col("unit") == "b", F.col("size"))).alias("bytes"))
+    counts = _lengths(documents)
+    way = counts.where(F.col("unit") == "c").groupBy("source").agg(((F.sum("all") >= NORM_ROWS) & (F.sum("rows") >= NORM_SHARE * F.sum("all"))).alias("open_source"))
+    limits = _limits(counts, LIMIT_SHARE, LIMIT_ROWS).groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "c", F.col("size"))).alias("chars"), F.collect_set(F.when(F.col("unit") == "b", F.col("size"))).alias("bytes"))
     d = documents.where(F.length("text") > 0).select("doc_id", "source", F.coalesce("source", F.lit("")).alias("s"), "text")
-    d = d.join(maybe_broadcast(limits.withColumnRenamed("source", "s")), "s", "left")
+    d = d.join(maybe_broadcast(way.join(limits, "source", "left").withColumnRenamed("source", "s")), "s", "left")
     # a cut in bytes may leave out up to three bytes of a broken character
     near = F.exists("bytes", lambda x: F.octet_length("text").between(x - 3, x) & (F.octet_length("text") > F.length("text")))
     at = F.coalesce(F.array_contains("chars", F.length("text")), F.lit(False)) | F.coalesce(F.array_contains("bytes", F.octet_length("text")), F.lit(False)) | F.coalesce(near, F.lit(False))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            reasons = [cut_reason(t, a) for t, a in zip(b["text"], b["at_limit"])]
+            reasons = [cut_reason(t, a, bool(o)) for t, a, o in zip(b["text"], b["at_limit"], b["open_source"])]
             out = pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "reason": pd.Series(reasons, dtype=object)})
             yield out[out["reason"].notna()]
 
-    return d.select("doc_id", "source", "text", at.alias("at_limit")).mapInPandas(run, "doc_id long, source string, reason string")
+    return d.select("doc_id", "source", "text", at.alias("at_limit"), F.coalesce("open_source", F.lit(False)).alias("open_source")).mapInPandas(run, "doc_id long, source string, reason string")
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:

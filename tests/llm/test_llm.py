@@ -500,6 +500,15 @@ def test_limits_and_rates(spark):
     assert {r.source: r.rate for r in truncation.truncation_rates(df).collect()} == {"chat": 1.0, "wiki": 0.0, None: 1.0}
 
 
+def test_a_source_that_never_ends_its_texts(spark):
+    headlines = [(i, "titles", f"Release of the new module number {i} for all customers and their offices in spring") for i in range(60)]
+    prose = [(100 + i, "wiki", f"All of it is well and number {i} is done.") for i in range(60)] + [(200, "wiki", "All of it is well and the number is do")]
+    few = [(300, "new", "Release of the new module for all customers and their offices in spr")]
+    marked = [(400, "titles", "Release of the new module [truncated]")]
+    df = spark.createDataFrame(headlines + prose + few + marked, "doc_id long, source string, text string")
+    assert {r.doc_id for r in truncation.truncated_documents(df).collect() if r.reason != "limit"} == {200, 300, 400}
+
+
 # odd inputs -------------------------------------------------------------------------------------
 def test_odd_inputs_do_not_crash(spark):
     f = files(spark, *ODD)
