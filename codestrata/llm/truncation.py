@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import maybe_broadcast
+from codestrata.session import checkpointed, maybe_broadcast
 
 #: A length is a limit of its source if at least this share and number of its unterminated texts have it: with
 #: fewer than three rows of one length chance cannot be told from a limit. Both are parameters of ``field_limits``.
@@ -178,7 +178,7 @@ def field_limits(documents: DataFrame, share: float = LIMIT_SHARE, least: int =
     ``1 / share`` lengths a source and unit are candidates, and every length adds to those below it, so that
     no source is sorted in one task. Null sources form a source of their own.
     """
-    return _limits(_lengths(documents), share, least)
+    return _limits(checkpointed(_lengths(documents)), share, least)
 
 
 def _lengths(documents: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def truncated_documents(documents: DataFrame) -> DataFrame:
 
     The limits are joined as one small row a source (a map of sizes), by broadcast while they are small.
     """
-    counts = _lengths(documents)
+    counts = checkpointed(_lengths(documents))  # a row a length: used several times below
     way = counts.where(F.col("unit") == "c").groupBy("source").agg(((F.sum("all") >= NORM_ROWS) & (F.sum("rows") >= NORM_SHARE * F.sum("all"))).alias("open_source"))
     limits = _limits(counts, LIMIT_SHARE, LIMIT_ROWS).groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "c", F.col("size"))).alias("chars"), F.collect_set(F.when(F.col("unit") == "b", F.col("size"))).alias("bytes"))
     d = documents.where(F.length("text") > 0).select("doc_id", "source", F.coalesce("source", F.lit("")).alias("s"), "text")
