@@ -108,8 +108,11 @@ SELECT projectId, count(*) AS files, sum(coalesce(strlen(content), 0))::BIGINT A
         "c2_lines": f"WITH {_LINES} SELECT fileId, line, text FROM lines",
         "c4_go_symbols": rf"""
 WITH {_LINES}, {_block_ends("(SELECT * FROM lines WHERE lower(file) LIKE '%.go')", '[{]', '[}]')},
-m AS (SELECT *, regexp_extract(raw, '^\s*func\s+(?:\(([^)]+)\)\s+)?([a-zA-Z_][\w$]*)\s*\(', ['recv', 'name']) AS fn, regexp_extract(raw, '^\s*type\s+([a-zA-Z_][\w$]*)\s+struct\b', 1) AS st FROM depth),
-s AS (SELECT *, ltrim(regexp_extract(trim(fn.recv), '(\S+)$', 1), '*') AS owner FROM m),
+w AS (SELECT *, string_split_regex(trim(replace(text, '(', ' ( ')), '\s+') AS words, ltrim(substr(text, 5)) AS rest FROM depth),
+h AS (SELECT *, words[1] = 'func' AND words[2] = '(' AS has_recv, CASE WHEN words[1] = 'func' AND words[2] = '(' THEN ltrim(split_part(rest, ')', 2)) WHEN words[1] = 'func' THEN rest ELSE '' END AS tail FROM w),
+m AS (SELECT *, {{'recv': CASE WHEN has_recv THEN split_part(substr(rest, 2), ')', 1) ELSE '' END, 'name': CASE WHEN contains(tail, '(') AND NOT regexp_matches(rtrim(split_part(tail, '(', 1)), '\W|^\d|^$') THEN rtrim(split_part(tail, '(', 1)) ELSE '' END}} AS fn,
+  CASE WHEN words[1] = 'type' AND regexp_matches(words[3], '^struct\b') THEN words[2] ELSE '' END AS st FROM h),
+s AS (SELECT *, ltrim(string_split_regex(trim(fn.recv), '\s+')[-1], '*') AS owner FROM m),
 r AS (SELECT fileId, file, line, CASE WHEN fn.name <> '' THEN fn.name ELSE st END AS name, CASE WHEN fn.name <> '' THEN CASE WHEN owner <> '' THEN owner || '.' || fn.name ELSE fn.name END END AS qualifiedName,
   CASE WHEN fn.name = '' THEN 'class' WHEN fn.recv <> '' THEN 'method' ELSE 'function' END AS type, CASE WHEN fn.name = '' THEN line ELSE {_END} END AS endLine FROM s WHERE fn.name <> '' OR st <> '')
 SELECT fileId, name, qualifiedName, type, line AS startLine, endLine::INT AS endLine, file || '::' || coalesce(qualifiedName, name) || '::' || line AS stableKey FROM r""",
@@ -117,8 +120,13 @@ SELECT fileId, name, qualifiedName, type, line AS startLine, endLine::INT AS end
 WITH {_LINES}, pas AS (SELECT * FROM lines WHERE regexp_matches(lower(file), '\.(pas|dpr|inc|dpk)$')),
 cnt AS (SELECT *, len(regexp_extract_all(raw, '(?i)\bbegin\b')) AS o1, len(regexp_extract_all(raw, '(?i)\bend\b\s*;?')) AS c1, len(regexp_extract_all(raw, '(?i)\bclass\b')) AS o2 FROM pas),
 depth AS (SELECT *, sum(o1 - c1) OVER w AS d1, sum(o2 - c1) OVER w AS d2 FROM cnt WINDOW w AS (PARTITION BY fileId ORDER BY line)),
-s AS (SELECT *, regexp_extract(raw, '(?i)^\s*(?:(class)\s+)?(procedure|function|constructor|destructor)\s+([A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*)\s*(\([^)]*\))?\s*(?::\s*([^;]+))?\s*(?:;\s*(.*))?$', ['cls', 'kind', 'full']) AS m,
-  regexp_extract(raw, '(?i)^\s*(?:type\s+)?([A-Za-z_][\w$]*)\s*=\s*class\b', 1) AS k FROM depth WHERE NOT regexp_matches(raw, '(?i)^\s*(interface|implementation|initialization|finalization)\b')),
+t1 AS (SELECT *, CASE WHEN regexp_matches(lower(text), '^class\s') THEN ltrim(substr(text, 6)) ELSE text END AS head FROM depth WHERE NOT list_contains(['interface', 'implementation', 'initialization', 'finalization'], regexp_extract(lower(text), '^\w+'))),
+t2 AS (SELECT *, regexp_extract(lower(head), '^\w+') AS kind, regexp_extract(ltrim(substr(head, length(regexp_extract(head, '^\w+')) + 1)), '^[\w$.]+') AS nm FROM t1),
+t3 AS (SELECT *, ltrim(substr(head, strpos(head, nm) + length(nm))) AS rest0 FROM t2),
+t4 AS (SELECT *, CASE WHEN starts_with(rest0, '(') THEN CASE WHEN contains(rest0, ')') THEN ltrim(substr(rest0, strpos(rest0, ')') + 1)) ELSE '(' END ELSE rest0 END AS rest FROM t3),
+t5 AS (SELECT *, list_contains(['procedure', 'function', 'constructor', 'destructor'], kind) AND nm <> '' AND NOT regexp_matches(nm, '^\d|[.]$|[.][.]') AND (rest = '' OR starts_with(rest, ';') OR starts_with(rest, ':') AND trim(split_part(substr(rest, 2), ';', 1)) <> '') AS is_head FROM t4),
+s AS (SELECT *, {{'kind': kind, 'full': CASE WHEN is_head THEN nm ELSE '' END}} AS m,
+  CASE WHEN regexp_matches(lower(ltrim(split_part(text, '=', 2))), '^class\b') AND regexp_matches(trim(split_part(text, '=', 1)), '^(\w+\s+)?[^\W\d][\w$]*$') AND (NOT contains(trim(split_part(text, '=', 1)), ' ') OR starts_with(lower(text), 'type ')) THEN string_split_regex(trim(split_part(text, '=', 1)), '\s+')[-1] ELSE '' END AS k FROM t5),
 r AS (SELECT fileId, file, line, CASE WHEN m.full <> '' THEN string_split(m.full, '.')[-1] ELSE k END AS name, CASE WHEN m.full <> '' THEN m.full ELSE k END AS qualifiedName,
   CASE WHEN m.full = '' THEN 'class' WHEN lower(m.kind) IN ('constructor', 'destructor') OR contains(m.full, '.') THEN 'method' ELSE lower(m.kind) END AS type,
   CASE WHEN m.full <> '' THEN CASE WHEN s.o1 > 0 AND s.o1 - s.c1 <= 0 THEN s.line ELSE coalesce((SELECT min(e.line) FROM depth e WHERE e.fileId = s.fileId AND e.line > s.line AND e.d1 <= s.d1 - (s.o1 - s.c1)), s.line) END
